@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, line_dedup
+from . import bpe, chat_format, line_dedup, mixing
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_bpe": bpe.op8_bpe,
     "op9_chat_format": chat_format.op9_chat_format,
 }
 ORACLES = {
