@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, line_dedup, mixing
+from . import bpe, chat_format, html_extract, line_dedup, mixing
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_bpe": bpe.op8_bpe,
     "op9_chat_format": chat_format.op9_chat_format,
+    "op10_html_extract": html_extract.op10_html_extract,
 }
 ORACLES = {
     "op7_line_dedup": line_dedup.ORACLE,
