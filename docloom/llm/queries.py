@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, html_extract, line_dedup, mixing
+from . import bpe, chat_format, html_extract, line_dedup, mixing, simhash
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op4_simhash": simhash.op4_simhash,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_bpe": bpe.op8_bpe,
     "op9_chat_format": chat_format.op9_chat_format,
