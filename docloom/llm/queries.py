@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, html_extract, line_dedup, mixing, simhash
+from . import bpe, chat_format, html_extract, line_dedup, mixing, quality, simhash
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op3_quality": quality.op3_quality,
     "op4_simhash": simhash.op4_simhash,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_bpe": bpe.op8_bpe,
