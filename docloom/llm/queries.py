@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, html_extract, line_dedup, mixing, quality, simhash
+from . import bpe, chat_format, html_extract, line_dedup, mixing, quality, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_mixing": mixing.op2_mixing,
     "op3_quality": quality.op3_quality,
     "op4_simhash": simhash.op4_simhash,
