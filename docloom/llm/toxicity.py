@@ -145,7 +145,7 @@ class Model:
             r = w * p * (1 - p)
             h = np.array([[(r * x * x).sum() + 0.01, (r * x).sum()], [(r * x).sum(), r.sum() + 0.01]])
             step = np.linalg.solve(h, g)
-            a, b = float(np.clip(a + np.clip(step[0], -4, 4), -60, 60)), float(np.clip(b + np.clip(step[1], -4, 4), -60, 60))
+            a, b = float(np.clip(a + np.clip(step[0], -4, 4), 0.5, 60)), float(np.clip(b + np.clip(step[1], -4, 4), -60, 60))
             if np.abs(step).max() < 1e-9:
                 break
         self.slope, self.shift = a, b
