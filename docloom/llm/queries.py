@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, html_extract, line_dedup, mixing, quality, simhash, toxicity
+from . import ann, bpe, chat_format, html_extract, line_dedup, lm_score, mixing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_mixing": mixing.op2_mixing,
     "op3_quality": quality.op3_quality,
     "op4_simhash": simhash.op4_simhash,
+    "op5_ann": ann.op5_ann,
+    "op6_lm_score": lm_score.op6_lm_score,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_bpe": bpe.op8_bpe,
     "op9_chat_format": chat_format.op9_chat_format,
