@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -14,3 +15,9 @@ def cut(df: DataFrame) -> DataFrame:
         own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(own or tempfile.mkdtemp(prefix="docloom-"))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark, name: str) -> str:
+    """A new folder below the session's checkpoint folder; below a temporary one of our own only where there is none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
