@@ -8,6 +8,7 @@ from array import array
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -241,7 +242,8 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def make(tokenizer: Tokenizer, lists: pa.Array) -> pa.Array:
-        return pa.array([tokenizer.decode(x.as_py() or []) for x in lists], pa.string())
+        ids, ends = lists.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()]).tolist()
+        return pa.array([tokenizer.decode(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
 
     return _column(docs, text_col, ids_col, T.StringType(), shared, make)
 

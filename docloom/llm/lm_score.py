@@ -9,7 +9,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, held_out, read, texts
@@ -217,7 +217,11 @@ def fit(train: DataFrame, text_col: str = "text", head: int = HEAD, symbols: int
     """A scorer learned from every text of ``train``, and the counts (token, n) of all its tokens."""
     counts = cut(count_tokens(train, text_col))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    rows = counts.orderBy(F.desc("n"), "token").limit(head).collect()
+    # the head is all tokens from some count on: the least count that keeps them within ``head``, found over the distinct counts
+    falls = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    sizes = counts.groupBy("n").agg(F.count("*").alias("tokens")).withColumn("upto", F.sum("tokens").over(falls))
+    least = sizes.where(F.col("upto") <= head).agg(F.min("n")).first()[0]
+    rows = sorted(counts.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], bytes(r["token"]))) if least else []
     number = {bytes(r["token"]): i for i, r in enumerate(rows)}
     known = np.array([r["n"] for r in rows], np.int64)
     top = np.zeros(symbols, np.int64)

@@ -55,7 +55,7 @@ def solve_dual(hist: DataFrame, targets: DataFrame, most: int = MOST_COPIES) ->
     gradient of the convex dual. Each Newton step is one join and one pre-aggregated sum over the counts of
     documents by source and size; a bracket that provably holds the root takes over where the step leaves it.
     """
-    scale = hist.groupBy("key").agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("scale"))
+    scale = hist.groupBy("key").agg(F.try_divide(F.sum(F.col("n") * F.col("size") * F.col("size")), F.sum(F.col("n") * F.col("size"))).alias("scale"))
     state = targets.join(scale, "key").withColumn("full", F.col("target") >= most * F.col("source_size").cast("double") * (1 - 1e-12))
     lowest = F.when(F.col("full"), 0.0).otherwise(F.least(F.lit(0.0), F.col("scale") * F.log(F.col("target") / F.col("source_size"))))
     state = cut(state.select("*", F.lit(0.0).alias("tilt"), lowest.alias("low"), (F.col("scale") * math.log(most)).alias("high"), F.lit(1.0).alias("off")))
