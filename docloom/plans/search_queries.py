@@ -332,10 +332,9 @@ def x01(spark, d):
 
 
 @query("x02_fuzzy", f"""WITH RECURSIVE s AS (SELECT min(doc_id) AS id, ts FROM (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '{W}'))) AS ts FROM documents WHERE {_PRE} <> '') WHERE len(ts) > 0 GROUP BY ts),
-e AS (SELECT id, unnest(ts) AS t FROM s), n AS (SELECT id, len(ts) AS n FROM s),
-c AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM e a JOIN e b ON a.t = b.t AND a.id < b.id GROUP BY ALL),
-p AS (SELECT b, list(a) AS before FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k >= 0.8::DOUBLE * (x.n + y.n - k) - 1e-9 GROUP BY b),
-o AS (SELECT s.id, before, row_number() OVER (ORDER BY s.id) AS i FROM s LEFT JOIN p ON p.b = s.id),
+c AS MATERIALIZED (SELECT a.id AS a, b.id AS b, len(a.ts) AS na, len(b.ts) AS nb, len(list_intersect(a.ts, b.ts)) AS k FROM s a JOIN s b ON a.id < b.id AND least(len(a.ts), len(b.ts)) >= 0.8::DOUBLE * greatest(len(a.ts), len(b.ts)) - 1e-9),
+p AS MATERIALIZED (SELECT b, list(a) AS before FROM c WHERE k >= 0.8::DOUBLE * (na + nb - k) - 1e-9 GROUP BY b),
+o AS MATERIALIZED (SELECT s.id, before, row_number() OVER (ORDER BY s.id) AS i FROM s LEFT JOIN p ON p.b = s.id),
 g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT o.i, CASE WHEN before IS NULL OR len(list_intersect(before, kept)) = 0 THEN list_append(kept, o.id) ELSE kept END FROM g JOIN o ON o.i = g.i + 1)
 SELECT unnest(kept) AS doc_id FROM (SELECT kept FROM g ORDER BY i DESC LIMIT 1)
 UNION ALL SELECT doc_id FROM documents WHERE {_PRE} <> '' AND len(regexp_extract_all(text, '{W}')) = 0""")
@@ -350,8 +349,8 @@ def x03(spark, d):
 
 
 @query("j06_pairs", f"""WITH s AS (SELECT min(doc_id) AS id, ts FROM (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '{W}'))) AS ts FROM documents) WHERE len(ts) > 0 GROUP BY ts),
-e AS (SELECT id, unnest(ts) AS t FROM s), n AS (SELECT id, len(ts) AS n FROM s), c AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM e a JOIN e b ON a.t = b.t AND a.id < b.id GROUP BY ALL)
-SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k >= 0.6::DOUBLE * (x.n + y.n - k) - 1e-9""")
+c AS (SELECT a.id AS a, b.id AS b, len(a.ts) AS na, len(b.ts) AS nb, len(list_intersect(a.ts, b.ts)) AS k FROM s a JOIN s b ON a.id < b.id AND least(len(a.ts), len(b.ts)) >= 0.6::DOUBLE * greatest(len(a.ts), len(b.ts)) - 1e-9)
+SELECT a, b FROM c WHERE k >= 0.6::DOUBLE * (na + nb - k) - 1e-9""")
 def j06(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_sort(F.array_distinct(words(F.col("text")))).alias("ts")).where(F.size("ts") > 0)
     return dedup.similar_pairs(rows.groupBy("ts").agg(F.min("id").alias("id")), 0.6)
