@@ -133,3 +133,26 @@ def test_debounced_stream(spark, tmp_path):
     run = streams.debounced(watch).writeStream.format("memory").queryName("fired").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert [(r.source, r.at) for r in spark.table("fired").collect()] == [("s", 31.0)]
+
+
+def test_versions(spark, tmp_path):
+    from docloom.operators import stores
+
+    path, rows = str(tmp_path / "store"), spark.range(3)
+    assert stores.versions(spark, path) == [] and stores.commit(rows, path) == "v1" and stores.commit(rows.limit(1), path) == "v2"
+    assert stores.load(spark, path).count() == 1
+    stores.point(spark, path, "v1")
+    assert stores.current(spark, path) == "v1" and stores.load(spark, path).count() == 3
+
+
+def test_analysis_and_messages(spark):
+    from docloom.operators import agents
+
+    rows = spark.createDataFrame([('```json\n{"intent": " Greeting ", "confidence": 2}\n```',), ("no json",), (None,)], "a string")
+    got = [tuple(r.x) for r in rows.select(agents.parse_analysis(F.col("a")).alias("x")).collect()]
+    assert got == [("greeting", 1.0, False), ("question", 0.5, True), ("question", 0.5, True)]
+    h = F.expr("array(named_struct('role', 'User', 'content', 'x'), named_struct('role', 'tool', 'content', 'y'))")
+    m = spark.range(1).select(agents.messages(F.lit("s"), h, F.lit("c"), F.lit("q"), "en").alias("m")).first().m
+    assert [(x.role, x.content) for x in m] == [("system", "s"), ("user", "x"), ("user", "c\n\nQuestion : q\nAnswer in English.")]
+    out = agents.generate(spark.createDataFrame([(1, "p")], "query_id int, prompt string"), lambda ps: 1 / 0).first()
+    assert out.answer is None and out.error.startswith("ZeroDivisionError")
