@@ -61,7 +61,7 @@ def read_back(formatted: Column) -> Column:
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
-    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     examples = expand_targets(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))
     trained = F.expr("substring(formatted, loss_start + 1, loss_end - loss_start)")
     whole = examples.groupBy("conv_id").agg(
