@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 
-#: Queries that meet the points in one pass.
-BLOCK = 4096
+#: Queries that are broadcast at most, or meet points in one task; points of a shard.
+BLOCK, SHARD = 4096, 65_536
 METRICS = ("cosine", "dot", "euclidean")
 
 # Known embedding models and their dimensions.
@@ -73,39 +73,63 @@ def embed(docs: DataFrame, embedder: Callable[[list[str]], list[list[float]]], i
     return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, vector array<double>")
 
 
+def _scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """Points by queries, larger is nearer, rounded to 6."""
+    s = x @ q.T
+    if metric == "cosine":
+        norm = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None]
+        s = np.where(norm > 0, np.clip(s / np.where(norm > 0, norm, 1), -1, 1), 0)
+    elif metric == "euclidean":
+        s = -np.sqrt(np.maximum((x * x).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * s, 0))
+    return np.round(s, 6) + 0.0
+
+
+def _nearest(vec: np.ndarray, x: np.ndarray, names: np.ndarray, q: np.ndarray, k: int, metric: str) -> pd.DataFrame:
+    """The ``k`` best points of each query among a batch of points."""
+    s = _scores(x, q, metric)
+    best = np.stack([np.lexsort((vec, -s[:, j]))[:k] for j in range(len(q))])
+    return pd.DataFrame({"query_id": np.repeat(names, best.shape[1]), "vec_id": vec[best.ravel()], "score": s[best.ravel(), np.repeat(np.arange(len(q)), best.shape[1])]})
+
+
 def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, vec_id, score, rank): the exact ``k`` nearest points of each query (query_id, vector).
 
-    Queries are packed in blocks of BLOCK, one row each, and every batch of points meets a block as one matrix
-    product, of which only its ``k`` best per query go on. Scores are rounded to 6, ties go to the smaller id.
+    Up to BLOCK queries are broadcast, and every batch of points meets them as one matrix product, of which
+    only the ``k`` best per query go on: points are not shuffled. Of more queries each block meets the points in
+    shards, one pair a task. Scores are rounded to 6, ties go to the smaller id.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
-    packed = queries.withColumn("block", F.floor(F.row_number().over(Window.orderBy("query_id")) / BLOCK)).groupBy("block").agg(F.collect_list(F.struct("query_id", F.col("vector").cast("array<double>").alias("v"))).alias("qs"))
-    pairs = points.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).crossJoin(F.broadcast(packed) if queries.count() <= BLOCK else packed)
-    ids = points.schema[id_col].dataType.simpleString()
-    qids = queries.schema["query_id"].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for _, part in frame.groupby("block", sort=False):
-                qs = part["qs"].iloc[0]
-                q = np.stack([np.asarray(x["v"]) for x in qs])
-                x = np.stack(part["v"].to_numpy())
-                s = x @ q.T
-                if metric == "cosine":
-                    norm = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None]
-                    s = np.where(norm > 0, np.clip(s / np.where(norm > 0, norm, 1), -1, 1), 0)
-                elif metric == "euclidean":
-                    s = -np.sqrt(np.maximum((x * x).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * s, 0))
-                s = np.round(s, 6) + 0.0
-                vec = part["vec_id"].to_numpy()
-                for j, one in enumerate(qs):
-                    best = np.lexsort((vec, -s[:, j]))[:k]
-                    yield pd.DataFrame({"query_id": one["query_id"], "vec_id": vec[best], "score": s[best, j]})
-
-    # a block travels with every row of points, so batches are what share it
-    near = pairs.mapInPandas(run, f"query_id {qids}, vec_id {ids}, score double")
+    spark = points.sparkSession
+    rows = points.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("q"))
+    kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {points.schema[id_col].dataType.simpleString()}, score double"
+    few = asked.limit(BLOCK + 1).collect()
+    if not few:
+        near = spark.createDataFrame([], kind)
+    elif len(few) <= BLOCK:
+        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in few]), np.array([r["q"] for r in few])))
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, q = shared.value
+            for frame in frames:
+                if len(frame):
+                    yield _nearest(frame["vec_id"].to_numpy(), np.stack(frame["v"].to_numpy()), names, q, k, metric)
+
+        near = rows.mapInPandas(run, kind)
+    else:
+        blocks, shards = -(-asked.count() // BLOCK), max(spark.sparkContext.defaultParallelism, -(-rows.count() // SHARD))
+        every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+        left = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).select("*", every(blocks, "block"))
+        right = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).select("*", every(shards, "shard"))
+
+        def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return pd.DataFrame({"query_id": b["query_id"][:0], "vec_id": a["vec_id"][:0], "score": np.zeros(0)})
+            x, q, names = np.stack(a["v"].to_numpy()), np.stack(b["q"].to_numpy()), b["query_id"].to_numpy()
+            return pd.concat([_nearest(a["vec_id"].to_numpy(), x, names[at : at + 256], q[at : at + 256], k, metric) for at in range(0, len(q), 256)])
+
+        near = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(pair, kind)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -68,6 +68,15 @@ def test_knn_on_all_metrics(spark):
     assert best == {"cosine": [1, 2, 3], "dot": [2, 1, 3], "euclidean": [1, 2, 3]}
 
 
+def test_knn_of_many_queries(spark, monkeypatch):
+    pts = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "vec_id long, embedding array<double>")
+    q = pts.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    want = {tuple(r) for r in vector.knn(pts, q, 4).collect()}
+    monkeypatch.setattr(vector, "BLOCK", 25)
+    assert {tuple(r) for r in vector.knn(pts, q, 4).collect()} == want and len(want) == 240
+    assert vector.knn(pts, q.where("false"), 4).count() == 0
+
+
 def test_rerank_and_multi_query(spark):
     rows = spark.createDataFrame([(1, "a", 1, 0.9, 0.2), (1, "b", 2, 0.8, 0.7), (1, "c", 3, 0.1, None)], "query_id int, id string, rank int, score double, s double")
     out = fusion.rerank(rows, F.col("s")).orderBy("rank").collect()
