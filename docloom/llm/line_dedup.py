@@ -48,7 +48,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     lines, drop = F.split(text, "\n"), F.col("__drop")
     gone = F.transform(keys(text), lambda key: F.coalesce(F.array_contains(drop, hashed(key)), F.lit(False)))
-    keeps = F.filter(lines, lambda line, i: ~F.element_at(F.col("__gone"), (i + 1).cast("int")))
+    # zipped, not looked up by position in a lambda: there Spark may put the whole expression of __gone, once a line
+    marked = F.zip_with(lines, F.col("__gone"), lambda line, away: F.struct(line.alias("line"), away.alias("away")))
+    keeps = F.transform(F.filter(marked, lambda x: ~x["away"]), lambda x: x["line"])
     out = docs.join(drops.hint("shuffle_hash"), F.col(id_col) == F.col("__id"), "left")
     out = out.withColumn("__gone", F.when(drop.isNotNull(), gone))
     stays = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
