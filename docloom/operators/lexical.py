@@ -55,7 +55,7 @@ def corpus(docs: DataFrame, tokens: Column) -> DataFrame:
 
 
 def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, delta: float = 0.0, allowed: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, score, matched): BM25 of every query against every document with one of its terms.
+    """(query_id, id, score): BM25 of every query against every document with one of its terms.
 
     ``queries`` (query_id, ts array<string>); ``delta`` above 0 gives BM25+. Document frequencies and lengths are
     of the whole index, also where ``allowed`` (id) narrows what is scored. The index is joined on terms, so only
@@ -70,8 +70,15 @@ def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, k1: float = 1.5
     hits = hits.join(terms, "term")
     tf, dl = F.col("tf"), F.greatest("dl", F.lit(1))
     base = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
+    return hits.groupBy("query_id", "id").agg(F.round(F.sum(F.col("idf") * (base + delta) * F.col("qf")), 6).alias("score"))
+
+
+def with_matched(ranked: DataFrame, index: DataFrame, queries: DataFrame) -> DataFrame:
+    """``ranked`` (query_id, id) with ``matched``: the query's terms in the document and how often. Asked of what is left after ranking only."""
+    terms = queries.select("query_id", F.explode(F.array_distinct("ts")).alias("term"))
+    found = index.join(ranked.select("query_id", "id").join(terms, "query_id"), ["id", "term"])
     matched = F.sort_array(F.collect_list(F.struct("term", F.col("tf").cast("int").alias("tf"))))
-    return hits.groupBy("query_id", "id").agg(F.round(F.sum(F.col("idf") * (base + delta) * F.col("qf")), 6).alias("score"), matched.alias("matched"))
+    return ranked.join(found.groupBy("query_id", "id").agg(matched.alias("matched")), ["query_id", "id"])
 
 
 def top(scored: DataFrame, k: int, threshold: float = 0.0, by: str = "query_id", id_col: str = "id") -> DataFrame:

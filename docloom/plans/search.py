@@ -31,13 +31,14 @@ class SearchConfig:
     filters: fusion.Filters = field(default_factory=fusion.Filters)
 
 
-def lexical_search(docs: DataFrame, queries: DataFrame, c: SearchConfig, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(query_id, id, score, matched, rank) for queries (query_id, text)."""
+def lexical_search(docs: DataFrame, queries: DataFrame, c: SearchConfig, id_col: str = "doc_id", text_col: str = "text", matched: bool = False) -> DataFrame:
+    """(query_id, id, score, rank) for queries (query_id, text); with ``matched`` also the terms found."""
     tokens = lexical.tokenize(F.col(text_col))
     stats, index = lexical.corpus(docs, tokens), lexical.postings(docs, tokens, id_col)
     allowed = docs.where(c.filters.predicate()).select(F.col(id_col).alias("id")) if c.filters != fusion.Filters() else None
     asked = queries.select("query_id", lexical.tokenize(F.col("text")).alias("ts"))
-    return lexical.top(lexical.bm25(index, stats, asked, c.k1, c.b, c.delta, allowed), c.top_k, c.threshold)
+    best = lexical.top(lexical.bm25(index, stats, asked, c.k1, c.b, c.delta, allowed), c.top_k, c.threshold)
+    return lexical.with_matched(best, index, asked) if matched else best
 
 
 def semantic_search(points: DataFrame, queries: DataFrame, c: SearchConfig, id_col: str = "id", vector_col: str = "vector") -> DataFrame:

@@ -52,7 +52,7 @@ def l08(spark, d):
 
 @query("l09_matched_terms", f"WITH {bm25_sql(0)} SELECT query_id, id, matched FROM lex WHERE rank <= 5")
 def l09(spark, d):
-    return _show(search.lexical_search(table(spark, d, "documents"), _queries(spark, d), search.SearchConfig(top_k=5))).select("query_id", "id", "matched")
+    return _show(search.lexical_search(table(spark, d, "documents"), _queries(spark, d), search.SearchConfig(top_k=5), matched=True)).select("query_id", "id", "matched")
 
 
 @query("l10_threshold_filter", f"WITH {bm25_sql(0, chr(108) + 'ang = ' + chr(39) + 'fr' + chr(39))} SELECT query_id, id, score, rank::INT AS rank FROM lex WHERE score >= 3 AND rank <= 10")
@@ -118,7 +118,7 @@ def l12(spark, d):
 
 @query("f18_highlights")
 def f18(spark, d):
-    hits = search.lexical_search(table(spark, d, "documents"), _queries(spark, d), search.SearchConfig(top_k=3))
+    hits = search.lexical_search(table(spark, d, "documents"), _queries(spark, d), search.SearchConfig(top_k=3), matched=True)
     rows = hits.join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
     return rows.select("query_id", "id", F.explode(lexical.highlights(F.col("text"), F.transform("matched", lambda m: m["term"]))).alias("h")).select("query_id", "id", "h.*")
 
