@@ -20,6 +20,8 @@ SYMBOLS, WIDTH = 1_024, 32
 HEAD = 250_000
 #: Passes over the corpus, events of a step, noise symbols of a step, noise symbols that count for an event, first step size.
 ROUNDS, STEP, NOISE, RATIO, RATE = 2, 8_192, 96, 12, 0.15
+#: Steps that training makes at least of what it holds, and where the sums of squared gradients begin.
+LEAST_STEPS, CALM = 60, 1e-6
 #: Tokens and events that a worker gathers before it passes them on or trains on them.
 HELD, EVENTS = 300_000, 3_000_000
 #: The end of a text as a token: no word is empty.
@@ -76,13 +78,14 @@ class Network:
             at += old.size
 
     def train(self, codes: np.ndarray, counts: np.ndarray, seen: dict[str, np.ndarray], rng: np.random.Generator, rate: float) -> None:
-        """One pass over distinct events (codes of two context symbols and a symbol) and how often each was met.
+        """A pass (more over few) over distinct events, codes of two context symbols and a symbol, and how often each was met.
 
         Noise-contrastive estimation: an event is told from RATIO draws of the symbol distribution, for which
         the NOISE draws that a step shares stand. Steps are Adagrad's, its sums kept in ``seen``.
         """
         k = len(self.bias)
-        order = rng.permutation(len(codes))
+        passes = max(1, LEAST_STEPS * STEP // max(len(codes), STEP))
+        order = np.concatenate([rng.permutation(len(codes)) for _ in range(passes)])
         log_noise = np.log(RATIO * self.noise).astype(np.float32)
         for at in range(0, len(order), STEP):
             some = order[at : at + STEP]
@@ -104,7 +107,7 @@ class Network:
             np.add.at(bias, draws, other.sum(0))
             context = add(k + 1, near, toward @ self.near.T) + add(k + 1, far, toward @ self.far.T)
             for name, g in (("target", target), ("bias", bias), ("context", context), ("near", r1.T @ toward), ("far", r2.T @ toward)):
-                seen[name] = seen.get(name, 1e-8) + g * g
+                seen[name] = seen.get(name, CALM) + g * g
                 setattr(self, name, (getattr(self, name) + rate * g / np.sqrt(seen[name])).astype(np.float32))
 
     def log10(self, far: np.ndarray, near: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -210,7 +213,7 @@ class Scorer:
         self.network, self.number, self.n, self.v = network, number, n, v
         self.logs = np.log10(counts + 1.0)
         top = len(network.bias) - 1
-        self.rest = math.log10(n - int(counts[:top].sum()) + max(v - top, 0) + 1)
+        self.rest = math.log10(n - int(counts[:top].sum()) + v - min(top, len(counts)) + 1)
 
 
 def fit(train: DataFrame, text_col: str = "text", head: int = HEAD, symbols: int = SYMBOLS) -> tuple[Scorer, DataFrame]:
