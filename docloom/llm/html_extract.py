@@ -117,10 +117,20 @@ def _mark_noise(nodes: list[Node]) -> None:
         )
 
 
+def _density(chars: int, link_chars: int, tags: int, link_tags: int, ratio: float) -> float:
+    """Composite text density; ``ratio`` is the part of the page's characters that are in links."""
+    plain = max(chars - link_chars, 1)
+    base = math.log(chars / plain * link_chars + ratio * chars + math.e)
+    weight = math.log(max(chars / max(link_chars, 1) * max(tags, 1) / max(link_tags, 1), 1.0) + 1) / base
+    return chars / max(tags, 1) * weight
+
+
 def _measure(nodes: list[Node]) -> None:
     """Counts and composite text densities of what is not noise, children first."""
     links: dict[int, bool] = {}
     for node in nodes:
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = node.sum = 0.0
         links[id(node)] = node.tag == "a" or node.parent is not None and links[id(node.parent)]
     for node in reversed(nodes):
         if node.noise:
@@ -133,67 +143,127 @@ def _measure(nodes: list[Node]) -> None:
             elif not child.noise:
                 node.chars += child.chars
                 node.link_chars += child.link_chars
-                node.tags += child.tags + (child.tag not in INLINE)
+                node.tags += child.tags + (child.tag not in INLINE or child.tag == "br")
                 node.link_tags += child.link_tags + (child.tag == "a")
     body = nodes[0]
     ratio = body.link_chars / max(body.chars, 1)
     for node in nodes:
-        if node.noise or not node.chars:
+        if not node.noise and node.chars:
+            node.density = _density(node.chars, node.link_chars, node.tags, node.link_tags, ratio)
+    for node in reversed(nodes):
+        blocks = [c for c in node.children if isinstance(c, Node) and not c.noise and c.tag not in INLINE]
+        node.sum = sum(c.density for c in blocks)
+        # the text that stands in the node itself counts like one more child
+        own = [getattr(node, n) - sum(getattr(c, n) for c in blocks) for n in ("chars", "link_chars", "link_tags")]
+        if own[0] and not node.noise:
+            node.sum += _density(own[0], own[1], 0, own[2], ratio)
+
+
+def _mark_menus(nodes: list[Node]) -> bool:
+    """Marks blocks of links as noise and tells whether there are any."""
+    found = False
+    for node in nodes:
+        if node.noise or node.parent is None or node.tag == "body":
             continue
-        plain = max(node.chars - node.link_chars, 1)
-        base = math.log(node.chars / plain * node.link_chars + ratio * node.chars + math.e)
-        weight = math.log(max(node.chars / max(node.link_chars, 1) * max(node.tags, 1) / max(node.link_tags, 1), 1.0) + 1) / base
-        node.density = node.chars / max(node.tags, 1) * weight
+        menu = node.tag not in INLINE and node.link_chars > LINKED * node.chars and node.link_tags > 1
+        node.noise = menu or node.parent.noise
+        found = found or menu
+    return found
+
+
+def _densest(nodes: list[Node]) -> dict[int, Node]:
+    """For each node the block at or below it with the largest density sum, the outermost and first of equal ones."""
+    best: dict[int, Node] = {}
     for node in reversed(nodes):
-        node.sum = sum(c.density for c in node.children if isinstance(c, Node) and not c.noise and c.tag not in INLINE)
+        own = node
+        for child in node.children:
+            if isinstance(child, Node) and not child.noise and child.tag not in INLINE and best[id(child)].sum > own.sum:
+                own = best[id(child)]
+        best[id(node)] = own
+    return best
 
 
-def _select(nodes: list[Node]) -> Node:
-    """The subtree that is the article.
+def _select(nodes: list[Node]) -> list[Node]:
+    """The subtrees that are the article, in no order.
 
-    Of the blocks, the one with the largest sum of child densities; from there the choice widens along the
-    path to the body, as long as the wider node is an article or main element or no sparser than the
-    threshold, the least density on that path.
+    The one article or main element that a page has, or else the outermost around the block with the largest
+    density sum. Without one, that block and what is as dense: the threshold is the least density on the path from it
+    to the body, and of each subtree of the body that reaches it the part with the largest sum is taken. An element
+    that holds all the text of the page counts as body; it is not itself compared. Headings before the article
+    beside that path are its own. If the body itself has the largest sum, all of it stays.
     """
-    best = nodes[0]
+    inside: dict[int, bool] = {}
+    outer = []
     for node in nodes:
-        if not node.noise and node.tag not in INLINE and node.sum > best.sum:
-            best = node
+        above = node.parent is not None and inside[id(node.parent)]
+        inside[id(node)] = above or node.tag in ("article", "main") and not node.noise and node.chars > node.link_chars
+        if inside[id(node)] and not above:
+            outer.append(node)
+    if len(outer) == 1:
+        return outer
+    densest = _densest(nodes)
+    best = densest[id(nodes[0])]
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    marked = [n for n in path if n.tag in ("article", "main")]
-    if marked:
-        return marked[-1]
-    threshold = min(n.density for n in path)
-    for node in path[1:]:
-        if node.density >= threshold and node.density > 0:
-            best = node
-    return best
-
-
-def _blocks(root: Node) -> list[str]:
-    """The text of each block below ``root`` in page order, menus of links left out."""
+    around = [n for n in path if n.tag in ("article", "main")]
+    if around:
+        return [around[-1]]
+    pages = [n for n in path[1:] if n.parent is None or n.tag == "body" or n.chars == nodes[0].chars]
+    if not pages:
+        return [best]
+    page = pages[0]
+    own = path[: path.index(page)]
+    threshold = min(n.density for n in [*own, page])
+    chosen, on_path = {id(best): best}, {id(n) for n in own}
+    stack = [page]
+    while stack:
+        node = stack.pop()
+        before = True
+        for child in node.children:
+            if not isinstance(child, Node) or child.noise or child.tag in INLINE or not child.chars:
+                continue
+            if id(child) in on_path:
+                before = False
+                if child is not best:
+                    stack.append(child)
+            elif before and child.tag in ("h1", "h2") and (node is page or id(node) in on_path):
+                chosen[id(child)] = child
+            elif child.density >= threshold:
+                dense = densest[id(child)]
+                chosen[id(dense)] = dense
+                if dense is not child:
+                    stack.append(child)
+    return list(chosen.values())
+
+
+def _blocks(root: Node, only: list[Node]) -> list[str]:
+    """The text of each block of the subtrees ``only`` below ``root`` in page order."""
     blocks: list[list[str]] = [[]]
-    stack: list[object] = [root]
+    chosen, above = {id(n) for n in only}, set()
+    for n in only:
+        while n is not None and id(n) not in above:
+            above.add(id(n))
+            n = n.parent
+    stack: list[tuple[object, bool]] = [(root, False)]
     while stack:
-        x = stack.pop()
+        x, taken = stack.pop()
         if x is None:
             if blocks[-1]:
                 blocks.append([])
         elif isinstance(x, str):
-            blocks[-1].append(x)
-        elif not x.noise:
+            if taken:
+                blocks[-1].append(x)
+        elif not x.noise and (taken or id(x) in above):
+            taken = taken or id(x) in chosen
             inline = x.tag in INLINE
-            if not inline and x.chars and x.link_chars > LINKED * x.chars and x.link_tags > 1:
-                continue
             if x.tag in ("br", "td", "th"):
                 blocks[-1].append(" ")
             if not inline:
                 if blocks[-1]:
                     blocks.append([])
-                stack.append(None)
-            stack.extend(reversed(x.children))
+                stack.append((None, taken))
+            stack.extend((c, taken) for c in reversed(x.children))
     return [t for t in (" ".join("".join(b).split()) for b in blocks) if t]
 
 
@@ -205,7 +275,9 @@ def main_text(html: str | None) -> str:
     nodes = _ordered(tree.root)
     _mark_noise(nodes)
     _measure(nodes)
-    return "\n\n".join(_blocks(_select(nodes)))
+    if _mark_menus(nodes):
+        _measure(nodes)
+    return "\n\n".join(_blocks(tree.root, _select(nodes)))
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
@@ -213,7 +285,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
 
     Elements and classes that cannot be article are set aside; of the other nodes the composite text density
     (characters a tag, less for links) is computed, and the subtree with the largest sum of child densities
-    is the article, widened along its path to the body (see _select). White space inside a block becomes one
+    is the article, with the other subtrees that are as dense (see _select). White space inside a block becomes one
     blank, blocks are joined by two newlines in page order. Broken mark-up is read as browsers do
     in the usual cases (open paragraphs and list items end by themselves).
 

@@ -196,6 +196,20 @@ def test_density_finds_an_unmarked_article():
     assert text.startswith("Paragraph 0") and text.count("\n\n") == 4 and "Menu" not in text
 
 
+def test_unnamed_boilerplate_beside_an_unmarked_article_goes():
+    body = "".join(f"<p>Paragraph {i} with quite a few words that make it plainly a paragraph.</p>" for i in range(5))
+    more = "".join(f"<p>Part two {i} with quite a few words that make it plainly one more paragraph.</p>" for i in range(5))
+    teaser, legal = "<div>Read also what we wrote about other matters.</div>", "<div><p>All rights are with the owners of this site.</p></div>"
+    reader = "<div><div><b>Ann</b> Nice piece.</div><div><b>Bob</b> I do not think so.</div></div>"
+    for around in ("{}", "<div>{}</div>", "<div><div>{}</div></div>"):
+        text = html_extract.main_text("<body>" + around.format(f"<h1>The title</h1>{teaser}<div>{body}</div>{reader}<div>{more}</div>{legal}") + "</body>")
+        assert text.split("\n\n") == ["The title", *(f"Paragraph {i} with quite a few words that make it plainly a paragraph." for i in range(5)), *(f"Part two {i} with quite a few words that make it plainly one more paragraph." for i in range(5))]
+    lines = "A line of an article that has no paragraphs at all.<br>" * 4
+    assert html_extract.main_text(f"<body>{teaser}<div>{lines}</div>{legal}</body>") == lines.replace("<br>", " ").strip()
+    reply = "<p>A reader answers at a length that no paragraph of the article has, again and again, without an end.</p>" * 9
+    assert html_extract.main_text(f"<body><div><article><p>Short.</p></article><div>{reply}</div></div></body>") == "Short."
+
+
 # quality
 def test_counts_against_brute_force():
     rnd = random.Random(9)
