@@ -160,10 +160,12 @@ def _measure(nodes: list[Node]) -> None:
 
 
 def _mark_menus(nodes: list[Node]) -> bool:
-    """Marks blocks of links as noise and tells whether there are any."""
+    """Marks blocks of links outside article and main elements as noise and tells whether there are any."""
     found = False
+    inside: dict[int, bool] = {}
     for node in nodes:
-        if node.noise or node.parent is None or node.tag == "body":
+        inside[id(node)] = node.tag in ("article", "main") or node.parent is not None and inside[id(node.parent)]
+        if node.noise or node.parent is None or node.tag == "body" or inside[id(node)]:
             continue
         menu = node.tag not in INLINE and node.link_chars > LINKED * node.chars and node.link_tags > 1
         node.noise = menu or node.parent.noise
@@ -285,7 +287,8 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
 
     Elements and classes that cannot be article are set aside; of the other nodes the composite text density
     (characters a tag, less for links) is computed, and the subtree with the largest sum of child densities
-    is the article, with the other subtrees that are as dense (see _select). White space inside a block becomes one
+    is the article, with the other subtrees that are as dense (see _select). Blocks of at least
+    two links with over LINKED of their characters are menus and left out, except in article and main elements. White space inside a block becomes one
     blank, blocks are joined by two newlines in page order. Broken mark-up is read as browsers do
     in the usual cases (open paragraphs and list items end by themselves).
 

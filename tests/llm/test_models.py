@@ -210,6 +210,15 @@ def test_unnamed_boilerplate_beside_an_unmarked_article_goes():
     assert html_extract.main_text(f"<body><div><article><p>Short.</p></article><div>{reply}</div></div></body>") == "Short."
 
 
+def test_lists_of_links_in_an_article_stay():
+    links = "<ul><li><a href=a>First source of the story</a><li><a href=b>Second source of the story</a></ul>"
+    table = "<table><tr><td><a href=c>One</a></td><td><a href=d>Two</a></td></tr></table><p><a href=e>Here</a> <a href=f>and there</a></p>"
+    page = f"<body><div>{links}</div><article><p>The story itself is told in this paragraph.</p>{links}{table}</article><div>{links}</div></body>"
+    for tag in ("article", "main"):
+        text = html_extract.main_text(page.replace("article", tag))
+        assert text.split("\n\n") == ["The story itself is told in this paragraph.", "First source of the story", "Second source of the story", "One Two", "Here and there"]
+
+
 # quality
 def test_counts_against_brute_force():
     rnd = random.Random(9)
