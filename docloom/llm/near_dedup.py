@@ -1,0 +1,129 @@
+"""Near-duplicate documents by the exact Jaccard similarity of their word shingles, for the corpus pipeline."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from .common import cut, texts
+from .components import components
+
+WORDS_PER_SHINGLE, SIMILARITY = 5, 0.8
+#: A pair of similarity s shares a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.99997 at 0.8.
+BANDS, ROWS = 20, 4
+SEED = 42
+
+_rng = np.random.default_rng(SEED)
+_FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+_MIX = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+
+
+def shingles(text: str, words: int = WORDS_PER_SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a whole text's shingles; a shorter text is one shingle, one without words none."""
+    parts = text.encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(parts)
+    ends = list(accumulate([len(p) + 1 for p in parts]))
+    k = min(words, len(parts))
+    starts = [0, *ends[: len(parts) - k]]
+    return np.unique(np.array([xxh64_intdigest(line[a : b - 1], SEED) for a, b in zip(starts, ends[k - 1 :], strict=True)], dtype=np.uint64))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: of the minima of its ROWS permutations of ``hashes``. None for an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[at : at + 1024, None] * _FACTORS).min(0), out=least)
+    mixed = least.reshape(BANDS, ROWS) ^ least.reshape(BANDS, ROWS) >> np.uint64(29)
+    key = (mixed * _MIX).sum(1, dtype=np.uint64)
+    return (key ^ key >> np.uint64(32)).view(np.int64)
+
+
+def _set_id(hashes: np.ndarray) -> int:
+    x = xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _signatures(docs: DataFrame, words: int) -> DataFrame:
+    """(id, node, n, keys) of each row of ``docs`` (id, text): its set of shingles, the size of that and its bands."""
+    schema = docs.select("id", F.lit(0).cast("long").alias("node"), F.lit(0).alias("n"), F.array(F.lit(0).cast("long")).alias("keys")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, words) for t in texts(batch)]
+            keys = [bands(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "n", "keys"])
+
+    return docs.select("id", "text").mapInArrow(run, schema)
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """(node, hashes) of each row of ``docs`` (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                sets = [shingles(t, words) for t in texts(batch.slice(at, 256))]
+                yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    return docs.select("id", "text").mapInArrow(run, "node long, hashes array<long>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (u, v) whose sets have at least this Jaccard similarity."""
+    u, v = (sets.select(F.col("node").alias(x), F.col("hashes").alias("h" + x)) for x in "uv")
+    common = F.size(F.array_intersect("hu", "hv"))
+    return pairs.join(u, "u").join(v, "v").where(common >= similarity * (F.size("hu") + F.size("hv") - common) - 1e-9).select("u", "v")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS_PER_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, node, component) for each row: documents linked by a Jaccard similarity of at least ``similarity`` share a component.
+
+    Candidates share a band of min-wise hashes and have fitting sizes; each is compared by its whole sets before it
+    links. Equal sets are one node. A band's sets are first compared with one of them, then with one another
+    where they are not yet joined, so a dense group costs about its size. ``component`` is the smallest id of
+    the group; a null id is never the smallest, and rows that repeat an id are separate documents of that id.
+    """
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = cut(_signatures(named, words))
+    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("least"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")))
+    keyed = nodes.select(F.posexplode("keys").alias("band", "key"), "node", "n")
+    full = keyed.groupBy("band", "key").agg(F.count("*").alias("many"), F.min(F.struct("node", "n")).alias("one")).where("many > 1").drop("many")
+    keyed = cut(keyed.join(full, ["band", "key"]))
+    fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+    first = keyed.where((F.col("node") != F.col("one.node")) & fits("n", "one.n")).select(F.col("one.node").alias("u"), F.col("node").alias("v")).distinct()
+    ids = nodes.join(keyed.select("node").distinct(), "node", "left_semi").select("node", "least")
+    some = named.join(ids.select(F.col("least").alias("__least")).distinct(), F.col("id").eqNullSafe(F.col("__least")), "left_semi")
+    sets = cut(_sets(some, words).join(ids, "node", "left_semi").groupBy("node").agg(F.any_value("hashes").alias("hashes")))
+    links = cut(_similar(first, sets, similarity))
+    joined = components(links)
+    left = keyed.select("band", "key", "node", "n").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # bands whose sets are all joined already have nothing to compare
+    apart = left.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band", "key")
+    left = cut(left.join(apart, ["band", "key"], "left_semi"))
+    u, v = (left.select("band", "key", F.col("node").alias(x), F.col("n").alias("n" + x), F.col("root").alias("r" + x)) for x in "uv")
+    second = u.join(v, ["band", "key"]).where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & fits("nu", "nv")).select("u", "v").distinct()
+    second = second.join(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
+    roots = components(links.union(_similar(second, sets, similarity)))
+    joined = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = joined.groupBy("root").agg(F.min("least").alias("component"))
+    return rows.select("id", "node").join(joined.select("node", "root").join(least, "root").select("node", "component"), "node").select("id", "node", "component")
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates: that of the smallest id.
+
+    Rows that repeat the kept id all stay; documents without an id stay only in groups without any id.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options)
+    keep = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__id")).distinct()
+    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import ann, bpe, html_extract, lm_score, quality, simhash, toxicity
+from docloom.llm import ann, bpe, html_extract, lm_score, near_dedup, quality, simhash, toxicity
 from docloom.llm.components import components
 
 HARD = [(1, None), (2, ""), (3, " \n\t "), (4, "word"), (5, "word"), (5, "word"), (None, "a b c d e"), (6, "é ß \U0001f600 <|endoftext|> x"), (7, "long " * 30_000)]
@@ -89,6 +89,34 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(40)}
 
 
+def test_pipeline_keeps_one_of_near_copies(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(11)
+    rows = []
+    for g in range(40):
+        words = [f"w{rnd.randint(0, 9000)}" for _ in range(300)]
+        rows.append((10 * g, " ".join(words)))
+        for k in range(1, 6):
+            copy = list(words)
+            for at in rnd.sample(range(300), 2 * k):
+                copy[at] = f"new{rnd.randint(0, 9000)}"
+            rows.append((10 * g + k, " ".join(copy)))
+    rows += [(1000 + i, t) for i, t in HARD if i is not None] + [(None, HARD[6][1]), (9000, "A  b c\nd e")]
+    sets = [set(near_dedup.shingles(t or "").tolist()) for _, t in rows]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    label = roots(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if alike(sets[a], sets[b])])
+    least = {}
+    for (i, _), g in zip(rows, label, strict=True):
+        if i is not None:
+            least[g] = min(least.get(g, i), i)
+    stages = dict(corpus_pipeline.STAGES)
+    df = frame(spark, rows)
+    got = stages[next(k for k in stages if "near" in k)](spark, df, "")
+    assert Counter(r.doc_id for r in got.collect()) == Counter(i for i, _ in rows if i in set(least.values())) and got.columns == df.columns
+    assert near_dedup.dedup(frame(spark, [])).count() == 0
+
+
 # nearest neighbours
 def test_recall_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(0)
