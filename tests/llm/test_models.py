@@ -238,6 +238,80 @@ def test_unnamed_boilerplate_beside_an_unmarked_article_goes():
     assert html_extract.main_text(f"<body><div><article><p>Short.</p></article><div>{reply}</div></div></body>") == "Short."
 
 
+PARAGRAPHS = [f"Paragraph {i} with quite a few words that make it plainly a paragraph." for i in range(5)]
+BODY = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<nav><a href=x>Home</a></nav><form>{BODY}<input value=x><button>Go</button></form>",
+        f"<nav><a>Home</a></nav><div class='social-history'>{BODY}</div><footer>f</footer>",
+        f"<div id='search-results-article'>{BODY}</div>",
+        f"<div class='cookie-notice'>We use cookies.</div><div class='promotion'>{BODY}</div>",
+        f"<article>{BODY}<div class='ad-box'>Buy</div><form>Subscribe <input></form><div class='post-comments'>I say</div></article>",
+        f"<main><div>Read also what others wrote.</div><div>{BODY}</div></main>",
+        f"<article><p>{PARAGRAPHS[0]}</p>{BODY[len(PARAGRAPHS[0]) + 7 : -len(PARAGRAPHS[4]) - 7]}<p class='promotion-history'>{PARAGRAPHS[4]}</p></article>",
+    ],
+)
+def test_names_never_cost_the_article(page):
+    assert html_extract.main_text(f"<body>{page}</body>").split("\n\n") == PARAGRAPHS
+
+
+@pytest.mark.parametrize("page", ["<a b " * 200_000, "<" * 1_000_000, "<b>" * 100_000 + "<h1></h1>" * 40_000, "<p><div>" + "<b>" * 80_000 + "<h1></h1>" * 40_000, "<i><div>" + "<b>" * 80_000 + "</i>" * 40_000, "<div>" * 80_000 + "</p>" * 80_000, "<a b='" * 100_000, "<!--" * 200_000, "<li>" * 80_000, "<a " + "=" * 500_000])
+def test_broken_pages_cost_no_square(page):
+    import time
+
+    start = time.perf_counter()
+    html_extract.main_text(page)
+    assert time.perf_counter() - start < 20
+
+
+def test_densities_against_brute_force():
+    rnd = random.Random(12)
+
+    def grow(depth):
+        kind = rnd.choice(["div", "section", "p", "a", "b", "text", "text"]) if depth < 5 else "text"
+        if kind == "text":
+            return " ".join(["word"] * rnd.randint(1, 12))
+        inner = [grow(depth + 1) for _ in range(rnd.randint(1, 4))] if kind in ("div", "section") else [" ".join(["word"] * rnd.randint(0, 9))]
+        return (kind, inner)
+
+    html = lambda t: t + " " if isinstance(t, str) else f"<{t[0]}>{''.join(map(html, t[1]))}</{t[0]}>"
+
+    def count(t, linked=False):  # characters, characters in links, tags, links
+        if isinstance(t, str):
+            n = len(t.replace(" ", ""))
+            return np.array([n, n * linked, 0, 0])
+        own = sum((count(x, linked or t[0] == "a") + np.array([0, 0, not isinstance(x, str) and x[0] not in ("a", "b"), not isinstance(x, str) and x[0] == "a"]) for x in t[1]), np.zeros(4, int))
+        return own
+
+    def density(n, ratio):
+        c, lc, tags, lt = n.tolist()
+        if not c:
+            return 0.0
+        return c / max(tags, 1) * math.log(max(c / max(lc, 1) * max(tags, 1) / max(lt, 1), 1) + 1) / math.log(c / max(c - lc, 1) * lc + ratio * c + math.e)
+
+    for _ in range(60):
+        tree = ("div", [grow(1) for _ in range(rnd.randint(2, 5))])
+        whole = count(tree)
+        ratio = whole[1] / max(whole[0], 1)
+        nodes = html_extract._ordered(html_extract._Tree(html(tree)).root)
+        html_extract._mark_noise(nodes)
+        html_extract._measure(nodes)
+        todo = [(tree, nodes[1])]
+        while todo:
+            t, node = todo.pop()
+            assert node.density == pytest.approx(density(count(t, node.tag == "a"), ratio))
+            blocks = [x for x in t[1] if not isinstance(x, str) and x[0] not in ("a", "b")]
+            if t[0] in ("div", "section"):
+                loose = sum((count((t[0], [x])) for x in t[1] if isinstance(x, str) or x[0] in ("a", "b")), np.zeros(4, int))
+                loose[2] = 0
+                want = sum(density(count(x), ratio) for x in blocks) + density(loose, ratio)
+                assert node.sum == pytest.approx(want)
+            todo.extend(zip((x for x in t[1] if not isinstance(x, str)), (c for c in node.children if not isinstance(c, str)), strict=True))
+
+
 def test_lists_of_links_in_an_article_stay():
     links = "<ul><li><a href=a>First source of the story</a><li><a href=b>Second source of the story</a></ul>"
     table = "<table><tr><td><a href=c>One</a></td><td><a href=d>Two</a></td></tr></table><p><a href=e>Here</a> <a href=f>and there</a></p>"
