@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -22,18 +23,31 @@ FANOUT, STARTS, FEW, PAIRS, CHUNK = 16, 32, 32, 4_000_000, 200_000
 #: Fingerprints of a bucket from which on it is split by more bits, and how often at most.
 BUCKET, SPLITS = 8_192, 3
 FULL = (1 << 64) - 1
+#: For documents alike by a Jaccard similarity: words of a shingle, that similarity, and the differing bits up to which fingerprints are candidates.
+SET_WORDS, SIMILARITY, SET_BITS = 5, 0.8, 13
+#: Fingerprints that a bucket of sampled bits has on average, and the part of pairs at SET_BITS that may share no bucket.
+SAMPLED, MISSED = 256, 0.02
 
 
 def fingerprint(text: str, words: int = WORDS_PER_SHINGLE) -> int:
     """64 bits: each is 1 if it is set in over half of the hashes of the text's shingles."""
+    return majority(shingle_hashes(text, words))
+
+
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """The hashes of a whole text's shingles, repeats included; a shorter text is one shingle, one without words has none."""
     parts = text.encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, "<u8")
     line = b" ".join(parts)
     ends = list(accumulate([len(p) + 1 for p in parts]))
     k = min(words, len(parts))
     starts = [0, *ends[: len(parts) - k]]
-    hashes = np.array([xxh64_intdigest(line[a : b - 1], SEED) for a, b in zip(starts, ends[k - 1 :], strict=True)], dtype="<u8")
+    return np.array([xxh64_intdigest(line[a : b - 1], SEED) for a, b in zip(starts, ends[k - 1 :], strict=True)], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of ``hashes``; none of none."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
         counts += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -97,7 +111,7 @@ class GrayIndex:
             self.root = level["parent"][self.root]
         self.bucket_start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(codes) else np.zeros(0, np.int64)
         self.bucket_size = np.diff(np.r_[self.bucket_start, len(codes)])
-        self.unvisited = np.ones(len(codes), bool)
+        self.order, self.unvisited, self.dense = order, np.ones(len(codes), bool), np.zeros(len(codes), bool)
 
     def near(self, queries: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """All (query, leaf) of the same bucket within ``bits``, over unvisited leaves."""
@@ -133,6 +147,7 @@ class GrayIndex:
     def _spread(self, sources: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """A search in breadth from one source a bucket: what is reached is visited and asks next, once."""
         self.visit(sources)
+        self.dense[sources] = True
         frontier, step = sources, 32
         while len(frontier):
             queries, frontier = frontier[:step], frontier[step:]
@@ -142,6 +157,7 @@ class GrayIndex:
             if len(reach):
                 yield q[at], reach
                 self.visit(reach)
+                self.dense[reach] = True
                 frontier = np.r_[frontier, reach]
 
     def links(self, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -149,7 +165,8 @@ class GrayIndex:
 
         A leaf with few neighbours gives them all and is visited. One with many is the source of a search in
         breadth, one source a bucket at a time, that takes its whole component; its members are not
-        reached again, so a dense group costs about its size and not its square.
+        reached again, so a dense group costs about its size and not its square. They are marked in ``dense``:
+        of them only the links of the search are given, of all others every link.
         """
         cursor = self.bucket_start.copy()
         while (cursor < self.bucket_start + self.bucket_size).any():
@@ -172,11 +189,11 @@ class GrayIndex:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Codes and bucket numbers, whole buckets at a time, of rows that come sorted by bucket."""
+    """Rows (mask, value, fp, ...) and bucket numbers, whole buckets at a time, of rows that come sorted by bucket."""
     held: list[np.ndarray] = []
     n = 0
     for batch in batches:
-        held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)], 1))
+        held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for c in batch.columns], 1))
         n += len(held[-1])
         if n >= CHUNK:
             rows = np.concatenate(held)
@@ -184,22 +201,22 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             if len(change):
                 done, held = rows[: change[-1] + 1], [rows[change[-1] + 1 :]]
                 n = len(held[0])
-                yield _bucketed(done)
+                yield done, _numbered(done)
             else:
                 held = [rows]
     if n:
-        yield _bucketed(np.concatenate(held))
+        rows = np.concatenate(held)
+        yield rows, _numbered(rows)
 
 
-def _bucketed(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    bucket = np.cumsum(np.r_[0, (rows[1:, :2] != rows[:-1, :2]).any(1)])
-    return rows[:, 2].copy().view(np.uint64), bucket
+def _numbered(rows: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.r_[0, (rows[1:, :2] != rows[:-1, :2]).any(1)])
 
 
 def _linked(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for codes, bucket in _chunks(batches):
-            index = GrayIndex(codes, bucket)
+        for rows, bucket in _chunks(batches):
+            index = GrayIndex(rows[:, 2].copy().view(np.uint64), bucket)
             signed = index.codes.view(np.int64)
             for a, b in index.links(bits):
                 yield pa.RecordBatch.from_arrays([pa.array(signed[a]), pa.array(signed[b])], names=["u", "v"])
@@ -242,6 +259,20 @@ def links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     return keyed.mapInArrow(_linked(bits), "u long, v long")
 
 
+def _components(nodes: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
+    """(``key``, component) for each of ``nodes`` (``key``, least): the least id of all that ``pairs`` (u, v of ``key``) join it to.
+
+    Nodes are ordered by their least id (none last) while components are found, so the root brings the id with it.
+    """
+    label = F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("least"), F.col(key).alias("key"))
+    named = nodes.select(F.col(key).alias("__key"), label.alias("label"))
+    for side in ("u", "v"):
+        pairs = pairs.join(named, F.col(side) == F.col("__key")).drop("__key", side).withColumnRenamed("label", side)
+    roots = components(pairs).select(F.col("node.key").alias("__key"), F.col("root.least").alias("component"), F.lit(True).alias("found"))
+    joined = nodes.join(roots, F.col(key) == F.col("__key"), "left")
+    return joined.select(key, F.when(F.col("found"), F.col("component")).otherwise(F.col("least")).alias("component"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS_PER_SHINGLE, bits: int = MAX_BITS) -> DataFrame:
     """(id, fp, component) for each row: documents whose SimHash fingerprints are linked share a component.
 
@@ -252,18 +283,138 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = cut(fingerprints(docs, id_col, text_col, words))
     distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(links(distinct.select("fp"), bits))
-    joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component"))
-    return rows.join(joined.select("fp", "root").join(least, "root").select("fp", "component"), "fp").select("id", "fp", "component")
+    found = _components(distinct, "fp", links(distinct.select("fp"), bits))
+    return rows.join(found, "fp").select("id", "fp", "component")
+
+
+def _set_id(hashes: np.ndarray) -> int:
+    x = xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _set_rows(docs: DataFrame, words: int) -> DataFrame:
+    """(id, node, n, fp) of each row of ``docs`` (id, text): its set of shingles, the size of that and its fingerprint."""
+    schema = docs.select("id", F.lit(0).cast("long").alias("node"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("fp")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(_set_id(s), len(s), majority(s)) for s in (np.unique(shingle_hashes(t, words)) for t in texts(batch))]
+            node, n, fp = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["id", "node", "n", "fp"])
+
+    return docs.select("id", "text").mapInArrow(run, schema)
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """(node, hashes) of each row of ``docs`` (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                sets = [np.unique(shingle_hashes(t, words)) for t in texts(batch.slice(at, 256))]
+                yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "hashes"])
 
+    return docs.select("id", "text").mapInArrow(run, "node long, hashes array<long>")
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+
+def sampled_masks(n: int, bits: int) -> list[int]:
+    """Masks of sampled bits for ``n`` fingerprints, as signed longs: so many bits that a bucket has about SAMPLED of them, so many
+    masks that a pair at ``bits`` shares a bucket but for MISSED of all cases (and a nearer pair the more surely)."""
+    if n <= SAMPLED:
+        return [0]
+    k = math.ceil(math.log2(n / SAMPLED))
+    shared = math.comb(64 - bits, k) / math.comb(64, k)
+    rng = np.random.default_rng(SEED)
+    masks = [sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for _ in range(math.ceil(math.log(MISSED) / math.log1p(-shared)))]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def _bucketed_by(nodes: DataFrame, masks: list[int], *more: str) -> DataFrame:
+    """``nodes`` once in each bucket of ``masks``: mask, value under the mask, fp and ``more``, sorted by bucket."""
+    keyed = nodes.select(F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask"), "fp", *more)
+    keyed = keyed.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp", *more)
+    return keyed.repartition("mask", "value").sortWithinPartitions("mask", "value")
+
+
+def _candidates(bits: int, similarity: float, apart: bool):
+    """Candidate pairs (u, v) within each bucket of (mask, value, fp, node, n[, root]): nodes within ``bits`` and of fitting sizes.
+
+    Without ``apart`` all links of GrayIndex.links, and (node, node) for each that it calls dense; with it every pair of different
+    roots, for which only nodes outside the most frequent root of a bucket are searched for.
+    """
+
+    def fitting(n, a, b):
+        return np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bucket in _chunks(batches):
+            index = GrayIndex(rows[:, 2].copy().view(np.uint64), bucket)
+            node, n = rows[index.order, 3], rows[index.order, 4]
+            if apart:
+                root, b = rows[index.order, 5], bucket[index.order]
+                pairs, first, count = np.unique(np.stack([b, root], 1), axis=0, return_index=True, return_counts=True)
+                best = np.lexsort((-count, pairs[:, 0]))
+                best = best[np.r_[True, pairs[best][1:, 0] != pairs[best][:-1, 0]]]
+                asks = np.flatnonzero(root != pairs[best, 1][np.searchsorted(pairs[best, 0], b)])
+                for at in range(0, len(asks), 256):
+                    q, leaf = index.near(asks[at : at + 256], bits)
+                    ok = (root[q] != root[leaf]) & fitting(n, q, leaf)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[q[ok]], node[leaf[ok]])), pa.array(np.maximum(node[q[ok]], node[leaf[ok]]))], names=["u", "v"])
+            else:
+                for a, b in index.links(bits):
+                    ok = fitting(n, a, b)
+                    a, b = node[a[ok]], node[b[ok]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
+                dense = pa.array(node[index.dense])
+                yield pa.RecordBatch.from_arrays([dense, dense], names=["u", "v"])
+
+    return run
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (u, v) whose sets have at least this Jaccard similarity."""
+    u, v = (sets.select(F.col("node").alias(x), F.col("hashes").alias("h" + x)) for x in "uv")
+    common = F.size(F.array_intersect("hu", "hv"))
+    return pairs.join(u, "u").join(v, "v").where(common >= similarity * (F.size("hu") + F.size("hv") - common) - 1e-9).select("u", "v")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SET_WORDS, similarity: float = SIMILARITY, bits: int = SET_BITS) -> DataFrame:
+    """(id, node, component) for each row: documents linked by a Jaccard similarity of at least ``similarity`` share a component.
+
+    The similarity is that of the whole sets of ``words``-word shingles. Sets are nodes with a SimHash fingerprint each (equal sets are
+    one); candidates are those within ``bits`` of each other by the Gray-order index, searched in buckets of sampled bits
+    (see sampled_masks), and each is compared by its whole sets before it links. Of a dense group the index gives the links of
+    one search only; where their comparison leaves a dense group apart, its other pairs are compared in a second round.
+
+    ``component`` is the smallest id of the group; a null id is never the smallest, and rows that repeat an id are separate documents
+    of that id. Null and empty texts have the empty set, which is like itself only.
+    """
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = cut(_set_rows(named, words))
+    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("least"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp")))
+    masks = sampled_masks(nodes.count(), bits)
+    met = cut(_bucketed_by(nodes, masks, "node", "n").mapInArrow(_candidates(bits, similarity, False), "u long, v long").distinct())
+    first, dense = met.where("u < v"), met.where("u = v").select(F.col("u").alias("node"))
+    ends = first.select(F.explode(F.array("u", "v")).alias("node")).union(dense).distinct()
+    ids = cut(nodes.join(ends, "node", "left_semi").select("node", "least"))
+    some = named.join(ids.select(F.col("least").alias("__least")).distinct(), F.col("id").eqNullSafe(F.col("__least")), "left_semi")
+    sets = cut(_sets(some, words).join(ids, "node", "left_semi").groupBy("node").agg(F.any_value("hashes").alias("hashes")))
+    joined = cut(_similar(first, sets, similarity))
+    if dense.head(1):
+        roots = components(joined)
+        left = nodes.join(dense, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        more = _bucketed_by(left, masks, "node", "n", "root").mapInArrow(_candidates(bits, similarity, True), "u long, v long").distinct()
+        joined = joined.union(_similar(more.join(first, ["u", "v"], "left_anti"), sets, similarity))
+    return rows.select("id", "node").join(_components(nodes, "node", joined), "node").select("id", "node", "component")
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **options) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: that of the smallest id.
 
-    Rows that repeat the kept id all stay; documents without an id stay only in groups without any id.
+    Groups are those of near_duplicates, or with ``similarity`` those of similar_documents. Rows that repeat the kept id
+    all stay; documents without an id stay only in groups without any id.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
+    found = near_duplicates(docs, id_col, text_col, **options) if similarity is None else similar_documents(docs, id_col, text_col, similarity=similarity, **options)
     keep = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__id")).distinct()
     return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
 
