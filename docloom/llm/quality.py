@@ -14,6 +14,8 @@ from .common import SPACE, read
 
 #: Most labelled documents of each class that the field is fitted on, and the lines of one training sequence.
 SAMPLE, PIECE = 500, 32
+#: Penalties on the weights and on the moves between states, and how often line states are found anew.
+DECAY, MOVE_DECAY, TURNS = 1e-3, 1e-2, 4
 #: Least share of a kept document's words that stand in lines of content.
 SHARE = 0.5
 MIN_WORDS, WINDOW, MAX_REPEATED = 20, 8, 30
@@ -104,6 +106,36 @@ def describe(text: str) -> tuple[list[tuple[float, ...]], list[int], tuple[int,
     return out, [len(s) for s in split], (len(words), chars, symbols, dups, int(inside.sum()))
 
 
+def likelihood(theta: np.ndarray, X: np.ndarray, live: np.ndarray, gold: np.ndarray, share: np.ndarray) -> tuple[float, np.ndarray]:
+    """The penalised log likelihood of the states ``gold`` (one-hot) of padded sequences ``X``, each counting by ``share``, and its gradient.
+
+    ``theta`` holds the weights of features by state and the moves between states.
+    """
+    size = X.shape[2] * 2
+    W, A = theta[:size].reshape(-1, 2), theta[size:].reshape(2, 2)
+    penalty = np.r_[np.full(size, DECAY), np.full(4, MOVE_DECAY)]
+    pairs = live[:, 1:] & live[:, :-1]
+    e = X @ W
+    a, b = np.zeros_like(e), np.zeros_like(e)
+    a[:, 0] = e[:, 0]
+    long = X.shape[1]
+    for k in range(1, long):
+        step = np.logaddexp(a[:, k - 1, 0, None] + A[0], a[:, k - 1, 1, None] + A[1]) + e[:, k]
+        a[:, k] = np.where(live[:, k, None], step, a[:, k - 1])
+    z = np.logaddexp(a[:, -1, 0], a[:, -1, 1])
+    for k in range(long - 2, -1, -1):
+        ahead = b[:, k + 1] + e[:, k + 1]
+        step = np.logaddexp(A[:, 0] + ahead[:, 0, None], A[:, 1] + ahead[:, 1, None])
+        b[:, k] = np.where(live[:, k + 1, None], step, 0.0)
+    p = np.exp(a + b - z[:, None, None]) * live[:, :, None]
+    q = np.exp(a[:, :-1, :, None] + A + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]) * pairs[:, :, None, None]
+    moved = gold[:, :-1, :, None] * gold[:, 1:, None, :] * pairs[:, :, None, None]
+    value = float(share @ ((gold * e).sum((1, 2)) + (moved * A).sum((1, 2, 3)) - z) - 0.5 * (penalty * theta * theta).sum())
+    gw = np.einsum("i,ikf,iks->fs", share, X, gold - p)
+    ga = np.einsum("i,ikst->st", share, moved - q)
+    return value, np.r_[gw.ravel(), ga.ravel()] - penalty * theta
+
+
 class Field:
     """A linear-chain conditional random field over lines with the states 0 (boilerplate) and 1 (content)."""
 
@@ -111,48 +143,57 @@ class Field:
         self.weights, self.moves = weights, moves
 
     @classmethod
-    def fit(cls, sequences: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> Field:
-        """The field of the greatest penalised likelihood of ``sequences`` (features, state of all lines), by Adam."""
-        weights, moves = np.zeros((len(FEATURES), 2)), np.zeros((2, 2))
-        if len({y for _, y in sequences}) < 2:
-            weights[0, 1] = 1.0
-            return cls(weights, moves)
-        pieces = [(x[k : k + PIECE], y) for x, y in sequences for k in range(0, len(x), PIECE)]
-        long = max(len(x) for x, _ in pieces)
-        X = np.zeros((len(pieces), long, len(FEATURES)))
+    def fit(cls, documents: list[tuple[np.ndarray, np.ndarray, int]], turns: int = TURNS) -> Field:
+        """The field of ``documents`` (features and words of each line, label of the whole), whose lines have no labels.
+
+        Line states are latent. They begin as what an independent model of single lines says, and are then found again ``turns``
+        times by Viterbi decoding under the field so far, held to what a label says of its document: of a good one at least
+        half of the words stand in content, of a bad one at most half. So a good line in a bad document, or a bad one in a good document,
+        keeps its own state, and transitions are learned from the switches that are there.
+        """
+        field = cls(np.zeros((len(FEATURES), 2)), np.zeros((2, 2)))
+        documents = [d for d in documents if d[1].sum()]
+        if len({y for _, _, y in documents}) < 2:
+            field.weights[0, 1] = 1.0
+            return field
+        field = field._climb([(x, np.full(len(x), y), y) for x, _, y in documents], 120, chain=False)
+        for turn in range(turns):
+            states = [field._held(x, n, y) for x, n, y in documents]
+            field = field._climb([(x, s, y) for (x, _, y), s in zip(documents, states, strict=True)], 60)
+        return field
+
+    def _held(self, x: np.ndarray, words: np.ndarray, label: int) -> np.ndarray:
+        """The most probable states of a document's lines, with as few lines as it takes, the least certain first, turned to its label."""
+        states = np.array(self.decode(x))
+        e = x @ self.weights
+        order = np.argsort(-(e[:, 1] - e[:, 0]) * (1 if label else -1), kind="stable")
+        for k in order[states[order] != label]:
+            if 2 * words[states == label].sum() >= words.sum():
+                break
+            states[k] = label
+        return states
+
+    def _climb(self, sequences: list[tuple[np.ndarray, np.ndarray, int]], rounds: int, chain: bool = True, rate: float = 0.1) -> Field:
+        """The field after ``rounds`` steps of Adam up the penalised likelihood of ``sequences`` (features, states, label), from this one on."""
+        pieces = [(x[k : k + PIECE], s[k : k + PIECE], y) for x, s, y in sequences for k in range(0, len(x), PIECE)]
+        long = max(len(x) for x, _, _ in pieces)
+        X, gold = np.zeros((len(pieces), long, len(FEATURES))), np.zeros((len(pieces), long, 2))
         live = np.zeros((len(pieces), long), bool)
-        for i, (x, _) in enumerate(pieces):
+        for i, (x, s, _) in enumerate(pieces):
             X[i, : len(x)], live[i, : len(x)] = x, True
+            gold[i, np.arange(len(x)), s] = 1
         # each class and each document count alike, however many lines they have
-        y = np.array([y for _, y in pieces])
+        y = np.array([y for _, _, y in pieces])
         share = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1)) / live.sum(1)
-        gold = np.zeros((len(pieces), long, 2))
-        gold[np.arange(len(pieces)), :, y] = live
-        pairs = live[:, 1:] & live[:, :-1]
-        theta = np.zeros(weights.size + moves.size)
+        theta = np.r_[self.weights.ravel(), self.moves.ravel()]
         m = v = np.zeros_like(theta)
         for t in range(1, rounds + 1):
-            W, A = theta[: weights.size].reshape(weights.shape), theta[weights.size :].reshape(2, 2)
-            e = X @ W
-            a, b = np.zeros_like(e), np.zeros_like(e)
-            a[:, 0] = e[:, 0]
-            for k in range(1, long):
-                step = np.logaddexp(a[:, k - 1, 0, None] + A[0], a[:, k - 1, 1, None] + A[1]) + e[:, k]
-                a[:, k] = np.where(live[:, k, None], step, a[:, k - 1])
-            z = np.logaddexp(a[:, -1, 0], a[:, -1, 1])
-            for k in range(long - 2, -1, -1):
-                ahead = b[:, k + 1] + e[:, k + 1]
-                step = np.logaddexp(A[:, 0] + ahead[:, 0, None], A[:, 1] + ahead[:, 1, None])
-                b[:, k] = np.where(live[:, k + 1, None], step, 0.0)
-            p = np.exp(a + b - z[:, None, None]) * live[:, :, None]
-            q = np.exp(a[:, :-1, :, None] + A + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]) * pairs[:, :, None, None]
-            d = gold - p
-            gw = np.einsum("i,ikf,iks->fs", share, X, d)
-            ga = np.einsum("i,ikst->st", share, gold[:, :-1, :, None] * gold[:, 1:, None, :] - q)
-            g = np.r_[gw.ravel(), ga.ravel()] - decay * theta
+            _, g = likelihood(theta, X, live, gold, share)
+            if not chain:
+                g[self.weights.size :] = 0
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             theta = theta + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-        return cls(theta[: weights.size].reshape(weights.shape), theta[weights.size :].reshape(2, 2))
+        return Field(theta[: self.weights.size].reshape(self.weights.shape), theta[self.weights.size :].reshape(2, 2))
 
     def decode(self, features: list[tuple[float, ...]]) -> list[int]:
         """The most probable states of a document's lines, by Viterbi; equal paths go to content."""
@@ -176,8 +217,8 @@ class Field:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Field:
     """The field fitted on ``sample`` labelled documents of each class at most, chosen by a hash of the id.
 
-    No table has labels of lines, so every line of a good document counts as content and every line of a bad one
-    as boilerplate. The sample bounds what the driver gets: features of lines, never texts. Labels that are
+    No table has labels of lines; their states are latent and held to the labels of documents (see Field.fit).
+    The sample bounds what the driver gets: features of lines, never texts. Labels that are
     null or not of both classes give a field that keeps every line.
     """
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null").groupBy("id").agg(F.max("label").alias("label"))
@@ -187,12 +228,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, text, label in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("id", "text", "label")), strict=True):
-                flat = np.asarray(describe(text or "")[0], np.float32)
+                features, words, _ = describe(text or "")
+                flat = np.c_[np.asarray(features, np.float32), np.array(words, np.float32)]
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([label], pa.int32()), pa.array([flat.tobytes()])], names=["id", "label", "x"])
 
     schema = T.StructType([chosen.schema["id"], T.StructField("label", T.IntegerType()), T.StructField("x", T.BinaryType())])
     rows = sorted(((r.id, r.label, bytes(r.x)) for r in chosen.mapInArrow(run, schema).collect()))
-    return Field.fit([(np.frombuffer(x, np.float32).reshape(-1, len(FEATURES)).astype(float), y) for _, y, x in rows])
+    flat = [(np.frombuffer(x, np.float32).reshape(-1, len(FEATURES) + 1).astype(float), y) for _, y, x in rows]
+    return Field.fit([(x[:, :-1], x[:, -1], y) for x, y in flat])
 
 
 COLUMNS = {"n_words": T.LongType(), "word_chars": T.LongType(), "n_symbols": T.LongType(), "n_dup_lines": T.LongType(), "n_repeat_words": T.LongType(), "base_failed": T.BooleanType(), "kept": T.BooleanType(), "content_share": T.DoubleType()}
