@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import chain
 
@@ -17,8 +18,8 @@ from pyspark.sql import types as T
 
 from .common import read
 
-#: Distinct words whose ids a worker remembers; the memory starts anew when it is full.
-REMEMBERED = 400_000
+#: Distinct words, and pairs of tokens, whose outcome a worker remembers; a memory starts anew when it is full.
+REMEMBERED, PAIRS = 100_000, 300_000
 END = "</w>"
 
 
@@ -32,107 +33,129 @@ def byte_characters() -> list[str]:
 class Automaton:
     """Deterministic automaton over tokens whose accepted sequences are exactly the BPE encodings.
 
-    It begins with a state for each symbol and arcs between all of them. Merges are added in
-    order of rank; the gadget of merge (u, v) -> w takes arc v from the state of u, gives state w the
-    arcs that the state of v has by then, and leads arc w from wherever arc u leads by then. A gadget
-    therefore settles each later arc by an earlier one: the arcs of all pairs of tokens need not be laid
-    out, ``arc`` follows the gadgets back for a pair when it is first met and tables the answer.
+    It begins with a state for each symbol and arcs between all of them. Merges are added in order of rank, each by its
+    gadget: for (u, v) -> w, the state of u loses arc v; the new state w copies the state of v as it is by then; and arc w
+    begins wherever arc u is by then. Copies are not written out. A state keeps its default, the state it copied, with the
+    rank up to which that one's losses are its own, and a list of its own losses by rank. An arc is known by its place in the order
+    of the tree in which every token hangs below the token its arc was copied from, in order of rank: what one gadget takes from a
+    state (arc v, and later all that begin where arc v is no more) is one interval of that order. So the compiled automaton is a few arrays
+    of the size of the vocabulary, made once; whether a state has an arc is read off them.
 
     Symbols are the 256 bytes and the same at the end of a word (256 to 511). A word goes through a
-    character table (the trie of all tokens with its failure links, filled in as it is used); at each
-    symbol exactly one token that ends there continues the path of its start, and that is the transition.
+    character table (the trie of all tokens with its failure links); at each symbol exactly one token that ends there
+    continues the path of its start, and that is the transition.
     """
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         symbol = {c: b for b, c in enumerate(byte_characters())}
+        size = max(vocab.values(), default=-1) + 1
         self.label = {i: t for t, i in vocab.items()}
-        self.rank: dict[int, int] = {}
-        self.born: dict[int, int] = {}
-        self.parts: dict[int, tuple[int, int]] = {}
+        born, left, right = [-1] * size, [-1] * size, [-1] * size
+        lost: list[list[tuple[int, int]]] = [[] for _ in range(size)]  # of a state: ranks and the arcs that their gadgets take
         spelled: dict[int, tuple[int, ...]] = {}
         for c, b in symbol.items():
             for text, s in ((c, b), (c + END, 256 + b)):
-                spelled[vocab[text]], self.born[vocab[text]] = (s,), 0
+                spelled[vocab[text]], born[vocab[text]] = (s,), 0
         for k, (a, b) in enumerate(merges, 1):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
-            self.rank[u << 20 | v] = k
-            if w not in self.born:
-                self.born[w], self.parts[w], spelled[w] = k, (u, v), spelled[u] + spelled[v]
-        self.length = {t: len(s) for t, s in spelled.items()}
+            lost[u].append((k, v))
+            if born[w] < 0:
+                born[w], left[w], right[w], spelled[w] = k, u, v, spelled[u] + spelled[v]
+        self.born, self.left, self.right = born, left, right
+        self.length = [len(spelled.get(t, ())) for t in range(size)]
+        self._number_arcs()
+        self.lost = [sorted((self.place[v], self._from(v, k), k) for k, v in own) for own in lost]
+        self._compile_characters(spelled)
+        self.arcs: dict[int, bool] = {}
+
+    def _number_arcs(self) -> None:
+        """Numbers the arcs so that an arc comes behind those copied from it, older ones first."""
+        below: list[list[int]] = [[] for _ in self.born]
+        tops = []
+        for t in sorted((t for t, b in enumerate(self.born) if b >= 0), key=self.born.__getitem__):
+            (below[self.left[t]] if self.left[t] >= 0 else tops).append(t)
+        self.below, self.place, self.begin = below, [-1] * len(self.born), [-1] * len(self.born)
+        n = 0
+        for top in tops:
+            stack = [(top, False)]
+            while stack:
+                t, done = stack.pop()
+                if done:
+                    self.place[t] = n
+                    n += 1
+                else:
+                    self.begin[t] = n
+                    stack.append((t, True))
+                    stack.extend((c, False) for c in reversed(below[t]))
+
+    def _from(self, v: int, k: int) -> int:
+        """Where the interval begins that a state without arc ``v`` from rank ``k`` on never has."""
+        later = next((c for c in self.below[v] if self.born[c] >= k), v)
+        return self.place[v] if later == v else self.begin[later]
+
+    def _compile_characters(self, spelled: dict[int, tuple[int, ...]]) -> None:
+        """The trie of all tokens, the failure link of each node, and the nearest node at or below that where a token ends."""
         self.next: dict[int, int] = {}
-        self.ends: list[int | None] = [None]
-        self.depth, above = [0], [(0, 0)]
+        self.ends, self.depth, above = [-1], [0], [(0, 0)]
         for token, symbols in spelled.items():
             node = 0
             for s in symbols:
                 at = node << 9 | s
                 if at not in self.next:
                     self.next[at] = len(self.ends)
-                    self.ends.append(None)
+                    self.ends.append(-1)
                     self.depth.append(self.depth[node] + 1)
                     above.append((node, s))
                 node = self.next[at]
             self.ends[node] = token
-        self.above, self.fall = above, [0, *[-1] * (len(above) - 1)]
-        self.found: list[tuple[tuple[int, int], ...] | None] = [None] * len(above)
-        self.arcs: dict[int, bool] = {}
+        self.fall, self.found = [0] * len(above), [0] * len(above)
+        for node in sorted(range(1, len(above)), key=self.depth.__getitem__):
+            up, s = above[node]
+            if up:
+                self.fall[node] = self._step(self.fall[up], s)
+            self.found[node] = node if self.ends[node] >= 0 else self.found[self.fall[node]]
 
-    def arc(self, x: int, y: int) -> bool:
-        """Whether the state of token ``x`` has an arc ``y`` once every merge is in."""
-        by, parts, rank, until = self.born, self.parts, self.rank, len(self.rank)
+    def _step(self, node: int, s: int) -> int:
         while True:
-            k = rank.get(x << 20 | y)
-            if k is not None and k <= until:
-                return False
-            a, b = by[x], by[y]
-            if not a and not b:
-                return True
-            if a == b:
-                until = a - 1
-                x, y = parts[x][1], parts[x][0]
-            elif a > b:
-                until, x = a - 1, parts[x][1]
-            else:
-                u, v = parts[y]
-                if u == v == x:
-                    return False
-                until, y = b - 1, u
+            to = self.next.get(node << 9 | s)
+            if to is not None:
+                return to
+            if not node:
+                return 0
+            node = self.fall[node]
 
-    def _fallen(self, node: int) -> int:
-        if self.fall[node] < 0:
-            up, s = self.above[node]
-            self.fall[node] = self._step(self._fallen(up), s) if up else 0
-        return self.fall[node]
-
-    def _step(self, node: int, s: int) -> int:
-        at = node << 9 | s
-        if at not in self.next:
-            self.next[at] = self._step(self._fallen(node), s) if node else 0
-        return self.next[at]
-
-    def _tokens(self, node: int) -> tuple[tuple[int, int], ...]:
-        """The tokens that end at a trie node and their lengths, longest first."""
-        out, at = [], node
-        while at:
-            if self.ends[at] is not None:
-                out.append((self.ends[at], self.depth[at]))
-            at = self._fallen(at)
-        self.found[node] = tuple(out)
-        return self.found[node]
+    def arc(self, x: int, y: int) -> bool:
+        """Whether the state of token ``x`` has arc ``y``: neither it nor, up to its copying, any of its defaults has lost it."""
+        place, until, state = self.place[y], len(self.born) << 1, x
+        while state >= 0:
+            own, at, taken = self.lost[state], 0, y
+            while own and taken >= 0:  # the arcs that this one was copied from come behind it in order
+                at = bisect_left(own, (self.place[taken],), at)
+                if at == len(own):
+                    break
+                end, begin, k = own[at]
+                if end == self.place[taken] and begin <= place and k < until:
+                    return False
+                taken = self.left[taken]
+            until, state = self.born[state], self.right[state]
+        return True
 
     def run(self, word: bytes) -> list[int]:
         """The ids of one pre-split word: the arcs that its path takes."""
         if not word:
             return []
+        if len(self.arcs) > PAIRS:
+            self.arcs.clear()
         last: list[int] = []
-        node, arcs, found, table = 0, self.arcs, self.found, self.next
+        node, arcs, table, found, ends, depth = 0, self.arcs, self.next, self.found, self.ends, self.depth
         final = len(word) - 1
         for i, s in enumerate(word):
             if i == final:
                 s += 256
-            at = table.get(node << 9 | s)
-            node = self._step(node, s) if at is None else at
-            for token, n in found[node] or self._tokens(node):
+            node = table.get(node << 9 | s) or self._step(node, s)
+            at = found[node]
+            while True:
+                token, n = ends[at], depth[at]
                 if n > i:
                     break
                 pair = last[i - n] << 20 | token
@@ -141,6 +164,7 @@ class Automaton:
                     ok = arcs[pair] = self.arc(last[i - n], token)
                 if ok:
                     break
+                at = found[self.fall[at]]
             last.append(token)
         ids, i = [], final
         while i >= 0:
@@ -152,7 +176,7 @@ class Automaton:
 class Tokenizer:
     """Encoder and decoder made from the text of a tokenizer file of this kind (see the class Automaton).
 
-    Strings of added tokens are cut out of the raw text first; the rest goes through NFC, white space to
+    Strings of added tokens, whatever they look like, are cut out of the raw text first; the rest goes through NFC, white space to
     one blank, lower case by code point and the file's splitting pattern.
     """
 
@@ -161,91 +185,108 @@ class Tokenizer:
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.automaton = Automaton(spec["model"]["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]])
         self.labels = self.automaton.label | {i: t for t, i in self.added.items()}
-        self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in self.added) + ")")
-        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self._open()
+
+    def _open(self) -> None:
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in longest) + ")") if longest else None
+        self.first = {x[0] for x in longest}
+        self.pieces = regex.compile(self.pattern).findall
         self.space = regex.compile(r"\s+").sub
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[list[int], str]] = {}
 
-    def _word(self, piece: str) -> list[int]:
+    def __getstate__(self):
+        return {k: self.__dict__[k] for k in ("added", "automaton", "labels", "pattern")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._open()
+
+    def _word(self, piece: str) -> tuple[list[int], str]:
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-        ids = self.known[piece] = self.automaton.run(piece.encode("utf-8", "surrogatepass"))
-        return ids
+        ids = self.automaton.run(piece.encode("utf-8", "surrogatepass"))
+        self.known[piece] = found = (ids, self.decode(ids))
+        return found
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def words(self, text: str) -> Iterator[tuple[list[int], str]]:
+        """The ids of each pre-split word of a text, and the labels of their arcs joined by blanks."""
         known = self.known
-        for k, part in enumerate(self.cut.split(text) if "<|" in text else (text,)):
+        parts = self.cut.split(text) if any(c in text for c in self.first) else (text,)
+        for k, part in enumerate(parts):
             if k % 2:
-                out.append(self.added[part])
+                yield [self.added[part]], part
                 continue
             part = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
             part = self.space(" ", part).lower()
-            words = self.pieces(part)
-            out.extend(chain.from_iterable([known.get(w) or self._word(w) for w in words]))
-        return out
+            for w in self.pieces(part):
+                yield known.get(w) or self._word(w)
+
+    def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable([ids for ids, _ in self.words(text)]))
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, joined by blanks as a file without a decoder has it."""
         return " ".join(map(self.labels.__getitem__, ids))
 
 
-_tokenizers: dict[int, Tokenizer] = {}
-
-
-def _load(shared) -> Tokenizer:
-    """One tokenizer for each worker process and file."""
-    key = hash(shared.value)
-    if key not in _tokenizers:
-        _tokenizers[key] = Tokenizer(shared.value)
-    return _tokenizers[key]
+def _shared(docs: DataFrame, path: str):
+    """The tokenizer of the file ``path``, compiled once on the driver and broadcast (its size is that of the vocabulary)."""
+    with open(path, encoding="utf-8") as f:
+        return docs.sparkSession.sparkContext.broadcast(Tokenizer(f.read()))
 
 
-def _column(docs: DataFrame, name: str, source: str, kind: T.DataType, shared, make) -> DataFrame:
-    names = [c for c in docs.columns if c != name]
-    schema = T.StructType([*[docs.schema[c] for c in names], T.StructField(name, kind)])
+def _columns(docs: DataFrame, added: dict[str, T.DataType], source: str, make) -> DataFrame:
+    """``docs`` with the columns ``added``, made from ``source`` in parts of at most 500 rows."""
+    names = [c for c in docs.columns if c not in added]
+    schema = T.StructType([*[docs.schema[c] for c in names], *[T.StructField(n, t) for n, t in added.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _load(shared)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in names], make(tokenizer, part.column(part.schema.get_field_index(source)))], names=[*names, name])
+                made = make(part.column(part.schema.get_field_index(source)))
+                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in names], *made], names=[*names, *added])
 
     return docs.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with ``ids_col`` array<int>: the ids of the whole text under the tokenizer file ``path``.
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """``docs`` with ``ids_col`` array<int>: the ids of the whole text under the tokenizer file ``path``; with ``decoded_col`` also,
+    in the same pass, what they decode to.
 
     No special tokens are added; strings of special tokens in a text become their ids. A null or empty
-    text has no ids. Rows are independent, so repeats, ties and any length or number of rows are
-    as good as any; a column named ``ids_col`` is replaced and all others pass through. The file (under
-    2 MB) is read on the driver and broadcast, so executors need no copy of it.
+    text has no ids and decodes to "". Rows are independent, so repeats, ties and any length or number of rows are
+    as good as any; columns of the new names are replaced and all others pass through. The automaton is
+    compiled on the driver and broadcast; executors need no copy of the file, and what a worker remembers is bounded.
     """
-    with open(path, encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    shared = _shared(docs, path)
 
-    def make(tokenizer: Tokenizer, texts: pa.Array) -> pa.Array:
-        flat, ends = array("i"), array("i", [0])
+    def make(texts: pa.Array) -> list[pa.Array]:
+        tokenizer = shared.value
+        flat, ends, decoded = array("i"), array("i", [0]), []
         for x in texts:
-            flat.extend(tokenizer.encode(x.as_py() or ""))
+            found = list(tokenizer.words(x.as_py() or ""))
+            flat.extend(chain.from_iterable([ids for ids, _ in found]))
             ends.append(len(flat))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            if decoded_col:
+                decoded.append(" ".join([label for ids, label in found if ids]))
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+        return [ids, pa.array(decoded, pa.string())] if decoded_col else [ids]
 
-    return _column(docs, ids_col, text_col, T.ArrayType(T.IntegerType()), shared, make)
+    return _columns(docs, {ids_col: T.ArrayType(T.IntegerType())} | ({decoded_col: T.StringType()} if decoded_col else {}), text_col, make)
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``docs`` with ``text_col``: the arc labels of ``ids_col``, joined as the file's library does. Null ids decode to ""."""
-    with open(path, encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    shared = _shared(docs, path)
 
-    def make(tokenizer: Tokenizer, lists: pa.Array) -> pa.Array:
+    def make(lists: pa.Array) -> list[pa.Array]:
         ids, ends = lists.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()]).tolist()
-        return pa.array([tokenizer.decode(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+        return [pa.array([shared.value.decode(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.string())]
 
-    return _column(docs, text_col, ids_col, T.StringType(), shared, make)
+    return _columns(docs, {text_col: T.StringType()}, ids_col, make)
 
 
 def vocabulary() -> str:
@@ -255,8 +296,7 @@ def vocabulary() -> str:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary()
-    out = decode(encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids"), path)
+    out = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(), decoded_col="decoded")
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
