@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -14,16 +15,18 @@ from pyspark.sql import functions as F
 
 from .common import cut, held_out, read, texts
 
-#: Symbols that the network tells apart (the most frequent tokens and one for all others), and its width.
-SYMBOLS, WIDTH = 1_024, 32
+#: Width of the network, and bounds of the symbols that it tells apart. Between them their number grows with the corpus (see symbols_for).
+WIDTH, LEAST_SYMBOLS, MOST_SYMBOLS = 32, 256, 16_384
+#: Part of the symbols that stand for the tokens without one of their own, by a hash.
+HASHED = 0.25
 #: Tokens whose counts every worker holds; counts of the rarer ones are joined.
 HEAD = 250_000
-#: Passes over the corpus, events of a step, noise symbols of a step, noise symbols that count for an event, first step size.
-ROUNDS, STEP, NOISE, RATIO, RATE = 2, 8_192, 96, 12, 0.15
-#: Steps that training makes at least of what it holds, and where the sums of squared gradients begin.
-LEAST_STEPS, CALM = 60, 1e-6
-#: Tokens and events that a worker gathers before it passes them on or trains on them.
-HELD, EVENTS = 300_000, 3_000_000
+#: Passes over the corpus, events of a step, noise classes of a step, noise symbols of a class and step, noise that counts for an event, first step size.
+ROUNDS, STEP, NOISE, CLASS_NOISE, RATIO, RATE = 2, 8_192, 32, 8, 8, 0.15
+#: Training tokens of a shard, which one task learns from at a time; steps that it makes at least; where the sums of squared gradients begin.
+SHARD_TOKENS, LEAST_STEPS, CALM = 4_000_000, 60, 1e-6
+#: Distinct tokens that a worker gathers before it passes their counts on.
+HELD = 300_000
 #: The end of a text as a token: no word is empty.
 END = b""
 
@@ -49,23 +52,44 @@ def count_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def symbols_for(n: int) -> int:
+    """The number of symbols for a corpus of ``n`` tokens: a square that grows with the root of ``n`` between the two bounds."""
+    side = 1 << math.ceil(math.log2(max(math.sqrt(n), 1)) / 2)
+    return int(np.clip(side * side, LEAST_SYMBOLS, MOST_SYMBOLS))
+
+
+def _add(n: int, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The sums of ``x`` by its row numbers."""
+    order = np.argsort(rows, kind="stable")
+    at = rows[order]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+    out = np.zeros((n, *x.shape[1:]), x.dtype)
+    if len(first):
+        out[at[first]] = np.add.reduceat(x[order], first, axis=0)
+    return out
+
+
 class Network:
     """The log-bilinear model: the two symbols before a place predict, linearly, the vector of the symbol there.
 
-    The score of symbol w is (r1 C1 + r2 C2) . q_w + b_w; probabilities are its softmax over all symbols. The
-    symbol SYMBOLS - 1 stands for all rarer tokens, the context SYMBOLS for what is before a text.
+    With the prediction g = r1 C1 + r2 C2 the class c of a symbol scores g . Q_c + B_c and the symbol in its class g . q_w + b_w; the
+    probability is the product of the softmax over the classes and that over the class, and so sums to one over all symbols. Classes
+    are equally many symbols next to each other by frequency. The context len(bias) stands for what is before a text.
     """
 
-    NAMES = ("context", "near", "far", "target", "bias")
+    NAMES = ("context", "near", "far", "classes", "class_bias", "target", "bias")
 
     def __init__(self, counts: np.ndarray):
-        """``counts``: of each symbol in the corpus."""
+        """``counts``: of each symbol in the corpus; their number is a square."""
         k, rng = len(counts), np.random.default_rng(6)
-        self.noise = (counts + 1.0) / (counts.sum() + k)
+        self.side = math.isqrt(k)
+        share = (counts + 1.0).reshape(self.side, -1)
+        self.class_noise = share.sum(1) / share.sum()
+        self.noise = (share / share.sum(1, keepdims=True)).ravel()
         self.context = rng.normal(0, 0.1, (k + 1, WIDTH)).astype(np.float32)
         self.near, self.far = (np.eye(WIDTH, dtype=np.float32) * s for s in (1.0, 0.5))
-        self.target = rng.normal(0, 0.1, (k, WIDTH)).astype(np.float32)
-        self.bias = np.log(self.noise).astype(np.float32)
+        self.classes, self.target = (rng.normal(0, 0.1, (m, WIDTH)).astype(np.float32) for m in (self.side, k))
+        self.class_bias, self.bias = np.log(self.class_noise).astype(np.float32), np.log(self.noise).astype(np.float32)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
@@ -77,60 +101,86 @@ class Network:
             setattr(self, n, flat[at : at + old.size].reshape(old.shape).astype(np.float32))
             at += old.size
 
+    def copy(self) -> Network:
+        own = object.__new__(Network)
+        own.__dict__.update({n: x.copy() if isinstance(x, np.ndarray) else x for n, x in self.__dict__.items()})
+        return own
+
     def train(self, codes: np.ndarray, counts: np.ndarray, seen: dict[str, np.ndarray], rng: np.random.Generator, rate: float) -> None:
         """A pass (more over few) over distinct events, codes of two context symbols and a symbol, and how often each was met.
 
-        Noise-contrastive estimation: an event is told from RATIO draws of the symbol distribution, for which
-        the NOISE draws that a step shares stand. Steps are Adagrad's, its sums kept in ``seen``.
+        Noise-contrastive estimation on both levels: a class is told from draws of the class distribution, a symbol from draws of the
+        distribution in its class, each draw counting for its part of RATIO; a step shares its draws. Steps are Adagrad's,
+        whose sums are kept in ``seen``.
         """
-        k = len(self.bias)
+        k, side = len(self.bias), self.side
         passes = max(1, LEAST_STEPS * STEP // max(len(codes), STEP))
-        order = np.concatenate([rng.permutation(len(codes)) for _ in range(passes)])
-        log_noise = np.log(RATIO * self.noise).astype(np.float32)
-        for at in range(0, len(order), STEP):
-            some = order[at : at + STEP]
+        inner = np.cumsum(self.noise.reshape(side, -1), 1)
+        class_log, log = (np.log(RATIO * x).astype(np.float32) for x in (self.class_noise, self.noise))
+        tell = lambda s: 1 / (1 + np.exp(np.clip(s, -30, 30)))
+        steps = (order[at : at + STEP] for _ in range(passes) for order in [rng.permutation(len(codes))] for at in range(0, len(codes), STEP))
+        for some in steps:
             far, rest = np.divmod(codes[some], (k + 1) * k)
             near, w = np.divmod(rest, k)
-            weight = counts[some].astype(np.float32)
+            by = np.argsort(w, kind="stable")
+            far, near, w = far[by], near[by], w[by]
+            weight = counts[some][by].astype(np.float32)
             weight /= weight.sum()
+            own = w // (k // side)
             r1, r2 = self.context[near], self.context[far]
             guess = r1 @ self.near + r2 @ self.far
-            draws = rng.choice(k, NOISE, p=self.noise)
-            own = weight / (1 + np.exp(np.clip((guess * self.target[w]).sum(1) + self.bias[w] - log_noise[w], -30, 30)))
-            other = guess @ self.target[draws].T + self.bias[draws] - log_noise[draws]
-            other = -(RATIO / NOISE) * weight[:, None] / (1 + np.exp(np.clip(-other, -30, 30)))
-            toward = own[:, None] * self.target[w] + other @ self.target[draws]
-            add = lambda n, i, x: np.stack([np.bincount(i, x[:, d], n) for d in range(x.shape[1])], 1)
-            target = add(k, w, own[:, None] * guess)
-            np.add.at(target, draws, other.T @ guess)
-            bias = np.bincount(w, own, k)
-            np.add.at(bias, draws, other.sum(0))
-            context = add(k + 1, near, toward @ self.near.T) + add(k + 1, far, toward @ self.far.T)
-            for name, g in (("target", target), ("bias", bias), ("context", context), ("near", r1.T @ toward), ("far", r2.T @ toward)):
-                seen[name] = seen.get(name, CALM) + g * g
+            # classes
+            draws = rng.choice(side, NOISE, p=self.class_noise)
+            hit = weight * tell((guess * self.classes[own]).sum(1) + self.class_bias[own] - class_log[own])
+            miss = -(RATIO / NOISE) * weight[:, None] * tell(-(guess @ self.classes[draws].T + self.class_bias[draws] - class_log[draws]))
+            toward = hit[:, None] * self.classes[own] + miss @ self.classes[draws]
+            classes, class_bias = _add(side, own, hit[:, None] * guess), np.bincount(own, hit, side)
+            np.add.at(classes, draws, miss.T @ guess)
+            np.add.at(class_bias, draws, miss.sum(0))
+            # symbols of each class; events come sorted by symbol and so by class
+            here, first = np.unique(own, return_index=True)
+            picks = np.stack([np.searchsorted(inner[c], rng.random(CLASS_NOISE) * inner[c, -1]) for c in here]).clip(0, k // side - 1) + here[:, None] * (k // side)
+            hit = weight * tell((guess * self.target[w]).sum(1) + self.bias[w] - log[w])
+            toward += hit[:, None] * self.target[w]
+            target, bias = _add(k, w, hit[:, None] * guess), np.bincount(w, hit, k)
+            ends = np.r_[first[1:], len(w)]
+            for c in range(len(here)):
+                a, b, p = first[c], ends[c], picks[c]
+                q = self.target[p]
+                miss = -(RATIO / CLASS_NOISE) * weight[a:b, None] * tell(-(guess[a:b] @ q.T + self.bias[p] - log[p]))
+                toward[a:b] += miss @ q
+                np.add.at(target, p, miss.T @ guess[a:b])
+                np.add.at(bias, p, miss.sum(0))
+            context = _add(k + 1, np.r_[near, far], np.concatenate([toward @ self.near.T, toward @ self.far.T]))
+            for name, g in (("classes", classes), ("class_bias", class_bias), ("target", target), ("bias", bias), ("context", context), ("near", r1.T @ toward), ("far", r2.T @ toward)):
+                seen[name] = seen.get(name, np.float32(CALM)) + (g * g).astype(np.float32)
                 setattr(self, name, (getattr(self, name) + rate * g / np.sqrt(seen[name])).astype(np.float32))
 
     def log10(self, far: np.ndarray, near: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """The normalised log10 probability of each symbol ``w``. Contexts are scored once each, in batched products."""
-        k = len(self.bias)
-        context, at = np.unique(far.astype(np.int64) * (k + 1) + near, return_inverse=True)
-        first, second = np.divmod(context, k + 1)
-        guess = self.context[second] @ self.near + self.context[first] @ self.far
-        norm = np.empty(len(context))
-        for i in range(0, len(context), 4096):
-            s = guess[i : i + 4096] @ self.target.T + self.bias
+        """The normalised log10 probability of each symbol ``w``, in batched products over the classes and over the symbols of each class."""
+        k, side = len(self.bias), self.side
+        size, out = k // side, np.empty(len(w))
+
+        def norm(s: np.ndarray) -> np.ndarray:
             top = s.max(1, keepdims=True)
-            norm[i : i + 4096] = np.log(np.exp(s - top).sum(1)) + top[:, 0]
-        out = np.empty(len(w))
-        for i in range(0, len(w), 1 << 18):
-            j = at[i : i + (1 << 18)]
-            out[i : i + (1 << 18)] = np.einsum("ij,ij->i", guess[j], self.target[w[i : i + (1 << 18)]]) + self.bias[w[i : i + (1 << 18)]] - norm[j]
+            return np.log(np.exp(s - top).sum(1)) + top[:, 0]
+
+        for at in range(0, len(w), 1 << 15):
+            x = w[at : at + (1 << 15)]
+            by = np.argsort(x, kind="stable")
+            x, own = x[by], x[by] // size
+            guess = self.context[near[at : at + (1 << 15)][by]] @ self.near + self.context[far[at : at + (1 << 15)][by]] @ self.far
+            s = guess @ self.classes.T + self.class_bias
+            value = s[np.arange(len(x)), own] - norm(s) + np.einsum("ij,ij->i", guess, self.target[x]) + self.bias[x]
+            here, first = np.unique(own, return_index=True)
+            for c, a, b in zip(here, first, np.r_[first[1:], len(x)], strict=True):
+                value[a:b] -= norm(guess[a:b] @ self.target[c * size : (c + 1) * size].T + self.bias[c * size : (c + 1) * size])
+            out[at : at + (1 << 15)][by] = value
         return out / math.log(10)
 
 
-def _symbols(numbers: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Far and near context and symbol at each place of texts laid end to end, which begin at ``starts``."""
-    w = np.where((numbers < 0) | (numbers >= k - 1), k - 1, numbers)
+def _contexts(w: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Far and near context and symbol at each place of the symbols of texts laid end to end, which begin at ``starts``."""
     near, far = np.r_[k, w[:-1]], np.r_[k, k, w[:-2]][: len(w)]
     near[starts] = k
     far[starts] = k
@@ -139,6 +189,30 @@ def _symbols(numbers: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarra
     return far, near, w
 
 
+class Vocabulary:
+    """Numbers of the head tokens by frequency, and the symbol of every token."""
+
+    def __init__(self, number: dict[bytes, int], symbols: int):
+        self.number, self.symbols = number, symbols
+        self.own = symbols - int(symbols * HASHED)
+        head = np.arange(len(number))
+        self.of = np.where(head < self.own, head, 0)
+        for token, i in number.items():
+            if i >= self.own:
+                self.of[i] = self.hashed(token)
+
+    def hashed(self, token: bytes) -> int:
+        return self.own + zlib.crc32(token) % (self.symbols - self.own)
+
+    def symbols_of(self, words: Iterator[bytes], numbers: np.ndarray) -> np.ndarray:
+        out = self.of[np.maximum(numbers, 0)] if len(self.of) else np.zeros(len(numbers), np.int64)
+        rare = np.flatnonzero(numbers < 0)
+        if len(rare):
+            flat = list(words)
+            out[rare] = [self.hashed(flat[i]) for i in rare.tolist()]
+        return out
+
+
 def _numbered(batch: pa.RecordBatch, number: dict[bytes, int], name: str) -> Iterator[tuple[list[list[bytes]], np.ndarray, np.ndarray, int]]:
     """Parts of a batch of at most some 500,000 tokens or one text: words, their numbers, text starts and the first row."""
     rows, size, first = [], 0, 0
@@ -153,41 +227,58 @@ def _numbered(batch: pa.RecordBatch, number: dict[bytes, int], name: str) -> Ite
             rows, size, first = [], 0, i + 1
 
 
-def train_network(docs: DataFrame, network: Network, number: dict[bytes, int], text_col: str = "text", rounds: int = ROUNDS) -> Network:
-    """``network`` trained on every token of ``docs``.
+def _encoded(docs: DataFrame, vocabulary: Vocabulary, shards: int, id_col: str, text_col: str) -> DataFrame:
+    """(shard, met, w) of ``docs``: one row for each shard with the symbols of its texts, in an order that ids and texts alone decide."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    In each round every task trains a copy on all it reads, and copies are averaged by their events; the
-    averaging is itself spread out, and the driver gets at most 16 models of fixed size.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, numbers, starts, first in _numbered(batch, shared.value.number, "text"):
+                w = shared.value.symbols_of(chain.from_iterable(rows), numbers).astype(np.int32)
+                here = batch.slice(first, len(rows))
+                yield pa.RecordBatch.from_arrays([here.column(0), here.column(1), pa.array([x.tobytes() for x in np.split(w, starts[1:])], pa.binary())], names=["shard", "place", "w"])
+
+    def gather(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("place", "ascending"), ("w", "ascending")])
+        met = sum(len(x.as_py()) for x in rows["w"]) // 4
+        whole = b"".join(len(x := r.as_py()).to_bytes(8, "little") + x for r in rows["w"])
+        return pa.table({"shard": rows["shard"].slice(0, 1), "met": pa.array([met], pa.int64()), "w": pa.array([whole], pa.binary())})
+
+    keyed = docs.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(shards)).alias("shard"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("place"), F.col(text_col).alias("text"))
+    return keyed.mapInArrow(run, "shard long, place long, w binary").groupBy("shard").applyInArrow(gather, "shard long, met long, w binary")
+
+
+def _events(whole: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct events of a shard, as codes, and how often each comes."""
+    parts, starts, at, n = [], [], 0, 0
+    while at < len(whole):
+        size = int.from_bytes(whole[at : at + 8], "little")
+        parts.append(np.frombuffer(whole, np.int32, size // 4, at + 8))
+        starts.append(n)
+        n += size // 4
+        at += 8 + size
+    far, near, w = _contexts(np.concatenate(parts).astype(np.int64), np.array(starts), k)
+    return np.unique((far * (k + 1) + near) * k + w, return_counts=True)
+
+
+def train_network(docs: DataFrame, network: Network, vocabulary: Vocabulary, n: int, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> Network:
+    """``network`` trained on every token of ``docs``, ``n`` in all.
+
+    Texts are dealt over shards of some SHARD_TOKENS tokens by their id. In each round every shard trains a copy, and copies are averaged
+    by their tokens. Shards and the order in them follow from ids and texts alone, so another partitioning gives the same model up to the order
+    in which sums of copies round. The driver gets one model of fixed size.
     """
     spark, k = docs.sparkSession, len(network.bias)
-    shared_number = spark.sparkContext.broadcast(number)
+    shards = cut(_encoded(docs, vocabulary, max(1, math.ceil(n / SHARD_TOKENS)), id_col, text_col))
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast(network)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
-            own = Network(np.ones(k))
-            own.load(shared.value.flat())
-            own.noise = shared.value.noise
-            rng, seen, met = np.random.default_rng(turn), {}, 0
-            held: list[np.ndarray] = []
-            size = 0
-
-            def learn() -> None:
-                own.train(*np.unique(np.concatenate(held), return_counts=True), seen, rng, RATE / (1 + turn))
-
             for batch in batches:
-                for _, numbers, starts, _ in _numbered(batch, shared_number.value, text_col):
-                    far, near, w = _symbols(numbers, starts, k)
-                    held.append((far * (k + 1) + near) * k + w)
-                    size += len(w)
-                    met += len(w)
-                    if size >= EVENTS:
-                        learn()
-                        held, size = [], 0
-            if held:
-                learn()
-            if met:
-                yield pa.RecordBatch.from_arrays([pa.array([float(met)]), pa.array([(own.flat().astype(np.float64) * met).tobytes()])], names=["met", "flat"])
+                for shard, met, whole in zip(*(batch.column(c) for c in range(3)), strict=True):
+                    own = shared.value.copy()
+                    own.train(*_events(whole.as_py(), k), {}, np.random.default_rng([turn, shard.as_py()]), RATE / (1 + turn))
+                    yield pa.RecordBatch.from_arrays([pa.array([float(met.as_py())]), pa.array([(own.flat().astype(np.float64) * met.as_py()).tobytes()])], names=["met", "flat"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             met, total = 0.0, None
@@ -199,45 +290,55 @@ def train_network(docs: DataFrame, network: Network, number: dict[bytes, int], t
                 yield pa.RecordBatch.from_arrays([pa.array([met]), pa.array([total.tobytes()])], names=["met", "flat"])
 
         kind = "met double, flat binary"
-        sums = docs.select(text_col).mapInArrow(run, kind).repartition(16).mapInArrow(add, kind).collect()
+        # a task that has several shards adds them up before they are shuffled
+        sums = shards.mapInArrow(run, kind).mapInArrow(add, kind).repartition(8).mapInArrow(add, kind).repartition(1).mapInArrow(add, kind).first()
         if sums:
-            network.load(sum(np.frombuffer(bytes(r["flat"]), np.float64) for r in sums) / sum(r["met"] for r in sums))
+            network = network.copy()
+            network.load(np.frombuffer(bytes(sums["flat"]), np.float64) / sums["met"])
     return network
 
 
 class Scorer:
     """A trained network with the counts it goes with."""
 
-    def __init__(self, network: Network, number: dict[bytes, int], counts: np.ndarray, n: int, v: int):
-        """``number`` and ``counts``: the head tokens by frequency; ``n``, ``v``: all and distinct training tokens."""
-        self.network, self.number, self.n, self.v = network, number, n, v
-        self.logs = np.log10(counts + 1.0)
-        top = len(network.bias) - 1
-        self.rest = math.log10(n - int(counts[:top].sum()) + v - min(top, len(counts)) + 1)
+    def __init__(self, network: Network, vocabulary: Vocabulary, counts: np.ndarray, rest: np.ndarray, n: int, v: int):
+        """``counts``: of the head tokens by frequency; ``rest``: of each hashed symbol, the counts and number of its tokens and one; ``n``, ``v``: all and distinct training tokens."""
+        self.network, self.vocabulary, self.n, self.v = network, vocabulary, n, v
+        self.logs, self.rest = np.log10(counts + 1.0), np.log10(rest)
+
 
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, symbols: int | None = None) -> tuple[Scorer, DataFrame]:
+    """A scorer learned from every text of ``train``, and the counts (token, n) of all its tokens.
 
-def fit(train: DataFrame, text_col: str = "text", head: int = HEAD, symbols: int = SYMBOLS) -> tuple[Scorer, DataFrame]:
-    """A scorer learned from every text of ``train``, and the counts (token, n) of all its tokens."""
+    The most frequent tokens have symbols of their own; each other token shares a symbol with those of its hash, so that all of them
+    take part as contexts and as what is predicted. ``symbols`` is symbols_for all tokens unless given.
+    """
     counts = cut(count_tokens(train, text_col))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    symbols = symbols or symbols_for(n)
     # the head is all tokens from some count on: the least count that keeps them within ``head``, found over the distinct counts
     falls = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
     sizes = counts.groupBy("n").agg(F.count("*").alias("tokens")).withColumn("upto", F.sum("tokens").over(falls))
     least = sizes.where(F.col("upto") <= head).agg(F.min("n")).first()[0]
     rows = sorted(counts.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], bytes(r["token"]))) if least else []
-    number = {bytes(r["token"]): i for i, r in enumerate(rows)}
-    known = np.array([r["n"] for r in rows], np.int64)
-    top = np.zeros(symbols, np.int64)
-    top[: min(symbols - 1, len(known))] = known[: symbols - 1]
-    top[-1] = n - top.sum()
-    return Scorer(train_network(train, Network(top), number, text_col), number, known, n, v), counts
+    vocabulary = Vocabulary({bytes(r["token"]): i for i, r in enumerate(rows)}, symbols)
+    known, own = np.array([r["n"] for r in rows], np.int64), vocabulary.own
+    # counts and tokens by hash, less those of tokens with symbols of their own
+    hashed = np.zeros((symbols - own, 2), np.int64)
+    for r in counts.groupBy(F.pmod(F.crc32("token"), F.lit(symbols - own)).alias("h")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        hashed[r["h"]] = r["n"], r["v"]
+    for r in rows[:own]:
+        hashed[vocabulary.hashed(bytes(r["token"])) - own] -= (r["n"], 1)
+    top = np.r_[np.pad(known[:own], (0, max(own - len(known), 0))), hashed[:, 0]]
+    network = train_network(train, Network(top), vocabulary, n, id_col, text_col)
+    return Scorer(network, vocabulary, known, hashed.sum(1) + 1, n, v), counts
 
 
 def score(docs: DataFrame, scorer: Scorer, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) for each row's whole text.
 
     base_score adds log10((c + 1) / (n + v + 1)) over the tokens; score is the log10 probability by the network, in
-    which a token beyond its symbols has the probability of the symbol for all such times its (smoothed) share of them.
+    which a token without a symbol of its own has the probability of its hashed symbol times its (smoothed) share of the counts there.
     Counts of the head tokens are broadcast, a fixed number; the rest of a text's tokens are shuffled once each to meet
     theirs. A null or empty text is its end alone; repeated rows are scored one by one.
     """
@@ -247,14 +348,16 @@ def score(docs: DataFrame, scorer: Scorer, counts: DataFrame, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
-        k = len(s.network.bias)
+        k, own_symbols = len(s.network.bias), s.vocabulary.own
         names = ["row", "id", "token", "tf", "n_tokens", "n_known", "logs", "model"]
         for batch in batches:
-            for rows, numbers, starts, first in _numbered(batch, s.number, text_col):
-                model = np.add.reduceat(s.network.log10(*_symbols(numbers, starts, k)), starts)
-                n, logs = np.diff(np.r_[starts, len(numbers)]), np.where(numbers >= 0, s.logs[numbers] if len(s.logs) else 0.0, 0.0)
-                model += np.add.reduceat(np.where(numbers >= k - 1, logs, 0.0), starts)
-                model -= s.rest * np.add.reduceat(((numbers < 0) | (numbers >= k - 1)).astype(float), starts)
+            for rows, numbers, starts, first in _numbered(batch, s.vocabulary.number, "text"):
+                w = s.vocabulary.symbols_of(chain.from_iterable(rows), numbers)
+                logs = np.where(numbers >= 0, s.logs[numbers] if len(s.logs) else 0.0, 0.0)
+                each = s.network.log10(*_contexts(w, starts, k))
+                shares = w >= own_symbols
+                each[shares] += logs[shares] - s.rest[w[shares] - own_symbols]
+                model, n = np.add.reduceat(each, starts), np.diff(np.r_[starts, len(numbers)])
                 here = batch.slice(first, len(rows))
                 row, ids = here.column(0), here.column(1)
                 # the texts' own rows take keys that no token has, and so spread like tokens
@@ -271,8 +374,9 @@ def score(docs: DataFrame, scorer: Scorer, counts: DataFrame, id_col: str = "doc
                 none = [pa.nulls(len(keys), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.nulls(len(keys), ids.type), pa.array(rare, pa.binary()), pa.array(tf, pa.int64()), *none], names=names)
 
-    parts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col))
-    parts = parts.mapInArrow(run, f"row long, id {kind}, token binary, tf long, n_tokens long, n_known long, logs double, model double")
+    parts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # written before anything is joined by the row numbers: a part that is read anew could be numbered in another order
+    parts = cut(parts.mapInArrow(run, f"row long, id {kind}, token binary, tf long, n_tokens long, n_known long, logs double, model double"))
     log = F.when(F.col("n").isNull(), 0.0).otherwise(F.col("tf") * F.log10(F.col("n") + 1.0))
     met = parts.join(counts, "token", "left").select("row", "id", "n_tokens", "model", "tf", F.coalesce("n_known", F.when(F.col("n").isNotNull(), F.col("tf")), F.lit(0)).alias("n_known"), F.coalesce("logs", log).alias("logs"), F.when(F.col("tf") > 0, log).alias("rare"))
     each = met.groupBy("row").agg(
