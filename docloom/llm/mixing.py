@@ -15,7 +15,9 @@ MOST_COPIES = 2
 #: Newton stops when every source is within this part of its target; the steps between two looks; the most looks.
 TOLERANCE, STEPS, LOOKS = 1e-7, 4, 25
 #: Rows that one task ranks among documents of the same source and size.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 500
+#: Pairs of source and size up to which they are broadcast; more are dealt out SALTS times each.
+BROADCAST_PAIRS, SALTS = 200_000, 32
 REPAIRS = 8
 
 
@@ -75,7 +77,8 @@ def solve_dual(hist: DataFrame, targets: DataFrame, most: int = MOST_COPIES) ->
         state = cut(state)
         if not state.where(F.col("off") >= TOLERANCE).head(1):
             break
-    return state.select("key", "source", "source_size", "target", "tilt", "scale", "full")
+    # the last bits of a sum follow the order in which tasks end; no rate may
+    return state.select("key", "source", "source_size", "target", F.round("tilt", 9).alias("tilt"), "scale", "full")
 
 
 def round_rates(hist: DataFrame, dual: DataFrame, most: int = MOST_COPIES) -> DataFrame:
@@ -124,9 +127,13 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     sizes = units.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
     dual = solve_dual(hist, token_targets(sizes, weights, share, most), most)
     chosen = round_rates(hist, dual, most)
-    drawn = F.shiftrightunsigned(F.xxhash64("id", "text_hash", "size"), 1)
+    u = units.withColumn("draw", F.shiftrightunsigned(F.xxhash64("id", "text_hash", "size"), 1))
+    if hist.count() <= BROADCAST_PAIRS:
+        u = u.join(F.broadcast(chosen), ["key", "size"])
+    else:  # a source and size that many documents share is met in SALTS tasks
+        salted = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        u = u.withColumn("salt", (F.col("draw") % SALTS).cast("int")).join(salted, ["key", "size", "salt"]).drop("salt")
     buckets = F.ceil(F.col("n") / BUCKET_ROWS)
-    u = units.join(chosen, ["key", "size"]).withColumn("draw", drawn)
     u = u.withColumn("bucket", F.least(buckets - 1, F.floor(F.col("draw") / float(2**63) * buckets)).cast("long"))
     along = Window.partitionBy("key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ahead = u.where(F.col("n") > BUCKET_ROWS).groupBy("key", "size", "bucket").agg(F.count("*").alias("here"))
