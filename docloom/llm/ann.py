@@ -16,8 +16,8 @@ from .common import cut, read
 DEGREE, BUILD_BEAM, RELAX = 32, 64, 1.2
 #: Width of the search for a query, nodes opened at a time, nodes added or queries searched at a time.
 BEAM, OPENED, BATCH = 160, 4, 256
-#: Least number of shards, most vectors of one, most queries that meet a shard in one task.
-SHARDS, SHARD_ROWS, QUERY_ROWS = 8, 65_536, 65_536
+#: Least number of shards, about the most vectors of one, most ranges of lengths, most queries that meet a shard in one task.
+SHARDS, SHARD_ROWS, RANGES, QUERY_ROWS = 8, 16_384, 64, 65_536
 K, EVERY = 20, 20
 
 
@@ -159,39 +159,63 @@ def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(~odd & F.exists("v", lambda x: x != 0))
 
 
+def _sharded(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """``nodes`` (v, norm, ids) with ``shard``, and the number of shards.
+
+    Vectors of about the same length share a shard, RANGES ranges of lengths at most, and a range is dealt over as
+    many shards as it needs by a hash. Where lengths within a shard hardly differ, so do the orders by inner product and by distance.
+    """
+    n = nodes.count()
+    wanted = max(SHARDS, math.ceil(n / SHARD_ROWS))
+    cuts = nodes.agg(F.percentile_approx("norm", [k / min(wanted, RANGES) for k in range(1, min(wanted, RANGES))], 10_000)).first()[0] or []
+    # lengths that differ by rounding alone are one
+    edges: list[float] = []
+    for c in cuts:
+        if not edges or c > edges[-1] * (1 + 1e-6):
+            edges.append(c)
+    band = F.size(F.filter(F.array(*[F.lit(c * (1 + 1e-7)) for c in edges]), lambda c: c < F.col("norm"))) if edges else F.lit(0)
+    nodes = nodes.withColumn("band", band)
+    count = {r["band"]: r["count"] for r in nodes.groupBy("band").count().collect()}
+    parts = [max(1, math.ceil(count.get(b, 0) / SHARD_ROWS), round(SHARDS * count.get(b, 0) / max(n, 1))) for b in range(len(edges) + 1)]
+    first = [sum(parts[:b]) for b in range(len(parts))]
+    at = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("band") + 1)
+    return nodes.withColumn("shard", (at(first) + F.pmod(F.xxhash64("v"), at(parts))).cast("int")).drop("band"), sum(parts)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, beam: int = BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` the ``k`` vectors found of the largest inner product.
 
     The own id of a query is no candidate; ties go to the smaller id; score is the inner product of the
     original vectors in double precision. Vectors that are null, zero or hold null or non-finite
-    components take no part on either side, nor do rows without an id and vectors of another length than most.
+    components take no part on either side, nor do rows without an id and vectors of another length than most (the shortest
+    of equally frequent lengths). An id with several vectors is as near as its nearest one: as a candidate it comes once, as a query
+    it has one list, of what is nearest to any of its vectors.
 
     Equal vectors are one node with its k + 1 smallest ids, which no further copy can precede, so a vector that a
-    third of the rows share costs one node. Nodes are dealt over shards by a hash; each shard's graph is built
-    once and written to the checkpoint folder; queries meet each shard in blocks. Inner product becomes Euclidean
-    distance by one more component that evens the lengths.
+    third of the rows share costs one node. Nodes are dealt over shards by length and hash (see _sharded); each shard's graph is
+    built once and written to the checkpoint folder; queries meet each shard in blocks. Inner product becomes Euclidean
+    distance by one more component that evens the lengths of a shard.
     """
-    spark = vectors.sparkSession
     rows = _valid(vectors, id_col, vector_col).withColumn("v", F.transform("v", lambda x: F.when(x == 0, 0.0).otherwise(x)))
-    stats = rows.agg(F.mode(F.size("v")).alias("d"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("top")).first()
-    dim, top = stats["d"] or 0, stats["top"] or 0.0
-    rows = rows.where(F.size("v") == dim)
+    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    dim = lengths["d"] if lengths else 0
+    rows = rows.where(F.size("v") == dim).distinct()
     place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    nodes = cut(rows.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    shards = max(SHARDS, math.ceil(nodes.count() / SHARD_ROWS))
+    nodes = rows.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    nodes = cut(nodes.withColumn("norm", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
+    sharded, shards = _sharded(nodes)
     asked = _valid(queries, id_col, vector_col).where(F.size("v") == dim)
     blocks = max(1, math.ceil(asked.count() / QUERY_ROWS))
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(frame["v"].to_numpy()).astype(np.float64)
-        even = np.sqrt(np.maximum(top - (x * x).sum(1), 0))
+        x, norm = np.stack(frame["v"].to_numpy()).astype(np.float64), frame["norm"].to_numpy()
+        even = np.sqrt(np.maximum(norm.max() - norm, 0))
         graph = Graph(np.c_[x, even])
         ids = frame["ids"].to_numpy()
         size = np.array([len(i) for i in ids], np.int32)
         return pd.DataFrame({"shard": [int(frame["shard"].iloc[0])], "x": [x.tobytes()], "even": [even.tobytes()], "edges": [graph.edges.tobytes()], "center": [graph.center], "ids": [np.concatenate(ids).astype(np.int64).tobytes()], "size": [size.tobytes()]})
 
-    graphs = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")).groupBy("shard")
-    graphs = cut(graphs.applyInPandas(build, "shard int, x binary, even binary, edges binary, center int, ids binary, size binary"))
+    graphs = cut(sharded.groupBy("shard").applyInPandas(build, "shard int, x binary, even binary, edges binary, center int, ids binary, size binary"))
 
     def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
@@ -226,11 +250,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
         return pd.concat(out) if out else none
 
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    asked = asked.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).select("*", every.alias("shard"))
+    asked = asked.distinct().select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).select("*", every.alias("shard"))
     graphs = graphs.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     pairs = graphs.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(look, "query_id long, vec_id long, score double")
+    best = pairs.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
