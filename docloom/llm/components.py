@@ -17,16 +17,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds, each a pre-aggregated minimum and a join; edges never grow
     in number and the rounds with them are few. Every round is written to the checkpoint folder, so lost
-    executors cost one round. The minima are written too: a join of two plain shuffles is one that Spark can split where
-    a node is the hub of a large star. Self-loops and repeated edges do no harm; without edges the result is empty.
+    executors cost one round. The minima of the large-star step are written too: a join of two plain shuffles is one that Spark can
+    split where a node is the hub of a large star. Self-loops and repeated edges do no harm; without edges the result is empty.
     """
     e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
     mark = None
     while True:
         both = e.union(_pointed(e, "v", "u"))
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        down = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(_pointed(down, "u", "m"))
         e = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())

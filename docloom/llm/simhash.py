@@ -25,6 +25,8 @@ BUCKET, SPLITS = 8_192, 3
 FULL = (1 << 64) - 1
 #: For documents alike by a Jaccard similarity: words of a shingle, that similarity, and the differing bits up to which fingerprints are candidates.
 SET_WORDS, SIMILARITY, SET_BITS = 5, 0.8, 13
+#: Differing bits up to which the parts of a dense group are compared first.
+NEARER = 8
 #: Fingerprints that a bucket of sampled bits has on average, and the part of pairs at SET_BITS that may share no bucket.
 SAMPLED, MISSED = 256, 0.02
 
@@ -111,7 +113,7 @@ class GrayIndex:
             self.root = level["parent"][self.root]
         self.bucket_start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(codes) else np.zeros(0, np.int64)
         self.bucket_size = np.diff(np.r_[self.bucket_start, len(codes)])
-        self.order, self.unvisited, self.dense = order, np.ones(len(codes), bool), np.zeros(len(codes), bool)
+        self.order, self.unvisited, self.dense = order, np.ones(len(codes), bool), np.full(len(codes), -1)
 
     def near(self, queries: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """All (query, leaf) of the same bucket within ``bits``, over unvisited leaves."""
@@ -147,7 +149,7 @@ class GrayIndex:
     def _spread(self, sources: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """A search in breadth from one source a bucket: what is reached is visited and asks next, once."""
         self.visit(sources)
-        self.dense[sources] = True
+        self.dense[sources] = sources
         frontier, step = sources, 32
         while len(frontier):
             queries, frontier = frontier[:step], frontier[step:]
@@ -157,7 +159,7 @@ class GrayIndex:
             if len(reach):
                 yield q[at], reach
                 self.visit(reach)
-                self.dense[reach] = True
+                self.dense[reach] = self.dense[q[at]]
                 frontier = np.r_[frontier, reach]
 
     def links(self, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -165,8 +167,8 @@ class GrayIndex:
 
         A leaf with few neighbours gives them all and is visited. One with many is the source of a search in
         breadth, one source a bucket at a time, that takes its whole component; its members are not
-        reached again, so a dense group costs about its size and not its square. They are marked in ``dense``:
-        of them only the links of the search are given, of all others every link.
+        reached again, so a dense group costs about its size and not its square. ``dense`` has the source of each
+        (-1: none): of such leaves only the links of the search are given, of all others every link.
         """
         cursor = self.bucket_start.copy()
         while (cursor < self.bucket_start + self.bucket_size).any():
@@ -283,7 +285,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = cut(fingerprints(docs, id_col, text_col, words))
     distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    found = _components(distinct, "fp", links(distinct.select("fp"), bits))
+    found = cut(_components(distinct, "fp", links(distinct.select("fp"), bits)))
     return rows.join(found, "fp").select("id", "fp", "component")
 
 
@@ -339,7 +341,8 @@ def _bucketed_by(nodes: DataFrame, masks: list[int], *more: str) -> DataFrame:
 def _candidates(bits: int, similarity: float, apart: bool):
     """Candidate pairs (u, v) within each bucket of (mask, value, fp, node, n[, root]): nodes within ``bits`` and of fitting sizes.
 
-    Without ``apart`` all links of GrayIndex.links, and (node, node) for each that it calls dense; with it every pair of different
+    Without ``apart`` all links of GrayIndex.links outside dense groups; of a dense group the links to its hub, the node nearest to the
+    majority of its bits, and (node, node) for each member. With ``apart`` every pair of different
     roots, for which only nodes outside the most frequent root of a bucket are searched for.
     """
 
@@ -362,11 +365,19 @@ def _candidates(bits: int, similarity: float, apart: bool):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[q[ok]], node[leaf[ok]])), pa.array(np.maximum(node[q[ok]], node[leaf[ok]]))], names=["u", "v"])
             else:
                 for a, b in index.links(bits):
-                    ok = fitting(n, a, b)
+                    ok = fitting(n, a, b) & ((index.dense[a] < 0) | (index.dense[b] < 0))
                     a, b = node[a[ok]], node[b[ok]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
-                dense = pa.array(node[index.dense])
-                yield pa.RecordBatch.from_arrays([dense, dense], names=["u", "v"])
+                inside = np.flatnonzero(index.dense >= 0)
+                inside = inside[np.argsort(index.dense[inside], kind="stable")]
+                for members in np.split(inside, np.flatnonzero(np.diff(index.dense[inside])) + 1) if len(inside) else []:
+                    middle = np.uint64(majority(index.codes[members]))
+                    hub = members[np.bitwise_count(index.codes[members] ^ middle).argmin()]
+                    ok = fitting(n, members, hub) & (np.bitwise_count(index.codes[members] ^ index.codes[hub]) <= bits) & (members != hub)
+                    a, b = node[members[ok]], node[hub]
+                    own = pa.array(node[members])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
+                    yield pa.RecordBatch.from_arrays([own, own], names=["u", "v"])
 
     return run
 
@@ -378,13 +389,26 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(u, "u").join(v, "v").where(common >= similarity * (F.size("hu") + F.size("hv") - common) - 1e-9).select("u", "v")
 
 
+def _labels(edges: DataFrame, steps: int = 2) -> DataFrame:
+    """(node, root): the least node within ``steps`` links and one of each node of ``edges`` (u, v), enough to know the members of a star by.
+
+    Nodes of one component may still differ in it; whoever compares what differs does some work twice then.
+    """
+    both = cut(edges.union(edges.select("v", "u")).union(edges.select("u", "u")).union(edges.select("v", "v")).toDF("u", "v"))
+    found = both.groupBy("u").agg(F.min("v").alias("root"))
+    for _ in range(steps):
+        found = both.join(cut(found).toDF("v", "root"), "v").groupBy("u").agg(F.min("root").alias("root"))
+    return cut(found).toDF("node", "root")
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SET_WORDS, similarity: float = SIMILARITY, bits: int = SET_BITS) -> DataFrame:
     """(id, node, component) for each row: documents linked by a Jaccard similarity of at least ``similarity`` share a component.
 
     The similarity is that of the whole sets of ``words``-word shingles. Sets are nodes with a SimHash fingerprint each (equal sets are
     one); candidates are those within ``bits`` of each other by the Gray-order index, searched in buckets of sampled bits
-    (see sampled_masks), and each is compared by its whole sets before it links. Of a dense group the index gives the links of
-    one search only; where their comparison leaves a dense group apart, its other pairs are compared in a second round.
+    (see sampled_masks), and each is compared by its whole sets before it links. A dense group is compared with its hub first. Its
+    nodes that this leaves apart are compared within NEARER bits, and what is still apart within all ``bits``, so
+    that every candidate is compared or joined already and a large group of copies costs little more than its size.
 
     ``component`` is the smallest id of the group; a null id is never the smallest, and rows that repeat an id are separate documents
     of that id. Null and empty texts have the empty set, which is like itself only.
@@ -400,12 +424,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     some = named.join(ids.select(F.col("least").alias("__least")).distinct(), F.col("id").eqNullSafe(F.col("__least")), "left_semi")
     sets = cut(_sets(some, words).join(ids, "node", "left_semi").groupBy("node").agg(F.any_value("hashes").alias("hashes")))
     joined = cut(_similar(first, sets, similarity))
-    if dense.head(1):
-        roots = components(joined)
-        left = nodes.join(dense, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        more = _bucketed_by(left, masks, "node", "n", "root").mapInArrow(_candidates(bits, similarity, True), "u long, v long").distinct()
-        joined = joined.union(_similar(more.join(first, ["u", "v"], "left_anti"), sets, similarity))
-    return rows.select("id", "node").join(_components(nodes, "node", joined), "node").select("id", "node", "component")
+    for limit in (NEARER, bits) if dense.head(1) else ():
+        # links between dense nodes are enough to tell their roots apart; others only make more pairs
+        own = joined.join(dense.withColumnRenamed("node", "u"), "u", "left_semi").join(dense.withColumnRenamed("node", "v"), "v", "left_semi").select("u", "v")
+        left = nodes.join(dense, "node", "left_semi").join(_labels(own), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        more = _bucketed_by(left, masks, "node", "n", "root").mapInArrow(_candidates(limit, similarity, True), "u long, v long").distinct()
+        joined = cut(joined.union(_similar(more.join(first, ["u", "v"], "left_anti"), sets, similarity)))
+    return rows.select("id", "node").join(cut(_components(nodes, "node", joined)), "node").select("id", "node", "component")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **options) -> DataFrame:

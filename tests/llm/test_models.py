@@ -198,42 +198,63 @@ def test_encoding_equals_the_library(spark):
 
 
 def test_arcs_equal_encodings_of_pairs():
+    import json
+
     pytest.importorskip("tokenizers")
     with open(bpe.vocabulary(), encoding="utf-8") as f:
-        a = bpe.Tokenizer(f.read()).automaton
-    inner = [t for t in a.label if not a.label[t].endswith(bpe.END)]
-    symbol = {c: b for b, c in enumerate(bpe.byte_characters())}
+        file = f.read()
+    a = bpe.Tokenizer(file).automaton
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in json.loads(file)["model"]["merges"]]
+    rank = {m: k for k, m in enumerate(merges)}
+    made = {x + y: (x, y) for x, y in reversed(merges)}
+    spell = lambda t: spell(made[t][0]) + spell(made[t][1]) if t in made else [t]
+    number = {t: i for i, t in a.label.items()}
+    inner = [t for t in number if not t.endswith(bpe.END) and t in made]
     rnd = random.Random(5)
-    for _ in range(2000):
-        x, y = rnd.choice(inner), rnd.choice(inner)
+    often, rare = sorted(inner, key=lambda t: rank[made[t]])[:600], inner
+    live = 0
+    for n in range(6000):
+        x, y = rnd.choice(often if n % 2 else rare), rnd.choice(often if n % 3 else rare)
+        if n % 7 == 0:
+            y = x
         # by the definition: merge the symbols of both in the order of ranks
-        parts = [s for t in (x, y) for s in _symbols(a, t)]
+        parts = spell(x) + spell(y)
         while True:
-            ranked = [(a.rank[p << 20 | q], i) for i, (p, q) in enumerate(zip(parts, parts[1:], strict=False)) if p << 20 | q in a.rank]
-            if not ranked:
+            best = min((p for p in zip(parts, parts[1:], strict=False) if p in rank), key=rank.__getitem__, default=None)
+            if best is None:
                 break
-            k, _ = min(ranked)
-            u, v = a.parts[_made(a, k)]
             i = 0
             while i < len(parts) - 1:
-                if (parts[i], parts[i + 1]) == (u, v):
-                    parts[i : i + 2] = [_made(a, k)]
+                if (parts[i], parts[i + 1]) == best:
+                    parts[i : i + 2] = [best[0] + best[1]]
                 i += 1
-        assert a.arc(x, y) == (parts == [x, y])
-    assert len(symbol) == 256
-
-
-_by_rank: dict[int, int] = {}
+        assert a.arc(number[x], number[y]) == (parts == [x, y]), (x, y)
+        live += parts == [x, y]
+    assert 1000 < live < 5900
 
 
-def _made(a, k):
-    if not _by_rank:
-        _by_rank.update({n: w for w, n in a.born.items() if n})
-    return _by_rank[k]
+def test_tables_do_not_grow_with_words(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 100)
+    monkeypatch.setattr(bpe, "PAIRS", 1000)
+    with open(bpe.vocabulary(), encoding="utf-8") as f:
+        t = bpe.Tokenizer(f.read())
+    nodes = len(t.automaton.next)
+    rnd = random.Random(2)
+    for _ in range(3000):
+        t.encode("".join(rnd.choices("etaoinshrdlu", k=rnd.randint(1, 12))))
+    assert len(t.automaton.next) == nodes and len(t.known) <= 100 and len(t.automaton.arcs) <= 1100
 
 
-def _symbols(a, t):
-    return [t] if t not in a.parts else _symbols(a, a.parts[t][0]) + _symbols(a, a.parts[t][1])
+def test_added_tokens_of_any_form():
+    with open(bpe.vocabulary(), encoding="utf-8") as f:
+        t = bpe.Tokenizer(f.read())
+    t.added = {"[SEP]": 7, "[SEP]x": 8, "§": 9}
+    t.labels |= {7: "[SEP]", 8: "[SEP]x", 9: "§"}
+    t._open()
+    assert t.encode("[SEP]x[SEP]§") == [8, 7, 9] and t.decode([8, 9]) == "[SEP]x §"
+    t.added = {}
+    t._open()
+    assert t.encode("a") == t.automaton.run(b"a")
 
 
 # HTML
@@ -396,6 +417,36 @@ def test_field_tells_content_from_boilerplate(spark):
     assert quality.keep_good(new.where("false"), field).count() == 0
 
 
+def test_gradient_of_the_field():
+    rng = np.random.default_rng(4)
+    f = len(quality.FEATURES)
+    X, live = rng.normal(size=(5, 4, f)), np.arange(4) < np.array([4, 3, 1, 2, 4])[:, None]
+    gold = np.eye(2)[rng.integers(0, 2, (5, 4))] * live[:, :, None]
+    X = X * live[:, :, None]
+    share, theta = rng.random(5), rng.normal(size=2 * f + 4) * 0.3
+    _, g = quality.likelihood(theta, X, live, gold, share)
+    for k in [0, 3, 2 * f - 1, *range(2 * f, 2 * f + 4)]:
+        step = np.zeros_like(theta)
+        step[k] = 1e-5
+        up, down = (quality.likelihood(theta + d, X, live, gold, share)[0] for d in (step, -step))
+        assert g[k] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
+def test_an_article_with_a_boilerplate_tail_is_split(spark):
+    rnd = random.Random(21)
+    prose = lambda: " ".join(rnd.choices(["rain", "falls", "on", "the", "quiet", "old", "town"], k=12)) + "."
+    junk = lambda: " | ".join(rnd.choices(["Home", "About", "LOGIN", "CONTACT", "Terms", "MAP"], k=7)) + " |"
+    rows = [(i, "\n".join([prose() for _ in range(6)] + [junk() for _ in range(rnd.randint(0, 2))]), 1) for i in range(60)]
+    rows += [(100 + i, "\n".join([prose() for _ in range(rnd.randint(0, 2))] + [junk() for _ in range(6)]), 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    field = quality.fit(df, df)
+    lines = [prose() for _ in range(5)] + [junk() for _ in range(4)]
+    features, words, _ = quality.describe("\n".join(lines))
+    assert field.decode(features) == [1] * 5 + [0] * 4
+    row = quality.annotate(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string"), field).first()
+    assert row.kept and row.content_share == pytest.approx(sum(words[:5]) / sum(words)) and 0 < row.content_share < 1
+
+
 # toxicity
 def test_index_returns_the_exact_neighbours():
     rng = np.random.default_rng(3)
@@ -434,10 +485,10 @@ def test_scores_against_brute_force(spark):
     rnd = random.Random(7)
     texts = [" ".join(rnd.choices(["the", "cat", "Sat", "on"], k=rnd.randint(0, 30)) + [f"rare{rnd.randint(0, 400)}"]) for _ in range(300)]
     train = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    scorer, counts = lm_score.fit(train, head=12, symbols=8)
+    scorer, counts = lm_score.fit(train, head=20, symbols=16)
     own = Counter(t for x in texts for t in lm_score.tokens(x))
     n, v = sum(own.values()), len(own)
-    assert (scorer.n, scorer.v) == (n, v) and len(scorer.number) <= 12
+    assert (scorer.n, scorer.v) == (n, v) and len(scorer.vocabulary.number) <= 20
     rows = [(1000 + i, t) for i, t in enumerate(texts[:50])] + [(60, "the unknown cat"), *HARD]
     got = lm_score.score(frame(spark, rows), scorer, counts).collect()
     assert len(got) == len(rows)
@@ -449,11 +500,42 @@ def test_scores_against_brute_force(spark):
         want = sum(math.log10((own[x] + 1) / (n + v + 1)) for x in ts)
         for r in by[i]:
             assert (r.n_tokens, r.n_known) == (len(ts), sum(own[x] > 0 for x in ts)) and r.base_score == pytest.approx(want, rel=1e-9)
+    # the score by the definition: two softmaxes over all classes and all symbols of the class, and the share in a hashed symbol
+    net, voc = scorer.network, scorer.vocabulary
+    frequent = sorted(own, key=lambda t: (-own[t], t))[: min(voc.own, len(voc.number))]
+    symbol = lambda t: frequent.index(t) if t in frequent else voc.hashed(t)
+    size = len(net.bias) // net.side
+    for i, t in rows:
+        near = far = len(net.bias)
+        want = 0.0
+        for x in lm_score.tokens(t or "")[:200]:
+            w = symbol(x)
+            g = net.context[near].astype(float) @ net.near + net.context[far].astype(float) @ net.far
+            a, b = g @ net.classes.T + net.class_bias, g @ net.target.T + net.bias
+            inside = slice(w // size * size, w // size * size + size)
+            want += (a[w // size] - np.log(np.exp(a).sum()) + b[w] - np.log(np.exp(b[inside]).sum())) / math.log(10)
+            if w >= voc.own:
+                shared = [u for u in own if u not in frequent and voc.hashed(u) == w]
+                want += math.log10((own[x] + 1) / (sum(own[u] for u in shared) + len(shared) + 1))
+            far, near = near, w
+        if len(lm_score.tokens(t or "")) <= 200:
+            assert all(r.score == pytest.approx(want, rel=1e-4) for r in by[i])
     assert all(by[1000 + i][0].score < 0 for i in range(50))
 
 
+def test_scores_do_not_depend_on_the_partitioning(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 700)
+    rnd = random.Random(17)
+    df = spark.createDataFrame([(i, " ".join(rnd.choices(["a", "b", "c", "d", "e"], [5, 4, 3, 2, 1], k=rnd.randint(0, 30)))) for i in range(200)], "doc_id long, text string")
+    got = []
+    for parts in (1, 5):
+        scorer, counts = lm_score.fit(df.repartition(parts), symbols=16)
+        got.append({r.id: r.score for r in lm_score.score(df, scorer, counts).collect()})
+    assert got[0] == pytest.approx(got[1], rel=1e-5)
+
+
 def test_training_learns_what_follows_what():
-    k = 8
+    k = 16
     net, rng = lm_score.Network(np.full(k, 100.0)), np.random.default_rng(0)
     near = np.arange(k)
     far, w = (near - 3) % k, (near + 3) % k
@@ -462,8 +544,13 @@ def test_training_learns_what_follows_what():
     assert before == pytest.approx(math.log10(1 / k), abs=0.05) and net.log10(far, near, w).mean() > before + 0.3
 
 
-def test_probabilities_sum_to_one(spark):
-    net = lm_score.Network(np.arange(1, 9).astype(float))
-    far, near = np.repeat([8, 3], 8), np.repeat([8, 1], 8)
-    p = 10 ** net.log10(far, near, np.tile(np.arange(8), 2))
-    assert p.reshape(2, 8).sum(1) == pytest.approx([1, 1])
+def test_probabilities_sum_to_one():
+    net = lm_score.Network(np.arange(1, 17).astype(float))
+    far, near = np.repeat([16, 3], 16), np.repeat([16, 1], 16)
+    p = 10 ** net.log10(far, near, np.tile(np.arange(16), 2))
+    assert p.reshape(2, 16).sum(1) == pytest.approx([1, 1])
+
+
+def test_symbols_grow_with_the_corpus():
+    got = [lm_score.symbols_for(n) for n in (0, 1, 10**4, 10**6, 10**8, 10**12)]
+    assert got == sorted(got) and got[0] == lm_score.LEAST_SYMBOLS and got[-1] == lm_score.MOST_SYMBOLS and all(math.isqrt(k) ** 2 == k for k in got)
