@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from .common import cut, read
 
 #: Most edges of a node, width of the search that proposes them, and how much longer a detour an edge may replace.
-DEGREE, BUILD_BEAM, RELAX = 32, 64, 1.2
+DEGREE, BUILD_BEAM, RELAX = 32, 96, 1.2
 #: Width of the search for a query, nodes opened at a time, nodes added or queries searched at a time.
-BEAM, OPENED, BATCH = 160, 4, 256
+BEAM, OPENED, BATCH = 256, 4, 256
 #: Least number of shards, about the most vectors of one, most ranges of lengths, most queries that meet a shard in one task.
-SHARDS, SHARD_ROWS, RANGES, QUERY_ROWS = 8, 16_384, 64, 65_536
+SHARDS, SHARD_ROWS, RANGES, QUERY_ROWS = 8, 8_192, 64, 65_536
 K, EVERY = 20, 20
 
 
@@ -27,6 +27,9 @@ class Graph:
     Nodes are added in batches: a greedy search of the graph so far proposes neighbours, of which relaxed
     distance pruning keeps the near and diverse ones; the edges back are pruned likewise. Every node can be
     reached from the central one.
+
+    For searches by inner product the graph is built over directions (see by_inner_product): queries then come from where the nodes
+    are, which they do not if a further component evens the lengths out.
     """
 
     def __init__(self, x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, relax: float = RELAX):
@@ -44,6 +47,23 @@ class Graph:
         if n:
             self._attach()
 
+    @classmethod
+    def by_inner_product(cls, x: np.ndarray) -> Graph:
+        """The graph over the directions of ``x`` (no zero vectors), searched by the inner product with ``x`` itself."""
+        return cls(x / np.sqrt((x * x).sum(1, keepdims=True)))._turned(x)
+
+    @classmethod
+    def read(cls, x: np.ndarray, edges: np.ndarray, center: int) -> Graph:
+        """A graph made by by_inner_product, from its parts."""
+        graph = cls(x[:0])
+        graph.edges, graph.center = edges, center
+        return graph._turned(x)
+
+    def _turned(self, x: np.ndarray) -> Graph:
+        """Without norms what is minimised is -2 q . x."""
+        self.x, self.norm = np.ascontiguousarray(x, np.float32), np.zeros(len(x), np.float32)
+        return self
+
     def _to(self, q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         return self.norm[nodes] - 2 * (self.x[nodes] @ q)
 
@@ -193,8 +213,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
 
     Equal vectors are one node with its k + 1 smallest ids, which no further copy can precede, so a vector that a
     third of the rows share costs one node. Nodes are dealt over shards by length and hash (see _sharded); each shard's graph is
-    built once and written to the checkpoint folder; queries meet each shard in blocks. Inner product becomes Euclidean
-    distance by one more component that evens the lengths of a shard.
+    built once and written to the checkpoint folder; queries meet each shard in blocks.
     """
     rows = _valid(vectors, id_col, vector_col).withColumn("v", F.transform("v", lambda x: F.when(x == 0, 0.0).otherwise(x)))
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -208,32 +227,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     blocks = max(1, math.ceil(asked.count() / QUERY_ROWS))
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
-        x, norm = np.stack(frame["v"].to_numpy()).astype(np.float64), frame["norm"].to_numpy()
-        even = np.sqrt(np.maximum(norm.max() - norm, 0))
-        graph = Graph(np.c_[x, even])
+        x = np.stack(frame["v"].to_numpy()).astype(np.float64)
+        graph = Graph.by_inner_product(x)
         ids = frame["ids"].to_numpy()
         size = np.array([len(i) for i in ids], np.int32)
-        return pd.DataFrame({"shard": [int(frame["shard"].iloc[0])], "x": [x.tobytes()], "even": [even.tobytes()], "edges": [graph.edges.tobytes()], "center": [graph.center], "ids": [np.concatenate(ids).astype(np.int64).tobytes()], "size": [size.tobytes()]})
+        return pd.DataFrame({"shard": [int(frame["shard"].iloc[0])], "x": [x.tobytes()], "edges": [graph.edges.tobytes()], "center": [graph.center], "ids": [np.concatenate(ids).astype(np.int64).tobytes()], "size": [size.tobytes()]})
 
-    graphs = cut(sharded.groupBy("shard").applyInPandas(build, "shard int, x binary, even binary, edges binary, center int, ids binary, size binary"))
+    graphs = cut(sharded.groupBy("shard").applyInPandas(build, "shard int, x binary, edges binary, center int, ids binary, size binary"))
 
     def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(left) or not len(right):
             return none
         g = left.iloc[0]
-        x, even = np.frombuffer(g["x"], np.float64).reshape(-1, dim), np.frombuffer(g["even"], np.float64)
+        x = np.frombuffer(g["x"], np.float64).reshape(-1, dim)
         size, ids = np.frombuffer(g["size"], np.int32), np.frombuffer(g["ids"], np.int64)
         first = np.cumsum(size) - size
-        graph = Graph(np.zeros((0, dim + 1)))
-        graph.x = np.c_[x, even].astype(np.float32)
-        graph.norm = (graph.x * graph.x).sum(1)
-        graph.edges, graph.center = np.frombuffer(g["edges"], np.int32).reshape(len(x), -1), int(g["center"])
+        graph = Graph.read(x, np.frombuffer(g["edges"], np.int32).reshape(len(x), -1), int(g["center"]))
         out: list[pd.DataFrame] = []
         for at in range(0, len(right), BATCH):
             part = right.iloc[at : at + BATCH]
             q, own = np.stack(part["v"].to_numpy()).astype(np.float64), part["id"].to_numpy()
-            found, _ = graph.search(np.c_[q, np.zeros(len(q))], min(beam, max(len(x), 1)))
+            found, _ = graph.search(q, min(beam, max(len(x), 1)))
             i, j = np.nonzero(found >= 0)
             node = found[i, j]
             score = np.einsum("ij,ij->i", x[node], q[i])
