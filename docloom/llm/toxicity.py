@@ -13,11 +13,12 @@ from pyspark.sql import types as T
 
 from .common import cut, held_out, read, texts
 
-#: Most labelled examples of each class in the index, and most terms; together they bound the model.
-SAMPLE, TERMS = 1_500, 4_096
-#: A term counts from so many examples on, with a chi-square and a lift (or its inverse) of at least these.
-MIN_EXAMPLES, MIN_CHI, MIN_LIFT = 4, 30.0, 2.0
-NEIGHBOURS, BLOCK, EVIDENCE = 10, 64, 3
+#: Most labelled examples of each class in the index; their texts bound the model.
+SAMPLE = 1_500
+#: Examples from which on a term is one.
+MIN_EXAMPLES = 4
+#: Nearest examples that vote, examples of a block, blocks that a search opens first, examples and terms that are shown as evidence.
+NEIGHBOURS, BLOCK, FIRST, EVIDENCE, SHOWN = 10, 64, 4, 3, 8
 #: Bytes of the beginnings of words that are terms; a beginning has more terms from each of these counts and parts of all words on.
 STEMS, OFTEN, DENSE = (4, 5, 6, 7), (3, 8), (0.004, 0.016)
 THRESHOLD = 0.7
@@ -53,65 +54,80 @@ def count_terms(text: str, known: dict[bytes, int] | None = None) -> Counter[byt
     return counts if known is None else Counter({w: n for w, n in counts.items() if w in known})
 
 
+Vector = tuple[np.ndarray, np.ndarray]
+
+
 class BlockMaxIndex:
     """Inverted index of the examples' unit TF-IDF vectors with the greatest weight of each term in each block.
 
-    A block is BLOCK examples next to each other. A query bounds every block by its terms' greatest weights,
-    scores blocks from the highest bound down and stops where no bound reaches the last of its nearest: what
-    it returns is exact.
+    A block is BLOCK examples next to each other. A query bounds every block by its terms' greatest weights and scores the
+    FIRST blocks of the highest bounds; then all others whose bound reaches the last of its nearest so far. No other
+    block can hold a nearer example, so what it returns is exact.
     """
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int):
+    def __init__(self, vectors: list[Vector], n_terms: int):
         self.size, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
-        entries = sorted((t, i, w) for i, v in enumerate(vectors) for t, w in v.items())
-        term = np.array([e[0] for e in entries], np.int64)
-        self.example = np.array([e[1] for e in entries], np.int64)
-        self.weight = np.array([e[2] for e in entries], np.float64)
+        term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        example = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
+        order = np.lexsort((example, term))
+        term, self.example, self.weight = term[order], example[order], weight[order]
         # where the postings of a term in a block begin
-        self.start = np.searchsorted(term * self.blocks + self.example // BLOCK, np.arange(n_terms * self.blocks + 1))
+        self.start = np.searchsorted(term * self.blocks + self.example // BLOCK, np.arange(n_terms * self.blocks + 1)).astype(np.int32)
         self.best = np.zeros((n_terms, self.blocks))
         np.maximum.at(self.best, (term, self.example // BLOCK), self.weight)
 
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
+    def _scored(self, ts: np.ndarray, ws: np.ndarray, blocks: np.ndarray) -> Vector:
+        """The examples of ``blocks`` that share a term with the query, and their cosines."""
+        cell = (ts[:, None] * self.blocks + blocks).ravel()
+        a = self.start[cell]
+        n = self.start[cell + 1] - a
+        at = np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n)
+        scores = np.bincount(self.example[at], np.repeat(np.repeat(ws, len(blocks)), n) * self.weight[at], self.size)
+        hits = np.flatnonzero(scores > 0)
+        return hits, scores[hits]
+
+    def nearest(self, query: Vector, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The ``k`` examples of the largest positive cosine and those cosines; ties to the earlier example."""
-        if not query or not self.size:
+        ts, ws = query
+        if not len(ts) or not self.size:
             return []
-        ts, ws = np.array(list(query), np.int64), np.array(list(query.values()))
         bounds = ws @ self.best[ts]
-        found: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(found) == k and bounds[block] < -found[-1][0] - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(ts.tolist(), ws.tolist(), strict=True):
-                a, b = self.start[t * self.blocks + block], self.start[t * self.blocks + block + 1]
-                if a < b:
-                    scores[self.example[a:b] - block * BLOCK] += w * self.weight[a:b]
-            if 0 <= without - block * BLOCK < BLOCK:
-                scores[without - block * BLOCK] = 0
-            hits = np.flatnonzero(scores > 0)
-            found = sorted([*found, *((-scores[i], int(block * BLOCK + i)) for i in hits)])[:k]
-        return [(-s, i) for s, i in found]
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        at, scores = np.zeros(0, np.int64), np.zeros(0)
+        for part in range(2):
+            if part == 0:
+                blocks = order[:FIRST]
+            else:
+                last = np.sort(scores)[-k] - 1e-12 if len(scores) >= k else 0.0
+                blocks = order[FIRST:][bounds[order[FIRST:]] >= last]
+            if len(blocks):
+                hits, found = self._scored(ts, ws, np.sort(blocks))
+                stay = hits != without
+                at, scores = np.r_[at, hits[stay]], np.r_[scores, found[stay]]
+        best = np.lexsort((at, -scores))[:k]
+        return list(zip(scores[best].tolist(), at[best].tolist(), strict=True))
 
 
 class Model:
     """Examples, their index and the calibration of the votes."""
 
-    def __init__(self, examples: list[tuple[object, int, dict[int, int]]], chosen: list[tuple[bytes, int]], prior: float):
-        """``examples``: id, label and counts of numbered terms; ``chosen``: terms and their examples; ``prior``: part of label 1 among all labels."""
+    def __init__(self, examples: list[tuple[object, int, dict[int, int]]], chosen: list[tuple[bytes, int, float]], prior: float):
+        """``examples``: id, label and counts of numbered terms; ``chosen``: terms, their examples and weights; ``prior``: part of label 1 among all labels."""
         self.ids, self.labels = [e[0] for e in examples], np.array([e[1] for e in examples], np.int64)
-        self.number = {t: i for i, (t, _) in enumerate(chosen)}
-        self.known = self.number | {t.partition(b"*")[0] + b"*": -1 for t in self.number if b"*" in t and t.partition(b"*")[0] + b"*" not in self.number}
-        self.idf = np.log((len(examples) + 1) / (np.array([d for _, d in chosen], float) + 1)) + 1
+        self.number = {t: i for i, (t, _, _) in enumerate(chosen)}
+        self.known = known_terms(self.number)
+        self.idf = (np.log((len(examples) + 1) / (np.array([d for _, d, _ in chosen], float) + 1)) + 1) * np.array([w for _, _, w in chosen])
         vectors = [self.vector(counts) for _, _, counts in examples]
         self.index = BlockMaxIndex(vectors, len(self.number))
         self._calibrate(vectors, prior)
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        """Unit TF-IDF vector of the counts of numbered terms."""
-        v = {i: (1 + np.log(c)) * self.idf[i] for i, c in counts.items()}
-        norm = float(np.sqrt(sum(x * x for x in v.values())))
-        return {i: float(x) / norm for i, x in v.items()}
+    def vector(self, counts: dict[int, int]) -> Vector:
+        """Unit TF-IDF vector of the counts of numbered terms: their numbers and weights."""
+        at = np.array(list(counts), np.int64)
+        v = (1 + np.log(np.array(list(counts.values()), float))) * self.idf[at]
+        return at, v / max(np.sqrt((v * v).sum()), 1e-300)
 
     def count(self, text: str) -> dict[int, int]:
         return {self.number[t]: n for t, n in count_terms(text, self.known).items() if t in self.number}
@@ -151,19 +167,27 @@ class Model:
         self.slope, self.shift = a, b
 
     def score(self, text: str) -> tuple[float, list[tuple[float, int]], list[int]]:
-        """The probability of label 1, the nearest examples and the numbers of the terms that the text shares with them."""
+        """The probability of label 1, the nearest examples and the numbers of the SHOWN terms that weigh most in the text."""
         counts = self.count(text)
-        near = self.index.nearest(self.vector(counts), NEIGHBOURS) if counts else []
+        at, weight = vector = self.vector(counts)
+        near = self.index.nearest(vector, NEIGHBOURS)
         if not near:
             return self.alone, [], []
-        return float(1 / (1 + np.exp(-(self.slope * self.vote(near) + self.shift)))), near, list(counts)
+        return float(1 / (1 + np.exp(-(self.slope * self.vote(near) + self.shift)))), near, at[np.argsort(-weight, kind="stable")[:SHOWN]].tolist()
+
+
+def known_terms(number: dict[bytes, int]) -> dict[bytes, int]:
+    """The numbered terms with the beginnings (-1) whose steps are among them."""
+    return number | {t.partition(b"*")[0] + b"*": -1 for t in number if b"*" in t and t.partition(b"*")[0] + b"*" not in number}
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """The model of ``sample`` labelled documents of each class at most, chosen by a hash of the id.
 
-    Terms are the words that tell the classes apart in these examples (chi-square and lift), with their
-    beginnings; their counts over the examples are gathered by Spark. Without both classes, or without labels, no term is chosen and every score is the prior.
+    Terms are all words and beginnings of words in MIN_EXAMPLES examples or more. A term weighs its inverse document frequency times its
+    supervised weight, the chi-square of term and label over the number of examples, less the one that chance alone gives:
+    a term that says nothing of the label weighs nothing, and none is left out by a threshold or a number of terms. Counts over
+    the examples are gathered by Spark. Without both classes, or without labels, there are no terms and every score is the prior.
     """
     own = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null").groupBy("id").agg(F.max("label").alias("label"))
     every = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
@@ -183,11 +207,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     df = chosen.mapInArrow(seen, "term binary, label int, n long").groupBy("term").agg(F.sum("n").cast("double").alias("d"), F.sum(F.col("n") * F.col("label")).cast("double").alias("a"))
     df = df.where((d >= MIN_EXAMPLES) & (d < n)) if 0 < n1 < n else df.where("false")
     df = df.withColumn("chi", n * F.pow(a * (n - n1) - (d - a) * n1, 2) / (float(n1) * (n - n1) * d * (n - d)))
-    df = df.withColumn("lift", (a + 0.5) / (n1 + 1) / ((d - a + 0.5) / (n - n1 + 1)))
-    df = df.where((F.col("chi") >= MIN_CHI) & (F.greatest("lift", 1 / F.col("lift")) >= MIN_LIFT))
-    best = [(bytes(r["term"]), int(r["d"])) for r in df.orderBy(F.desc("chi"), "term").limit(TERMS).collect()]
-    number = {t: i for i, (t, _) in enumerate(best)}
-    known = number | {t.partition(b"*")[0] + b"*": -1 for t in number if b"*" in t and t.partition(b"*")[0] + b"*" not in number}
+    df = df.withColumn("weight", (F.col("chi") - 1) / n).where("weight > 0")
+    best = sorted((bytes(r["term"]), int(r["d"]), float(r["weight"])) for r in df.collect())
+    number = {t: i for i, (t, _, _) in enumerate(best)}
+    known = known_terms(number)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
