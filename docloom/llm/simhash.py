@@ -23,10 +23,10 @@ FANOUT, STARTS, FEW, PAIRS, CHUNK = 16, 32, 32, 4_000_000, 200_000
 #: Fingerprints of a bucket from which on it is split by more bits, and how often at most.
 BUCKET, SPLITS = 8_192, 3
 FULL = (1 << 64) - 1
+#: Kinds of candidates.
+LINK, HUB, DENSE = 0, 1, 2
 #: For documents alike by a Jaccard similarity: words of a shingle, that similarity, and the differing bits up to which fingerprints are candidates.
 SET_WORDS, SIMILARITY, SET_BITS = 5, 0.8, 13
-#: Differing bits up to which the parts of a dense group are compared first.
-NEARER = 8
 #: Fingerprints that a bucket of sampled bits has on average, and the part of pairs at SET_BITS that may share no bucket.
 SAMPLED, MISSED = 256, 0.02
 
@@ -338,46 +338,35 @@ def _bucketed_by(nodes: DataFrame, masks: list[int], *more: str) -> DataFrame:
     return keyed.repartition("mask", "value").sortWithinPartitions("mask", "value")
 
 
-def _candidates(bits: int, similarity: float, apart: bool):
-    """Candidate pairs (u, v) within each bucket of (mask, value, fp, node, n[, root]): nodes within ``bits`` and of fitting sizes.
+def _candidates(bits: int, similarity: float):
+    """Candidates (u, v, kind) within each bucket of (mask, value, fp, node, n): nodes within ``bits`` and of fitting sizes.
 
-    Without ``apart`` all links of GrayIndex.links outside dense groups; of a dense group the links to its hub, the node nearest to the
-    majority of its bits, and (node, node) for each member. With ``apart`` every pair of different
-    roots, for which only nodes outside the most frequent root of a bucket are searched for.
+    Kind LINK has all links of GrayIndex.links outside dense groups, kind HUB each member of a dense group with the group's
+    hub, the node nearest to the majority of its bits, and kind DENSE each member alone.
     """
 
     def fitting(n, a, b):
         return np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9
 
+    def made(u, v, kind):
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), kind, np.int32))], names=["u", "v", "kind"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bucket in _chunks(batches):
             index = GrayIndex(rows[:, 2].copy().view(np.uint64), bucket)
             node, n = rows[index.order, 3], rows[index.order, 4]
-            if apart:
-                root, b = rows[index.order, 5], bucket[index.order]
-                pairs, first, count = np.unique(np.stack([b, root], 1), axis=0, return_index=True, return_counts=True)
-                best = np.lexsort((-count, pairs[:, 0]))
-                best = best[np.r_[True, pairs[best][1:, 0] != pairs[best][:-1, 0]]]
-                asks = np.flatnonzero(root != pairs[best, 1][np.searchsorted(pairs[best, 0], b)])
-                for at in range(0, len(asks), 256):
-                    q, leaf = index.near(asks[at : at + 256], bits)
-                    ok = (root[q] != root[leaf]) & fitting(n, q, leaf)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[q[ok]], node[leaf[ok]])), pa.array(np.maximum(node[q[ok]], node[leaf[ok]]))], names=["u", "v"])
-            else:
-                for a, b in index.links(bits):
-                    ok = fitting(n, a, b) & ((index.dense[a] < 0) | (index.dense[b] < 0))
-                    a, b = node[a[ok]], node[b[ok]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
-                inside = np.flatnonzero(index.dense >= 0)
-                inside = inside[np.argsort(index.dense[inside], kind="stable")]
-                for members in np.split(inside, np.flatnonzero(np.diff(index.dense[inside])) + 1) if len(inside) else []:
-                    middle = np.uint64(majority(index.codes[members]))
-                    hub = members[np.bitwise_count(index.codes[members] ^ middle).argmin()]
-                    ok = fitting(n, members, hub) & (np.bitwise_count(index.codes[members] ^ index.codes[hub]) <= bits) & (members != hub)
-                    a, b = node[members[ok]], node[hub]
-                    own = pa.array(node[members])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
-                    yield pa.RecordBatch.from_arrays([own, own], names=["u", "v"])
+            for a, b in index.links(bits):
+                ok = fitting(n, a, b) & ((index.dense[a] < 0) | (index.dense[b] < 0))
+                a, b = node[a[ok]], node[b[ok]]
+                yield made(np.minimum(a, b), np.maximum(a, b), LINK)
+            inside = np.flatnonzero(index.dense >= 0)
+            inside = inside[np.argsort(index.dense[inside], kind="stable")]
+            for members in np.split(inside, np.flatnonzero(np.diff(index.dense[inside])) + 1) if len(inside) else []:
+                middle = np.uint64(majority(index.codes[members]))
+                hub = members[np.bitwise_count(index.codes[members] ^ middle).argmin()]
+                ok = fitting(n, members, hub) & (np.bitwise_count(index.codes[members] ^ index.codes[hub]) <= bits) & (members != hub)
+                yield made(node[members[ok]], np.full(ok.sum(), node[hub]), HUB)
+                yield made(node[members], node[members], DENSE)
 
     return run
 
@@ -389,6 +378,29 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(u, "u").join(v, "v").where(common >= similarity * (F.size("hu") + F.size("hv") - common) - 1e-9).select("u", "v")
 
 
+def _apart(sets: DataFrame, similarity: float, bits: int) -> DataFrame:
+    """Pairs (u, v) of different roots among ``sets`` (node, hashes, fp, root) that can have this similarity and are within ``bits``.
+
+    Hashes are put in the order of their frequency, rarest first. Two similar sets share one of their first n - ceil(similarity * n) + 1,
+    and the first that they share has few enough before it on either side. Of the sets that share a hash only those outside the most
+    frequent root there look for partners, so what is joined already costs nothing.
+    """
+    every = sets.select("node", F.explode("hashes").alias("h"))
+    df = cut(every.groupBy("h").agg(F.count("*").alias("df")))
+    ranked = every.join(df, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs")).withColumn("n", F.size("hs"))
+    head = F.slice("hs", F.lit(1), (F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).cast("int"))
+    first = ranked.select("node", "n", F.posexplode(head).alias("i", "x")).where("x.df > 1").select("node", "n", "i", "x.h")
+    first = cut(first.join(sets.select("node", "fp", "root"), "node"))
+    most = first.groupBy("h", "root").agg(F.count("*").alias("many")).groupBy("h").agg(F.max_by("root", F.struct("many", "root")).alias("most"), F.count("*").alias("roots"))
+    asks = cut(first.join(cut(most.where("roots > 1")), "h").where(F.col("root") != F.col("most")).select(*[F.col(c).alias(f"{c}_") for c in first.columns]))
+    fits = F.least("n", "n_") >= similarity * F.greatest("n", "n_") - 1e-9
+    left = F.least(F.col("n") - F.col("i"), F.col("n_") - F.col("i_"))
+    enough = left >= similarity / (1 + similarity) * (F.col("n") + F.col("n_")) - 1e-6
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_"))) <= bits
+    pairs = asks.join(first, (F.col("h_") == F.col("h")) & (F.col("root_") != F.col("root")) & fits & enough & near)
+    return pairs.select(F.least("node", "node_").alias("u"), F.greatest("node", "node_").alias("v")).distinct()
+
+
 def _labels(edges: DataFrame, steps: int = 2) -> DataFrame:
     """(node, root): the least node within ``steps`` links and one of each node of ``edges`` (u, v), enough to know the members of a star by.
 
@@ -406,9 +418,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The similarity is that of the whole sets of ``words``-word shingles. Sets are nodes with a SimHash fingerprint each (equal sets are
     one); candidates are those within ``bits`` of each other by the Gray-order index, searched in buckets of sampled bits
-    (see sampled_masks), and each is compared by its whole sets before it links. A dense group is compared with its hub first. Its
-    nodes that this leaves apart are compared within NEARER bits, and what is still apart within all ``bits``, so
-    that every candidate is compared or joined already and a large group of copies costs little more than its size.
+    (see sampled_masks), and each is compared by its whole sets before it links. A member of a dense group, where all would be near to all,
+    is compared with the most frequent hub of its buckets first; what that leaves apart is compared where whole sets
+    can still be similar (see _apart), so a large group of copies costs little more than its size and no link is lost.
 
     ``component`` is the smallest id of the group; a null id is never the smallest, and rows that repeat an id are separate documents
     of that id. Null and empty texts have the empty set, which is like itself only.
@@ -417,18 +429,19 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = cut(_set_rows(named, words))
     nodes = cut(rows.groupBy("node").agg(F.min("id").alias("least"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp")))
     masks = sampled_masks(nodes.count(), bits)
-    met = cut(_bucketed_by(nodes, masks, "node", "n").mapInArrow(_candidates(bits, similarity, False), "u long, v long").distinct())
-    first, dense = met.where("u < v"), met.where("u = v").select(F.col("u").alias("node"))
-    ends = first.select(F.explode(F.array("u", "v")).alias("node")).union(dense).distinct()
-    ids = cut(nodes.join(ends, "node", "left_semi").select("node", "least"))
+    met = cut(_bucketed_by(nodes, masks, "node", "n").mapInArrow(_candidates(bits, similarity), "u long, v long, kind int").distinct())
+    hubs = met.where(F.col("kind") == HUB).select("u", "v")
+    often = cut(hubs.groupBy("v").agg(F.count("*").alias("members")))
+    star = hubs.join(often, "v").groupBy("u").agg(F.max_by("v", F.struct("members", "v")).alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    first = cut(met.where(F.col("kind") == LINK).select("u", "v").union(star).distinct())
+    dense = met.where(F.col("kind") == DENSE).select(F.col("u").alias("node")).distinct()
+    ids = cut(nodes.join(first.select(F.explode(F.array("u", "v")).alias("node")).union(dense).distinct(), "node", "left_semi").select("node", "least", "fp"))
     some = named.join(ids.select(F.col("least").alias("__least")).distinct(), F.col("id").eqNullSafe(F.col("__least")), "left_semi")
     sets = cut(_sets(some, words).join(ids, "node", "left_semi").groupBy("node").agg(F.any_value("hashes").alias("hashes")))
     joined = cut(_similar(first, sets, similarity))
-    for limit in (NEARER, bits) if dense.head(1) else ():
-        # links between dense nodes are enough to tell their roots apart; others only make more pairs
-        own = joined.join(dense.withColumnRenamed("node", "u"), "u", "left_semi").join(dense.withColumnRenamed("node", "v"), "v", "left_semi").select("u", "v")
-        left = nodes.join(dense, "node", "left_semi").join(_labels(own), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        more = _bucketed_by(left, masks, "node", "n", "root").mapInArrow(_candidates(limit, similarity, True), "u long, v long").distinct()
+    if dense.head(1):
+        held = sets.join(ids.select("node", "fp"), "node").join(dense, "node", "left_semi").join(_labels(joined), "node", "left")
+        more = _apart(held.withColumn("root", F.coalesce("root", "node")), similarity, bits)
         joined = cut(joined.union(_similar(more.join(first, ["u", "v"], "left_anti"), sets, similarity)))
     return rows.select("id", "node").join(cut(_components(nodes, "node", joined)), "node").select("id", "node", "component")
 
