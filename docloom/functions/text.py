@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Word of a text: letters, digits and underscores of any script.
 WORD = r"[\p{L}\p{N}_]+"
@@ -185,15 +186,17 @@ def pdf_date(text: Column) -> Column:
     return F.when(digits != "", F.date_format(F.try_to_timestamp(digits, F.lit("yyyyMMdd")), "yyyy-MM-dd")).otherwise(F.nullif(F.trim(text), F.lit("")))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _most_frequent(found: pd.Series, most: pd.Series) -> pd.Series:
+    # Counter keeps words in the order of their first place, and most_common keeps that order among equals
+    return pd.Series([[w for w, _ in Counter(ws).most_common(n)] if ws is not None else None for ws, n in zip(found, most, strict=True)])
+
+
 def keywords(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 8) -> DataFrame:
-    """(id_col, keywords): the ``most`` frequent words of four letters or more, ties by first place."""
-    found = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"[A-Za-zÀ-ÿ]{4,}"), F.lit(0))
+    """(id_col, keywords): the ``most`` frequent words of four letters or more, ties by first place; no row for a text without one."""
     stops = F.array(*[F.lit(w) for w in KEYWORD_STOPS])
-    each = docs.select(id_col, F.posexplode(found).alias("place", "word")).where(~F.array_contains(stops, F.col("word")))
-    counts = each.groupBy(id_col, "word").agg(F.count("*").alias("n"), F.min("place").alias("first"))
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("n"), "first"))
-    top = counts.withColumn("rank", rank).where(F.col("rank") <= most)
-    return top.groupBy(id_col).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("keywords"))
+    found = F.filter(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"[A-Za-zÀ-ÿ]{4,}"), F.lit(0)), lambda w: ~F.array_contains(stops, w))
+    return docs.select(id_col, _most_frequent(found, F.lit(most)).alias("keywords")).where(F.size("keywords") > 0)
 
 
 def detect_language(text: Column) -> Column:

@@ -67,8 +67,8 @@ def fuzzy(docs: DataFrame, text: Column, threshold: float = 0.95, id_col: str =
 
 
 def newest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key by ``order``."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+    """The last row of each key by ``order``; where that ties, a hash of the whole row decides, so reruns agree."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order), F.xxhash64(*[F.col(c) for c in rows.columns]), F.to_json(F.struct(*rows.columns))))
     return rows.withColumn("__n", n).where("__n = 1").drop("__n")
 
 

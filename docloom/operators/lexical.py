@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -42,10 +45,31 @@ def _grams(ts: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(ts, i, F.lit(n)), " "))
 
 
-def postings(docs: DataFrame, tokens: Column, id_col: str = "doc_id") -> DataFrame:
-    """(term, id, tf, dl): the inverted index; ``dl`` is the length of the document, so scoring needs no second join."""
-    rows = docs.select(F.col(id_col).alias("id"), tokens.alias("ts")).select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-    return rows.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, tokens: Column, id_col: str = "doc_id", only: set[str] | None = None) -> DataFrame:
+    """(term, id, dl, tf): the inverted index; ``dl`` is the length of the document, so scoring needs no second join.
+
+    Terms are counted within each row, so nothing is shuffled. Of ``only``, a set of terms of checked size, no other postings are made.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(only) if only is not None else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value if shared else None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                row, term, tf, dl = [], [], [], []
+                for k, ts in enumerate(part.column(1).to_pylist()):
+                    counts = Counter(ts or ())
+                    if wanted is not None:
+                        counts = {t: n for t, n in counts.items() if t in wanted}
+                    row += [k] * len(counts)
+                    dl += [len(ts or ())] * len(counts)
+                    term += counts.keys()
+                    tf += counts.values()
+                yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), part.column(0).take(pa.array(row, pa.int64())), pa.array(dl, pa.int32()), pa.array(tf, pa.int64())], names=["term", "id", "dl", "tf"])
+
+    return docs.select(F.col(id_col).alias("id"), tokens.alias("ts")).mapInArrow(run, f"term string, id {kind}, dl int, tf long")
 
 
 def corpus(docs: DataFrame, tokens: Column) -> DataFrame:

@@ -141,7 +141,10 @@ def purge(log: DataFrame, now: str, days: int) -> DataFrame:
 
 
 def rotate(log: DataFrame, most_rows: int, rounds: int = 5) -> DataFrame:
-    """Drops the oldest third, one row at least, while the log has more rows than ``most_rows``, ``rounds`` times at most."""
+    """Drops the oldest third, one row at least, while the log has more rows than ``most_rows``, ``rounds`` times at most.
+
+    The rows that stay are those after a minute found by counts a minute, and in that minute the latest: only it is put in order.
+    """
     n = left = log.count()
     for _ in range(rounds):
         if left <= most_rows:
@@ -149,8 +152,13 @@ def rotate(log: DataFrame, most_rows: int, rounds: int = 5) -> DataFrame:
         left -= max(1, left // 3)
     if left == n:
         return log
-    keep = log.select("id", "ts").orderBy(F.desc("ts"), F.desc("id")).limit(left).select("id")
-    return log.join(keep, "id", "left_semi")
+    minute = F.date_trunc("minute", F.col("ts"))
+    counts = log.groupBy(minute.alias("minute")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy(F.desc("minute")).rowsBetween(Window.unboundedPreceding, 0))
+    edge = counts.withColumn("upto", upto).where(F.col("upto") >= left).orderBy("upto").first()
+    later = log.where(minute > F.lit(edge["minute"])) if edge["minute"] is not None else log.where("ts is not null")
+    same = log.where(minute.eqNullSafe(F.lit(edge["minute"]))).orderBy(F.desc("ts"), F.desc("id")).limit(left - (edge["upto"] - edge["n"]))
+    return later.unionByName(same)
 
 
 def set_feedback(log: DataFrame, votes: DataFrame) -> DataFrame:

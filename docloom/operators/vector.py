@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.text import words
 
@@ -36,27 +39,42 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors of different dimensions")).cast("double")).otherwise(value)
 
 
-def hashed_embedding(docs: DataFrame, dimensions: int, id_col: str = "doc_id", text_col: str = "text", normalize: bool = True) -> DataFrame:
-    """(id_col, vector): each word's share of the text goes to two places that its sha256 names, with signs; the second half as much.
+#: Words whose places a worker remembers; the memory starts anew when it is full.
+REMEMBERED = 200_000
 
-    All in the JVM: words are counted by text, hashed once each, summed by place, and laid out densely.
-    """
-    hex_, d = F.col("h"), F.lit(dimensions).cast("decimal(20,0)")
 
-    def place(at: int) -> Column:
-        return (F.conv(F.substring(hex_, at, 16), 16, 10).cast("decimal(20,0)") % d).cast("int")
+def hashed_vector(tokens: Column, dimensions: int) -> Column:
+    """Each word's share of ``tokens`` at two places that its sha256 names, with signs; the second half as much. Nothing is shuffled."""
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def lay(rows: pd.Series) -> pd.Series:
+        known: dict[str, tuple[int, float, int, float]] = {}
+
+        def places(word: str) -> tuple[int, float, int, float]:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            h = sha256(word.encode("utf-8", "surrogatepass")).hexdigest()
+            sign = lambda at: 1.0 if int(h[at : at + 2], 16) % 2 == 0 else -1.0
+            known[word] = found = (int(h[:16], 16) % dimensions, sign(16), int(h[18:34], 16) % dimensions, 0.5 * sign(34))
+            return found
+
+        def one(ws) -> np.ndarray:
+            out = np.zeros(dimensions)
+            for w, n in Counter(ws if ws is not None else ()).items():
+                i, a, j, b = known.get(w) or places(w)
+                out[i] += a * n / len(ws)
+                out[j] += b * n / len(ws)
+            return out
 
-    def sign(at: int) -> Column:
-        return F.when(F.conv(F.substring(hex_, at, 2), 16, 10).cast("int").bitwiseAND(1) == 0, 1.0).otherwise(-1.0)
+        return rows.map(one)
 
-    each = docs.select(id_col, words(F.col(text_col)).alias("ws")).select(id_col, F.size("ws").alias("total"), F.explode("ws").alias("w"))
-    tf = each.groupBy(id_col, "total", "w").agg(F.count("*").alias("n")).withColumn("h", F.sha2("w", 256)).withColumn("weight", F.col("n") / F.col("total"))
-    parts = tf.select(id_col, F.explode(F.array(F.struct(place(1).alias("i"), (sign(17) * F.col("weight")).alias("x")), F.struct(place(19).alias("i"), (sign(35) * F.col("weight") * 0.5).alias("x")))).alias("p"))
-    sums = parts.groupBy(id_col, "p.i").agg(F.sum("p.x").alias("x")).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    out = docs.select(id_col).join(sums, id_col, "left")
-    vector = F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), dimensions)).otherwise(dense)
-    return out.select(id_col, vector.alias("vector")).withColumn("vector", l2_normalize(F.col("vector")) if normalize else F.col("vector"))
+    return lay(F.coalesce(tokens, F.array().cast("array<string>")))
+
+
+def hashed_embedding(docs: DataFrame, dimensions: int, id_col: str = "doc_id", text_col: str = "text", normalize: bool = True) -> DataFrame:
+    """(id_col, vector) of each row by hashed_vector of its words; a text without words, or none, has the zero vector."""
+    out = docs.select(id_col, hashed_vector(words(F.col(text_col)), dimensions).alias("vector"))
+    return out.withColumn("vector", l2_normalize(F.col("vector"))) if normalize else out
 
 
 def embed(docs: DataFrame, embedder: Callable[[list[str]], list[list[float]]], id_col: str = "doc_id", text_col: str = "text", batch: int = 32) -> DataFrame:
@@ -87,7 +105,12 @@ def _scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
 def _nearest(vec: np.ndarray, x: np.ndarray, names: np.ndarray, q: np.ndarray, k: int, metric: str) -> pd.DataFrame:
     """The ``k`` best points of each query among a batch of points."""
     s = _scores(x, q, metric)
-    best = np.stack([np.lexsort((vec, -s[:, j]))[:k] for j in range(len(q))])
+    some, best = min(k, len(x)), []
+    last = np.partition(s, len(x) - some, 0)[len(x) - some]
+    for j in range(len(q)):  # all that reach the k-th score, so that ties are settled by id
+        near = np.flatnonzero(s[:, j] >= last[j])
+        best.append(near[np.lexsort((vec[near], -s[near, j]))[:some]])
+    best = np.stack(best)
     return pd.DataFrame({"query_id": np.repeat(names, best.shape[1]), "vec_id": vec[best.ravel()], "score": s[best.ravel(), np.repeat(np.arange(len(q)), best.shape[1])]})
 
 
@@ -96,13 +119,18 @@ def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", i
 
     Up to BLOCK queries are broadcast, and every batch of points meets them as one matrix product, of which
     only the ``k`` best per query go on: points are not shuffled. Of more queries each block meets the points in
-    shards, one pair a task. Scores are rounded to 6, ties go to the smaller id.
+    shards, one pair a task. Scores are rounded to 6, ties go to the smaller id. Vectors that are null, hold nulls or do not
+    have the dimensions of most queries (the fewer of equally frequent ones) take no part on either side.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
     spark = points.sparkSession
-    rows = points.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("q"))
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
+    rows = points.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(whole("v"))
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("q")).where(whole("q"))
+    sizes = asked.groupBy(F.size("q").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    dimensions = sizes["d"] if sizes else 0
+    rows, asked = rows.where(F.size("v") == dimensions), asked.where(F.size("q") == dimensions)
     kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {points.schema[id_col].dataType.simpleString()}, score double"
     few = asked.limit(BLOCK + 1).collect()
     if not few:
@@ -165,10 +193,13 @@ def collection_stats(points: DataFrame, vector_col: str = "embedding") -> DataFr
 
 
 def upsert(points: DataFrame, new: DataFrame, id_col: str = "vec_id", order: str | None = None) -> DataFrame:
-    """``points`` with ``new`` in place of rows of the same id; of several new rows the last by ``order`` wins."""
-    if order:
-        rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc(order)))
-        new = new.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    """``points`` with ``new`` in place of rows of the same id; of several new rows the last by ``order`` wins.
+
+    Rows of a DataFrame have no order of their own: without ``order``, or where it ties, a hash of the whole row decides, so reruns agree.
+    """
+    last = [F.desc(order)] if order else []
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(*last, F.xxhash64(*[F.col(c) for c in new.columns]), *[F.to_json(F.struct(*new.columns))]))
+    new = new.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
     return points.join(new.select(id_col).distinct(), id_col, "left_anti").unionByName(new.select(points.columns))
 
 

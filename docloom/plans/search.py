@@ -31,14 +31,25 @@ class SearchConfig:
     filters: fusion.Filters = field(default_factory=fusion.Filters)
 
 
-def lexical_search(docs: DataFrame, queries: DataFrame, c: SearchConfig, id_col: str = "doc_id", text_col: str = "text", matched: bool = False) -> DataFrame:
-    """(query_id, id, score, rank) for queries (query_id, text); with ``matched`` also the terms found."""
-    tokens = lexical.tokenize(F.col(text_col))
-    stats, index = lexical.corpus(docs, tokens), lexical.postings(docs, tokens, id_col)
-    allowed = docs.where(c.filters.predicate()).select(F.col(id_col).alias("id")) if c.filters != fusion.Filters() else None
+#: Distinct terms of a query set up to which they are broadcast, so that an index built for one search holds no others.
+MOST_TERMS = 100_000
+Index = tuple[DataFrame, DataFrame]
+
+
+def lexical_search(docs: DataFrame, queries: DataFrame, c: SearchConfig, id_col: str = "doc_id", text_col: str = "text", matched: bool = False, index: Index | None = None) -> DataFrame:
+    """(query_id, id, score, rank) for queries (query_id, text); with ``matched`` also the terms found.
+
+    ``index`` is an inverted index with the corpus figures (see lexical.load); without one the texts are indexed for this search alone.
+    """
     asked = queries.select("query_id", lexical.tokenize(F.col("text")).alias("ts"))
-    best = lexical.top(lexical.bm25(index, stats, asked, c.k1, c.b, c.delta, allowed), c.top_k, c.threshold)
-    return lexical.with_matched(best, index, asked) if matched else best
+    if index is None:
+        tokens = lexical.tokenize(F.col(text_col))
+        terms = [r[0] for r in asked.select(F.explode("ts")).distinct().limit(MOST_TERMS + 1).collect()]
+        index = lexical.postings(docs, tokens, id_col, set(terms) if len(terms) <= MOST_TERMS else None), lexical.corpus(docs, tokens)
+    found, stats = index
+    allowed = docs.where(c.filters.predicate()).select(F.col(id_col).alias("id")) if c.filters != fusion.Filters() else None
+    best = lexical.top(lexical.bm25(found, stats, asked, c.k1, c.b, c.delta, allowed), c.top_k, c.threshold)
+    return lexical.with_matched(best, found, asked) if matched else best
 
 
 def semantic_search(points: DataFrame, queries: DataFrame, c: SearchConfig, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
@@ -66,13 +77,17 @@ def funnel(points: DataFrame, queries: DataFrame, c: SearchConfig, id_col: str =
     return near.groupBy("query_id").agg(F.count("*").alias("prefetched"), F.count_if(ok).alias("above_threshold"), F.count_if(ok & F.col("fits")).alias("filtered"))
 
 
-def search(docs: DataFrame, queries: DataFrame, c: SearchConfig, dimensions: int = 128) -> DataFrame:
-    """(query_id, id, score, rank, ...) over ``docs`` (doc_id, text, ...) by the kind of ``c``, with hashed embeddings."""
+def search(docs: DataFrame, queries: DataFrame, c: SearchConfig, dimensions: int = 128, index: Index | None = None, points: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, rank, ...) over ``docs`` (doc_id, text, ...) by the kind of ``c``, with hashed embeddings.
+
+    ``index`` and ``points`` (id, vector) are what a collection has stored of ``docs``; without them the texts are indexed for this search alone.
+    """
     if c.kind == "lexical":
-        return lexical_search(docs, queries, c)
-    points = vector.hashed_embedding(docs, dimensions).withColumnRenamed("doc_id", "id")
+        return lexical_search(docs, queries, c, index=index)
+    if points is None:
+        points = vector.hashed_embedding(docs, dimensions).withColumnRenamed("doc_id", "id")
     asked = vector.hashed_embedding(queries, dimensions, "query_id")
     if c.kind == "semantic":
         return semantic_search(points, asked, c)
     wide = SearchConfig(**{**c.__dict__, "top_k": fusion.candidates_per_side(c.top_k, c.top_k, c.top_k), "prefetch": 1, "mmr_lambda": None})
-    return fusion.fuse(semantic_search(points, asked, wide).select("query_id", "id", "score"), lexical_search(docs, queries, wide).select("query_id", "id", "score"), c.method, c.alpha, c.rrf_k, c.normalization, c.threshold, c.top_k)
+    return fusion.fuse(semantic_search(points, asked, wide).select("query_id", "id", "score"), lexical_search(docs, queries, wide, index=index).select("query_id", "id", "score"), c.method, c.alpha, c.rrf_k, c.normalization, c.threshold, c.top_k)

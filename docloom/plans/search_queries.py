@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.chunking import jaccard
 from ..functions.text import STOPS, preprocess, words
 from ..operators import cdc, context, dedup, fusion, lexical, vector
+from ..operators.cut import cut
 from . import search
 from .suite import query, table
 
@@ -236,7 +237,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id
 
 def _sides(spark, d):
     docs = table(spark, d, "documents")
-    hits = search.lexical_search(docs, _queries(spark, d), search.SearchConfig(top_k=40)).select("query_id", "id", "score", "rank")
+    hits = cut(search.lexical_search(docs, _queries(spark, d), search.SearchConfig(top_k=40)).select("query_id", "id", "score", "rank"))
     other = F.round(1.0 / (1 + F.abs(F.char_length("text") - 1000)), 4)
     sem = hits.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").select("query_id", "id", other.alias("score"))
     return lexical.top(sem, 20).select("query_id", "id", "score"), hits.where("rank <= 20").select("query_id", "id", "score")

@@ -32,7 +32,7 @@ def s19(spark, d):
 
 @query("s20_dom_text")
 def s20(spark, d):
-    return table(spark, d, "pages").select("page_id", web.page_title(F.col("html")).alias("title"), web.dom_text(F.col("html")).alias("text"))
+    return table(spark, d, "pages").select("page_id", web.page_parts(F.col("html")).alias("p")).select("page_id", "p.*")
 
 
 @query("s21_hrefs", """SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM pages""")
@@ -79,7 +79,8 @@ def w08(spark, d):
     return spark.table(name).withColumn("day", F.col("day").cast("string"))
 
 
-@query("w01_signature", """SELECT string_agg(event_type || ':' || event_id, '|' ORDER BY event_type || ':' || event_id) AS signature FROM events WHERE event_type = 'error'""")
+@query("w01_signature", """WITH h AS (SELECT sha256(event_type || ':' || event_id) AS h FROM events WHERE event_type = 'error')
+SELECT count(*) || '-' || sum(('0x' || h[1:15])::HUGEINT) || '-' || sum(('0x' || h[16:30])::HUGEINT) AS signature FROM h""")
 def w01(spark, d):
     rows = query_log(spark, d).where("answer = 'error'").select(F.col("answer").alias("change_type"), F.col("id").cast("string").alias("path"))
     return streams.signature(rows)

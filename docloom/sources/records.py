@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import count
 from xml.etree import ElementTree
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -21,10 +23,13 @@ def from_query(spark: SparkSession, query: str, source_id: str, id_column: str,
 
     The query is parsed, not searched for words: what is not a single query fails before it runs.
     """
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
-    if plan.getClass().getSimpleName() in ("InsertIntoStatement", "CreateTable", "DropTable", "DeleteFromTable", "UpdateTable", "MergeIntoTable") or not re.match(r"(?is)\s*(select|with)\b", query):
+    if not re.match(r"(?is)\s*(select|with)\b", query):
         raise ValueError("only a SELECT is allowed")
-    rows = spark.sql(query).where(F.col(id_column).isNotNull())
+    try:
+        rows = spark.sql(f"SELECT * FROM (\n{query.strip().rstrip(';')}\n)")  # a statement that changes something cannot stand here
+    except ParseException as e:
+        raise ValueError("only a SELECT is allowed") from e
+    rows = rows.where(F.col(id_column).isNotNull())
     rows = rows.limit(max_rows) if max_rows else rows
     i, text = F.col(id_column).cast("string"), F.coalesce(F.col(content_column).cast("string"), F.lit(""))
     name = F.coalesce(F.col(title_column).cast("string") if title_column else F.lit(None), F.concat(F.lit("Row "), i))
@@ -57,10 +62,12 @@ def next_page(kind: str, number: int, size: int, answer: dict | None = None, cur
     raise ValueError(f"unknown paging: {kind}")
 
 
-def rest_pages(fetch: Callable[[dict], dict], kind: str = "none", size: int = 100, items: str = "items", most: int = 10_000, cursor_path: str = "next") -> Iterator[dict]:
-    """The answers of ``fetch`` page by page until one has no items, is short, or has no cursor."""
+def rest_pages(fetch: Callable[[dict], dict], kind: str = "none", size: int = 100, items: str = "items", most: int | None = None, cursor_path: str = "next") -> Iterator[dict]:
+    """The answers of ``fetch`` page by page until one has no items, is short, or has no cursor; more than ``most`` pages, if given, are an error."""
     answer: dict | None = None
-    for number in range(most):
+    for number in count():
+        if most is not None and number >= most:
+            raise ValueError(f"more than {most} pages")
         asked = next_page(kind, number, size, answer, cursor_path)
         if asked is None:
             return

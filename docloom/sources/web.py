@@ -9,9 +9,10 @@ from urllib.parse import urldefrag, urljoin, urlparse
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions.text import collapse
+from ..operators.cut import cut
 
 
 def stripped(html: Column) -> Column:
@@ -89,6 +90,13 @@ def page_title(html: pd.Series) -> pd.Series:
     return html.map(lambda x: " ".join(_read(x).title.split()) or None)
 
 
+@F.pandas_udf(StructType([StructField("title", StringType()), StructField("text", StringType())]))
+def page_parts(html: pd.Series) -> pd.DataFrame:
+    """page_title and dom_text of a page that is read once."""
+    pages = [_read(x) for x in html]
+    return pd.DataFrame({"title": [" ".join(r.title.split()) or None for r in pages], "text": [_lines(r) for r in pages]})
+
+
 def hrefs(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'href="([^"]+)"'), F.lit(1))
 
@@ -112,10 +120,11 @@ def crawl(pages: DataFrame, start: DataFrame, depth: int = 1, same_domain: bool
     """(url, depth) of the pages that are reached from ``start`` (url) by links, breadth first, each once at its least depth.
 
     ``pages`` (url, html) stands for the network. Each depth is one join of the frontier with the pages and
-    an anti join with what is known. ``max_pages`` keeps the first by depth and address.
+    an anti join with what is known, and is written to the checkpoint folder, so that no page is read for more
+    than one depth. ``max_pages`` keeps the first by depth and address.
     """
     known = start.select("url").distinct().join(pages.select("url"), "url", "left_semi").withColumn("depth", F.lit(0))
-    frontier = known
+    known = frontier = cut(known)
     for k in range(1, depth + 1):
         out = frontier.select("url").join(pages, "url").select(F.col("url").alias("base"), F.explode(links(F.col("url"), F.col("html"))).alias("url"))
         if same_domain:
@@ -125,5 +134,8 @@ def crawl(pages: DataFrame, start: DataFrame, depth: int = 1, same_domain: bool
                 hit = F.col("url").rlike("|".join(translate(p).replace("\\Z", "$").replace("\\z", "$") for p in patterns))
                 out = out.where(hit if keep else ~hit)
         frontier = out.select("url").distinct().join(pages.select("url"), "url", "left_semi").join(known.select("url"), "url", "left_anti").withColumn("depth", F.lit(k))
+        frontier = cut(frontier)
         known = known.unionByName(frontier)
+        if not frontier.head(1):
+            break
     return known.orderBy("depth", "url").limit(max_pages) if max_pages else known
