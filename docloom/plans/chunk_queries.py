@@ -55,7 +55,27 @@ def c04(spark, d):
     return out.select("doc_id", "chunk_index", F.sha2("content", 256).alias("digest"))
 
 
-@query("c05_paragraph_chunks")
+_TRIM = r"E' \t\n\r\f\v'"
+_PARAGRAPHS = rf"""RECURSIVE pa AS (SELECT doc_id, list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10)), lambda x: trim(x, {_TRIM})), lambda x: x <> '') AS ps FROM documents),
+pe AS (SELECT doc_id, unnest(ps) AS x, unnest(range(1, len(ps) + 1)) AS i FROM pa),
+pn AS (SELECT *, len(regexp_extract_all(x, '\S+')) AS n FROM pe),
+-- paragraphs within the maximum are packed in their order
+small AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM pn WHERE n <= 256),
+g AS (SELECT doc_id, k, i, x, n, n AS have, i AS grp FROM small WHERE k = 1
+ UNION ALL SELECT s.doc_id, s.k, s.i, s.x, s.n, CASE WHEN g.have + s.n > 128 THEN s.n ELSE g.have + s.n END, CASE WHEN g.have + s.n > 128 THEN s.i ELSE g.grp END FROM g JOIN small s ON s.doc_id = g.doc_id AND s.k = g.k + 1),
+packed AS (SELECT doc_id, grp, string_agg(x, chr(10) || chr(10) ORDER BY i) AS content, sum(n)::BIGINT AS tokens FROM g GROUP BY doc_id, grp),
+-- larger ones are cut into sentences, which are packed
+ls AS (SELECT doc_id, i, list_filter(list_transform(string_split(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: trim(y, {_TRIM})), lambda y: y <> '') AS ss FROM pn WHERE n > 256),
+le AS (SELECT doc_id, i, unnest(ss) AS y, unnest(range(1, len(ss) + 1)) AS k FROM ls),
+ln AS (SELECT *, len(regexp_extract_all(y, '\S+')) AS n FROM le),
+h AS (SELECT doc_id, i, k, y, n, n AS have, 0 AS grp FROM ln WHERE k = 1
+ UNION ALL SELECT l.doc_id, l.i, l.k, l.y, l.n, CASE WHEN h.have + l.n > 128 THEN l.n ELSE h.have + l.n END, CASE WHEN h.have + l.n > 128 THEN h.grp + 1 ELSE h.grp END FROM h JOIN ln l ON l.doc_id = h.doc_id AND l.i = h.i AND l.k = h.k + 1),
+cut AS (SELECT doc_id, i, grp, string_agg(y, ' ' ORDER BY k) AS content, sum(n)::BIGINT AS tokens FROM h GROUP BY doc_id, i, grp),
+-- what is packed comes where the paragraph stands that found no room, or last
+every AS (SELECT doc_id, coalesce(lead(grp) OVER (PARTITION BY doc_id ORDER BY grp), 1000000000) AS pos, 0 AS sub, content, tokens FROM packed UNION ALL SELECT doc_id, i, grp, content, tokens FROM cut)"""
+
+
+@query("c05_paragraph_chunks", f"WITH {_PARAGRAPHS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos, sub) - 1)::INT AS chunk_index, sha256(content) AS digest, tokens FROM every")
 def c05(spark, d):
     docs = table(spark, d, "documents").withColumn("text", F.regexp_replace("text", "\n", "\n\n"))
     return _digest(chunks.chunk_documents(docs, ch.ChunkConfig("paragraph_based", chunk_size=128, max_chunk_size=256, **_PLAIN)))

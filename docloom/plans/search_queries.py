@@ -172,12 +172,16 @@ def e02(spark, d):
     return _points(spark, d).select("vec_id", v.alias("v")).select("vec_id", F.round(F.sqrt(vector.dot(F.col("v"), F.col("v"))), 6).alias("norm"), F.round(F.col("v")[0], 6).alias("first"))
 
 
-@query("e01_hashed_embedding", f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{W}') AS ws FROM documents),
-t AS (SELECT doc_id, total, sha256(w) AS h, count(*)::DOUBLE / total AS x FROM (SELECT doc_id, len(ws) AS total, unnest(ws) AS w FROM w) GROUP BY doc_id, total, w),
-p AS (SELECT doc_id, (('0x' || h[1:16])::UBIGINT % 64)::INT AS i, CASE WHEN ('0x' || h[17:18])::INT % 2 = 0 THEN x ELSE -x END AS x FROM t
- UNION ALL SELECT doc_id, (('0x' || h[19:34])::UBIGINT % 64)::INT, CASE WHEN ('0x' || h[35:36])::INT % 2 = 0 THEN x / 2 ELSE -x / 2 END FROM t),
-s AS (SELECT doc_id, i, sum(x) AS x FROM p GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM s GROUP BY 1)
-SELECT doc_id, i, round(x / n, 6) + 0.0 AS x FROM s JOIN n USING (doc_id) WHERE abs(round(x / n, 6)) > 0""")
+def hashed_sql(name: str, source: str, key: str, dimensions: int) -> str:
+    """The places of hashed embeddings of the texts of ``source`` before they are brought to length 1 (``name``), and their lengths."""
+    return f"""{name}w AS (SELECT {key} AS key, regexp_extract_all(lower(text), '{W}') AS ws FROM {source}),
+{name}t AS (SELECT key, total, sha256(w) AS h, count(*)::DOUBLE / total AS x FROM (SELECT key, len(ws) AS total, unnest(ws) AS w FROM {name}w) GROUP BY key, total, w),
+{name}p AS (SELECT key, (('0x' || h[1:16])::UBIGINT % {dimensions})::INT AS i, CASE WHEN ('0x' || h[17:18])::INT % 2 = 0 THEN x ELSE -x END AS x FROM {name}t
+ UNION ALL SELECT key, (('0x' || h[19:34])::UBIGINT % {dimensions})::INT, CASE WHEN ('0x' || h[35:36])::INT % 2 = 0 THEN x / 2 ELSE -x / 2 END FROM {name}t),
+{name} AS (SELECT key, i, sum(x) AS x FROM {name}p GROUP BY ALL), {name}n AS (SELECT key, sqrt(sum(x * x)) AS n FROM {name} GROUP BY 1)"""
+
+
+@query("e01_hashed_embedding", f"WITH {hashed_sql('s', 'documents', 'doc_id', 64)} SELECT key AS doc_id, i, round(x / n, 6) + 0.0 AS x FROM s JOIN sn USING (key) WHERE abs(round(x / n, 6)) > 0")
 def e01(spark, d):
     out = vector.hashed_embedding(table(spark, d, "documents"), 64).select("doc_id", F.posexplode("vector").alias("i", "x"))
     return out.select("doc_id", "i", (F.round("x", 6) + 0.0).alias("x")).where(F.abs("x") > 0)
@@ -204,11 +208,13 @@ def e09(spark, d):
     return search.semantic_search(_points(spark, d), _asked(spark, d), search.SearchConfig(top_k=5, mmr_lambda=0.5), "vec_id", "embedding")
 
 
-@query("e10_text_similarity")
+@query("e10_text_similarity", f"""WITH {hashed_sql('s', 'documents', 'doc_id', 64)}, o AS (SELECT i, x FROM s WHERE key = (SELECT min(doc_id) FROM documents)), l AS (SELECT sqrt(sum(x * x)) AS n FROM o),
+c AS (SELECT key, sum(s.x * o.x) AS dot FROM s JOIN o USING (i) GROUP BY 1)
+SELECT doc_id, CASE WHEN sn.n > 0 AND l.n > 0 THEN round(greatest(-1, least(1, coalesce(dot, 0) / (sn.n * l.n))), 4) + 0.0 ELSE 0.0 END AS similarity FROM documents d LEFT JOIN c ON c.key = doc_id LEFT JOIN sn ON sn.key = doc_id, l""")
 def e10(spark, d):
     both = vector.hashed_embedding(table(spark, d, "documents"), 64)
     first = both.orderBy("doc_id").limit(1).select(F.col("vector").alias("other"))
-    return both.crossJoin(F.broadcast(first)).select("doc_id", F.round(vector.cosine(F.col("vector"), F.col("other")), 4).alias("similarity"))
+    return both.crossJoin(F.broadcast(first)).select("doc_id", (F.round(vector.cosine(F.col("vector"), F.col("other")), 4) + 0.0).alias("similarity"))
 
 
 @query("k01_upsert", "SELECT vec_id, CASE WHEN label = 1 THEN 99 ELSE label END AS label FROM embeddings")
@@ -267,12 +273,18 @@ def h03(spark, d):
     return fusion.fuse(*_sides(spark, d), method="weighted", normalization="z_score").select("query_id", "id", "score", "rank")
 
 
-@query("h04_both_sides")
+_RRF = "coalesce(0.5::DOUBLE / (60 + a.r), 0) + coalesce(0.5::DOUBLE / (60 + b.r), 0)"
+
+
+@query("h04_both_sides", f"""WITH {_SIDES}, f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, round({_RRF}, 6) AS score, a.id IS NOT NULL AND b.id IS NOT NULL AS twice FROM a FULL JOIN b ON a.query_id = b.query_id AND a.id = b.id),
+g AS (SELECT * FROM f UNION ALL SELECT * FROM f WHERE twice), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM g) SELECT query_id, id, score, rank::INT AS rank FROM r WHERE rank <= 20""")
 def h04(spark, d):
     return fusion.fuse(*_sides(spark, d), deduplicate=False, top_k=20).select("query_id", "id", "score", "rank")
 
 
-@query("h12_provenance")
+@query("h12_provenance", f"""WITH {_SIDES}, f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, round({_RRF}, 6) AS score, a.r AS ar, b.r AS br FROM a FULL JOIN b ON a.query_id = b.query_id AND a.id = b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f)
+SELECT query_id, id, ar::INT AS semantic_rank, br::INT AS lexical_rank, round(0.5::DOUBLE / (60 + ar), 6) AS semantic_contribution, round(0.5::DOUBLE / (60 + br), 6) AS lexical_contribution FROM r WHERE rank <= 10""")
 def h12(spark, d):
     out = fusion.fuse(*_sides(spark, d))
     return out.select("query_id", "id", "semantic_rank", "lexical_rank", F.round("semantic_contribution", 6).alias("semantic_contribution"), F.round("lexical_contribution", 6).alias("lexical_contribution"))
@@ -297,7 +309,18 @@ def h15(spark, d):
     return fusion.merge_queries(hits.select((F.col("query_id") % 10).alias("query_id"), "id", "score")).select("query_id", "id", "score", "rank")
 
 
-@query("search_hybrid")
+_HALF_UP = "round(((raw::DECIMAL(9, 6) + 1) / 2)::DECIMAL(12, 7), 4)::DOUBLE"
+
+
+@query("search_hybrid", f"""WITH {bm25_sql(0)}, lx AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM lex WHERE rank <= 20),
+{hashed_sql('hd', 'documents', 'doc_id', 128)}, {hashed_sql('hq', 'benchmark', 'item_id', 128)},
+dots AS (SELECT hq.key AS query_id, hd.key AS id, sum(hq.x * hd.x) AS dot FROM hq JOIN hd USING (i) GROUP BY ALL),
+cs AS (SELECT item_id AS query_id, doc_id AS id, CASE WHEN hdn.n > 0 AND hqn.n > 0 THEN round(greatest(-1, least(1, coalesce(dot, 0) / (hdn.n * hqn.n))), 6) + 0.0 ELSE 0.0 END AS raw
+ FROM benchmark CROSS JOIN documents LEFT JOIN hqn ON hqn.key = item_id LEFT JOIN hdn ON hdn.key = doc_id LEFT JOIN dots ON dots.query_id = item_id AND dots.id = doc_id),
+near AS (SELECT query_id, id, {_HALF_UP} AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, id) AS r FROM cs) WHERE r <= 20),
+se AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM near),
+f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, round({_RRF}, 6) AS score FROM se a FULL JOIN lx b ON a.query_id = b.query_id AND a.id = b.id),
+g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) SELECT query_id, id, score, rank::INT AS rank FROM g WHERE rank <= 10""")
 def search_hybrid(spark, d):
     return search.search(table(spark, d, "documents"), _queries(spark, d), search.SearchConfig()).select("query_id", "id", "score", "rank")
 
@@ -412,7 +435,10 @@ def m01(spark, d):
     return context.assemble(hits, 5, 1500).select("query_id", "id", "source_id", "tokens", "truncated")
 
 
-@query("m02_m03_format")
+@query("m02_m03_format", f"""WITH {bm25_sql(0)}, x AS (SELECT l.query_id, l.rank, l.score, d.source, regexp_extract_all(text, '\\S+') AS ts, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM lex l JOIN documents d ON d.doc_id = l.id WHERE rank <= 5),
+s AS (SELECT *, len(ts) AS n, coalesce(sum(len(ts)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x WHERE text <> ''),
+c AS (SELECT *, CASE WHEN before + n > 500 THEN array_to_string(ts[1 : 500 - before::INT], ' ') ELSE text END AS shown FROM s WHERE before + n <= 500 OR 500 - before >= 50)
+SELECT query_id, '<context>' || chr(10) || string_agg('<source id="' || rank || '" title="' || coalesce(source, 'Document') || '" score="' || round(score::DECIMAL(18, 6), 4)::DECIMAL(18, 4) || '">' || chr(10) || shown || chr(10) || '</source>', chr(10) ORDER BY rank) || chr(10) || '</context>' AS context FROM c GROUP BY 1""")
 def m02(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("title"))
     hits = search.lexical_search(table(spark, d, "documents"), _queries(spark, d), search.SearchConfig(top_k=5)).join(docs, "id")

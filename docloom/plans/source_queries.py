@@ -40,7 +40,8 @@ def s21(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(web.hrefs(F.col("html"))).alias("href"))
 
 
-@query("s21_links")
+@query("s21_links", r"""WITH h AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+') AS host, unnest(regexp_extract_all(html, '<a href="([^"]+)"', 1)) AS href FROM pages)
+SELECT DISTINCT page_id, CASE WHEN href LIKE 'http%' THEN href ELSE host || href END AS link FROM h""")
 def s21_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(web.links(F.col("url"), F.col("html"))).alias("link"))
 

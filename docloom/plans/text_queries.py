@@ -72,7 +72,12 @@ def f07(spark, d):
     return table(spark, d, "events").select("event_id", text.pdf_date(stamp).alias("day"))
 
 
-@query("f08_language")
+_MARKS = {"en": "the of and to is that it was with for", "fr": "le la les des et est une dans que pour", "de": "der die das und ist nicht ein zu den mit", "es": "el los las que y en una por con del"}
+_HITS = ", ".join(f"{{'n': len(list_filter(ws, lambda w: w IN ({', '.join(repr(w) for w in m.split())}))), 'code': '{code}'}}" for code, m in _MARKS.items())
+
+
+@query("f08_language", f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(left(text, 5000)), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM documents), b AS (SELECT doc_id, list_max([{_HITS}]) AS b FROM t)
+SELECT doc_id, CASE WHEN b.n > 0 THEN b.code END AS language FROM b""")
 def f08(spark, d):
     return table(spark, d, "documents").select("doc_id", text.detect_language(F.col("text")).alias("language"))
 
@@ -186,6 +191,16 @@ def p04_warn(spark, d):
     return privacy.apply_action(table(spark, d, "documents"), "warn").select("doc_id", "has_pii")
 
 
-@query("p01_spans")
+def _spans_sql() -> str:
+    parts = []
+    for kind, pattern in privacy.PATTERNS.items():
+        p = "'(?i)" + pattern.replace("'", "''") + "'"
+        parts.append(f"SELECT doc_id, '{kind}' AS pii_type, regexp_extract_all(text, {p}) AS ms, regexp_split_to_array(text, {p}) AS gaps FROM documents")
+    return f"""WITH m AS ({' UNION ALL '.join(parts)}), e AS (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM m),
+s AS (SELECT doc_id, pii_type, ms[k] AS v, list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1 : k - 1], lambda x: length(x))), 0) AS pos FROM e)
+SELECT doc_id, pii_type, CASE WHEN length(v) <= 4 THEN '***' ELSE v[1:3] || '***' || v[-2:] END AS value, pos::INT AS start, (pos + length(v))::INT AS "end" FROM s"""
+
+
+@query("p01_spans", _spans_sql())
 def p01_spans(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(privacy.detect_spans()(F.col("text"))).alias("m")).select("doc_id", "m.*")
