@@ -268,7 +268,7 @@ def test_tables_do_not_grow_with_words(monkeypatch):
     rnd = random.Random(2)
     for _ in range(3000):
         t.encode("".join(rnd.choices("etaoinshrdlu", k=rnd.randint(1, 12))))
-    assert len(t.automaton.next) == nodes and len(t.known) <= 100 and len(t.automaton.arcs) <= 1100
+    assert len(t.automaton.next) == nodes and len(t.known) <= 100 and len(t.automaton.arcs) <= 1100 and len(t.automaton.fallen) <= 1100
 
 
 def test_added_tokens_of_any_form():
@@ -512,6 +512,8 @@ def test_score_and_calibration_by_brute_force(spark):
             if chi > 1:
                 weight[t] = (math.log((n + 1) / (d + 1)) + 1) * (chi - 1) / n
     assert set(weight) == set(model.number)
+    for (_, text, _), c in zip(rows, counts, strict=True):
+        assert model.count(text) == {model.number[t]: n for t, n in c.items() if t in weight}
     terms = sorted(weight)
     x = np.array([[(1 + math.log(c[t])) * weight[t] if t in c else 0.0 for t in terms] for c in counts])
     x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
