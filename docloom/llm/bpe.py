@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import unicodedata
 from array import array
-from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import chain
 
@@ -18,8 +17,8 @@ from pyspark.sql import types as T
 
 from .common import read
 
-#: Distinct words, and pairs of tokens, whose outcome a worker remembers; a memory starts anew when it is full.
-REMEMBERED, PAIRS = 100_000, 300_000
+#: Distinct words, and arcs and failed characters, whose outcome a worker remembers; a memory starts anew when it is full.
+REMEMBERED, PAIRS = 300_000, 600_000
 END = "</w>"
 
 
@@ -51,7 +50,7 @@ class Automaton:
         size = max(vocab.values(), default=-1) + 1
         self.label = {i: t for t, i in vocab.items()}
         born, left, right = [-1] * size, [-1] * size, [-1] * size
-        lost: list[list[tuple[int, int]]] = [[] for _ in range(size)]  # of a state: ranks and the arcs that their gadgets take
+        lost: list[list[tuple[int, int]]] = [[] for _ in range(size)]  # of a state: the ranks of its gadgets and the arcs that they take
         spelled: dict[int, tuple[int, ...]] = {}
         for c, b in symbol.items():
             for text, s in ((c, b), (c + END, 256 + b)):
@@ -64,9 +63,12 @@ class Automaton:
         self.born, self.left, self.right = born, left, right
         self.length = [len(spelled.get(t, ())) for t in range(size)]
         self._number_arcs()
-        self.lost = [sorted((self.place[v], self._from(v, k), k) for k, v in own) for own in lost]
+        # of a state: where the interval of each arc that it has lost begins, and the rank of that
+        self.lost = [{v: (self._from(v, k), k) for k, v in own} if own else None for own in lost]
         self._compile_characters(spelled)
+        # what was read off the tables so far: arcs of states, characters where a failure link was taken
         self.arcs: dict[int, bool] = {}
+        self.fallen: dict[int, int] = {}
 
     def _number_arcs(self) -> None:
         """Numbers the arcs so that an arc comes behind those copied from it, older ones first."""
@@ -94,26 +96,28 @@ class Automaton:
         return self.place[v] if later == v else self.begin[later]
 
     def _compile_characters(self, spelled: dict[int, tuple[int, ...]]) -> None:
-        """The trie of all tokens, the failure link of each node, and the nearest node at or below that where a token ends."""
+        """The trie of all tokens, the failure link of each node, and the tokens that end there with their lengths, longest first."""
         self.next: dict[int, int] = {}
-        self.ends, self.depth, above = [-1], [0], [(0, 0)]
+        ends, depth, above = [-1], [0], [(0, 0)]
         for token, symbols in spelled.items():
             node = 0
             for s in symbols:
                 at = node << 9 | s
                 if at not in self.next:
-                    self.next[at] = len(self.ends)
-                    self.ends.append(-1)
-                    self.depth.append(self.depth[node] + 1)
+                    self.next[at] = len(ends)
+                    ends.append(-1)
+                    depth.append(depth[node] + 1)
                     above.append((node, s))
                 node = self.next[at]
-            self.ends[node] = token
-        self.fall, self.found = [0] * len(above), [0] * len(above)
-        for node in sorted(range(1, len(above)), key=self.depth.__getitem__):
+            ends[node] = token
+        self.fall: list[int] = [0] * len(above)
+        self.found: list[tuple[tuple[int, int], ...]] = [()] * len(above)
+        for node in sorted(range(1, len(above)), key=depth.__getitem__):
             up, s = above[node]
             if up:
                 self.fall[node] = self._step(self.fall[up], s)
-            self.found[node] = node if self.ends[node] >= 0 else self.found[self.fall[node]]
+            shorter = self.found[self.fall[node]]
+            self.found[node] = ((ends[node], depth[node]), *shorter) if ends[node] >= 0 else shorter
 
     def _step(self, node: int, s: int) -> int:
         while True:
@@ -128,15 +132,13 @@ class Automaton:
         """Whether the state of token ``x`` has arc ``y``: neither it nor, up to its copying, any of its defaults has lost it."""
         place, until, state = self.place[y], len(self.born) << 1, x
         while state >= 0:
-            own, at, taken = self.lost[state], 0, y
-            while own and taken >= 0:  # the arcs that this one was copied from come behind it in order
-                at = bisect_left(own, (self.place[taken],), at)
-                if at == len(own):
-                    break
-                end, begin, k = own[at]
-                if end == self.place[taken] and begin <= place and k < until:
-                    return False
-                taken = self.left[taken]
+            own, taken = self.lost[state], y
+            if own:
+                while taken >= 0:  # the arc, or one that it was copied from
+                    found = own.get(taken)
+                    if found and found[0] <= place and found[1] < until:
+                        return False
+                    taken = self.left[taken]
             until, state = self.born[state], self.right[state]
         return True
 
@@ -146,16 +148,19 @@ class Automaton:
             return []
         if len(self.arcs) > PAIRS:
             self.arcs.clear()
+        if len(self.fallen) > PAIRS:
+            self.fallen.clear()
         last: list[int] = []
-        node, arcs, table, found, ends, depth = 0, self.arcs, self.next, self.found, self.ends, self.depth
+        node, arcs, table, fallen, found = 0, self.arcs, self.next, self.fallen, self.found
         final = len(word) - 1
         for i, s in enumerate(word):
             if i == final:
                 s += 256
-            node = table.get(node << 9 | s) or self._step(node, s)
-            at = found[node]
-            while True:
-                token, n = ends[at], depth[at]
+            at = node << 9 | s
+            node = table.get(at) or fallen.get(at)
+            if node is None:
+                node = fallen[at] = self._step(at >> 9, s)
+            for token, n in found[node]:
                 if n > i:
                     break
                 pair = last[i - n] << 20 | token
@@ -164,7 +169,6 @@ class Automaton:
                     ok = arcs[pair] = self.arc(last[i - n], token)
                 if ok:
                     break
-                at = found[self.fall[at]]
             last.append(token)
         ids, i = [], final
         while i >= 0:
@@ -210,21 +214,22 @@ class Tokenizer:
         self.known[piece] = found = (ids, self.decode(ids))
         return found
 
-    def words(self, text: str) -> Iterator[tuple[list[int], str]]:
+    def words(self, text: str) -> list[tuple[list[int], str]]:
         """The ids of each pre-split word of a text, and the labels of their arcs joined by blanks."""
-        known = self.known
+        out: list[tuple[list[int], str]] = []
+        get, make = self.known.get, self._word
         parts = self.cut.split(text) if any(c in text for c in self.first) else (text,)
         for k, part in enumerate(parts):
             if k % 2:
-                yield [self.added[part]], part
+                out.append(([self.added[part]], part))
                 continue
             part = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
             part = self.space(" ", part).lower()
-            for w in self.pieces(part):
-                yield known.get(w) or self._word(w)
+            out += [get(w) or make(w) for w in self.pieces(part)]
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable([ids for ids, _ in self.words(text)]))
+        return list(chain.from_iterable([x[0] for x in self.words(text)]))
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, joined by blanks as a file without a decoder has it."""
@@ -267,11 +272,11 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
         tokenizer = shared.value
         flat, ends, decoded = array("i"), array("i", [0]), []
         for x in texts:
-            found = list(tokenizer.words(x.as_py() or ""))
-            flat.extend(chain.from_iterable([ids for ids, _ in found]))
+            found = tokenizer.words(x.as_py() or "")
+            flat.extend(chain.from_iterable([x[0] for x in found]))
             ends.append(len(flat))
             if decoded_col:
-                decoded.append(" ".join([label for ids, label in found if ids]))
+                decoded.append(" ".join([x[1] for x in found if x[0]]))
         ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
         return [ids, pa.array(decoded, pa.string())] if decoded_col else [ids]
 
