@@ -21,10 +21,10 @@ WIDTH, LEAST_SYMBOLS, MOST_SYMBOLS = 32, 256, 16_384
 HASHED = 0.25
 #: Tokens whose counts every worker holds; counts of the rarer ones are joined.
 HEAD = 250_000
-#: Passes over the corpus, events of a step, noise classes of a step, noise symbols of a class and step, noise that counts for an event, first step size.
-ROUNDS, STEP, NOISE, CLASS_NOISE, RATIO, RATE = 2, 8_192, 32, 8, 8, 0.15
+#: Parts of the corpus that are trained on in turn, events of a step, noise classes of a step, noise symbols of a class and step, noise that counts for an event, first step size.
+ROUNDS, STEP, NOISE, CLASS_NOISE, RATIO, RATE = 2, 32_768, 32, 8, 8, 0.15
 #: Training tokens of a shard, which one task learns from at a time; steps that it makes at least; where the sums of squared gradients begin.
-SHARD_TOKENS, LEAST_STEPS, CALM = 4_000_000, 60, 1e-6
+SHARD_TOKENS, LEAST_STEPS, CALM = 2_000_000, 30, 1e-6
 #: Distinct tokens that a worker gathers before it passes their counts on.
 HELD = 300_000
 #: The end of a text as a token: no word is empty.
@@ -248,24 +248,26 @@ def _encoded(docs: DataFrame, vocabulary: Vocabulary, shards: int, id_col: str,
     return keyed.mapInArrow(run, "shard long, place long, w binary").groupBy("shard").applyInArrow(gather, "shard long, met long, w binary")
 
 
-def _events(whole: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct events of a shard, as codes, and how often each comes."""
-    parts, starts, at, n = [], [], 0, 0
+def _events(whole: bytes, k: int, turn: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct events, as codes, of every ``rounds``-th text of a shard from the ``turn``-th on, and how often each comes."""
+    parts, starts, at, n, text = [np.zeros(0, np.int32)], [], 0, 0, 0
     while at < len(whole):
         size = int.from_bytes(whole[at : at + 8], "little")
-        parts.append(np.frombuffer(whole, np.int32, size // 4, at + 8))
-        starts.append(n)
-        n += size // 4
+        if text % rounds == turn:
+            parts.append(np.frombuffer(whole, np.int32, size // 4, at + 8))
+            starts.append(n)
+            n += size // 4
+        text += 1
         at += 8 + size
-    far, near, w = _contexts(np.concatenate(parts).astype(np.int64), np.array(starts), k)
+    far, near, w = _contexts(np.concatenate(parts).astype(np.int64), np.array(starts, np.int64), k)
     return np.unique((far * (k + 1) + near) * k + w, return_counts=True)
 
 
 def train_network(docs: DataFrame, network: Network, vocabulary: Vocabulary, n: int, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> Network:
     """``network`` trained on every token of ``docs``, ``n`` in all.
 
-    Texts are dealt over shards of some SHARD_TOKENS tokens by their id. In each round every shard trains a copy, and copies are averaged
-    by their tokens. Shards and the order in them follow from ids and texts alone, so another partitioning gives the same model up to the order
+    Texts are dealt over shards of some SHARD_TOKENS tokens by their id. In each round every shard trains a copy on its share of the
+    texts, each text in one round, and copies are averaged by their tokens. Shards and the order in them follow from ids and texts alone, so another partitioning gives the same model up to the order
     in which sums of copies round. The driver gets one model of fixed size.
     """
     spark, k = docs.sparkSession, len(network.bias)
@@ -277,24 +279,27 @@ def train_network(docs: DataFrame, network: Network, vocabulary: Vocabulary, n:
             for batch in batches:
                 for shard, met, whole in zip(*(batch.column(c) for c in range(3)), strict=True):
                     own = shared.value.copy()
-                    own.train(*_events(whole.as_py(), k), {}, np.random.default_rng([turn, shard.as_py()]), RATE / (1 + turn))
-                    yield pa.RecordBatch.from_arrays([pa.array([float(met.as_py())]), pa.array([(own.flat().astype(np.float64) * met.as_py()).tobytes()])], names=["met", "flat"])
+                    codes, counts = _events(whole.as_py(), k, turn, rounds)
+                    if len(codes):
+                        own.train(codes, counts, {}, np.random.default_rng([turn, shard.as_py()]), RATE / (1 + turn))
+                    yield pa.RecordBatch.from_arrays([pa.array([float(met.as_py())]), pa.array([own.flat().tobytes()])], names=["met", "flat"])
 
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            met, total = 0.0, None
+        def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            met, mean = 0.0, None
             for batch in batches:
                 for m, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    x = np.frombuffer(x.as_py(), np.float64)
-                    met, total = met + m, x if total is None else total + x
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([met]), pa.array([total.tobytes()])], names=["met", "flat"])
+                    x = np.frombuffer(x.as_py(), np.float32).astype(np.float64)
+                    met += m
+                    mean = x if mean is None else mean + (x - mean) * (m / met)
+            if mean is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([met]), pa.array([mean.astype(np.float32).tobytes()])], names=["met", "flat"])
 
         kind = "met double, flat binary"
-        # a task that has several shards adds them up before they are shuffled
-        sums = shards.mapInArrow(run, kind).mapInArrow(add, kind).repartition(8).mapInArrow(add, kind).repartition(1).mapInArrow(add, kind).first()
-        if sums:
+        # a task that has several shards averages them before they are shuffled
+        mean = shards.mapInArrow(run, kind).mapInArrow(average, kind).repartition(8).mapInArrow(average, kind).repartition(1).mapInArrow(average, kind).first()
+        if mean:
             network = network.copy()
-            network.load(np.frombuffer(bytes(sums["flat"]), np.float64) / sums["met"])
+            network.load(np.frombuffer(bytes(mean["flat"]), np.float32))
     return network
 
 
