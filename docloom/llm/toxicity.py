@@ -19,6 +19,8 @@ SAMPLE = 1_500
 MIN_EXAMPLES = 4
 #: Nearest examples that vote, examples of a block, blocks that a search opens first, examples and terms that are shown as evidence.
 NEIGHBOURS, BLOCK, FIRST, EVIDENCE, SHOWN = 10, 64, 4, 3, 8
+#: Distinct words whose terms a worker remembers; the memory starts anew when it is full.
+REMEMBERED = 300_000
 #: Bytes of the beginnings of words that are terms; a beginning has more terms from each of these counts and parts of all words on.
 STEMS, OFTEN, DENSE = (4, 5, 6, 7), (3, 8), (0.004, 0.016)
 THRESHOLD = 0.7
@@ -105,7 +107,7 @@ class BlockMaxIndex:
             if len(blocks):
                 hits, found = self._scored(ts, ws, np.sort(blocks))
                 stay = hits != without
-                at, scores = np.r_[at, hits[stay]], np.r_[scores, found[stay]]
+                at, scores = np.concatenate([at, hits[stay]]), np.concatenate([scores, found[stay]])
         best = np.lexsort((at, -scores))[:k]
         return list(zip(scores[best].tolist(), at[best].tolist(), strict=True))
 
@@ -117,7 +119,11 @@ class Model:
         """``examples``: id, label and counts of numbered terms; ``chosen``: terms, their examples and weights; ``prior``: part of label 1 among all labels."""
         self.ids, self.labels = [e[0] for e in examples], np.array([e[1] for e in examples], np.int64)
         self.number = {t: i for i, (t, _, _) in enumerate(chosen)}
-        self.known = known_terms(self.number)
+        # beginnings that are terms or have steps that are, their numbers (-1) and those of their steps
+        self.stems = {t: i for i, t in enumerate(sorted(t for t in known_terms(self.number) if t.endswith(b"*")))}
+        steps = [(d, least, kind + b"%d" % k) for d, kind, levels in ((False, b"n", OFTEN), (True, b"d", DENSE)) for k, least in enumerate(levels)]
+        self.parts = [(self.number.get(t, -1), tuple((d, least, self.number[t + name]) for d, least, name in steps if t + name in self.number)) for t in self.stems]
+        self.words: dict[bytes, tuple[int, tuple[int, ...]]] = {}
         self.idf = (np.log((len(examples) + 1) / (np.array([d for _, d, _ in chosen], float) + 1)) + 1) * np.array([w for _, _, w in chosen])
         vectors = [self.vector(counts) for _, _, counts in examples]
         self.index = BlockMaxIndex(vectors, len(self.number))
@@ -129,8 +135,35 @@ class Model:
         v = (1 + np.log(np.array(list(counts.values()), float))) * self.idf[at]
         return at, v / max(np.sqrt((v * v).sum()), 1e-300)
 
+    def _terms_of(self, word: bytes) -> tuple[int, tuple[int, ...]]:
+        """The number of a word, -1 if it is no term, and its beginnings that are of use."""
+        if len(self.words) >= REMEMBERED:
+            self.words.clear()
+        stems = tuple(s for s in (self.stems.get(word[:k] + b"*") for k in STEMS if len(word) > k) if s is not None)
+        found = self.words[word] = (self.number.get(word, -1), stems)
+        return found
+
     def count(self, text: str) -> dict[int, int]:
-        return {self.number[t]: n for t, n in count_terms(text, self.known).items() if t in self.number}
+        """How often each numbered term stands in a text: count_terms, of these terms alone."""
+        listed = words(text)
+        get, out, stems = self.words.get, {}, {}
+        for w, n in Counter(listed).items():
+            own, starts = get(w) or self._terms_of(w)
+            if own >= 0:
+                out[own] = n
+            for s in starts:
+                stems[s] = stems.get(s, 0) + n
+        for s, n in stems.items():
+            own, steps = self.parts[s]
+            if own >= 0:
+                out[own] = n
+            for dense, least, number in steps:
+                if (n / len(listed) if dense else n) >= least:
+                    out[number] = 1
+        return out
+
+    def __getstate__(self):
+        return self.__dict__ | {"words": {}}
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Part of label 1 among the nearest, each weighted by its closeness."""
