@@ -29,6 +29,8 @@ LINK, HUB, DENSE = 0, 1, 2
 SET_WORDS, SIMILARITY, SET_BITS = 5, 0.8, 13
 #: Fingerprints that a bucket of sampled bits has on average, and the part of pairs at SET_BITS that may share no bucket.
 SAMPLED, MISSED = 256, 0.02
+#: Counters of how often shingles of dense groups come; a power of two.
+SLOTS = 1 << 16
 
 
 def fingerprint(text: str, words: int = WORDS_PER_SHINGLE) -> int:
@@ -378,19 +380,52 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(u, "u").join(v, "v").where(common >= similarity * (F.size("hu") + F.size("hv") - common) - 1e-9).select("u", "v")
 
 
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How often hashes come in ``sets`` (hashes), by their last bits: a table of SLOTS counts, added up in the tasks that read them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            total += np.bincount(flat & (SLOTS - 1), minlength=SLOTS)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum((np.frombuffer(x.as_py(), np.int64) for batch in batches for x in batch.column(0)), np.zeros(SLOTS, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["counts"])
+
+    kind = "counts binary"
+    parts = sets.select("hashes").mapInArrow(count, kind).repartition(8).mapInArrow(add, kind).collect()
+    return sum((np.frombuffer(bytes(r["counts"]), np.int64) for r in parts), np.zeros(SLOTS, np.int64))
+
+
 def _apart(sets: DataFrame, similarity: float, bits: int) -> DataFrame:
     """Pairs (u, v) of different roots among ``sets`` (node, hashes, fp, root) that can have this similarity and are within ``bits``.
 
-    Hashes are put in the order of their frequency, rarest first. Two similar sets share one of their first n - ceil(similarity * n) + 1,
-    and the first that they share has few enough before it on either side. Of the sets that share a hash only those outside the most
-    frequent root there look for partners, so what is joined already costs nothing.
+    Hashes are put in one order, about the rarest first. Two similar sets share one of their first n - ceil(similarity * n) + 1,
+    and the first that they share has few enough before it on either side; that holds in any order. Of the sets that share a hash only
+    those outside the most frequent root there look for partners, so what is joined already costs nothing.
     """
-    every = sets.select("node", F.explode("hashes").alias("h"))
-    df = cut(every.groupBy("h").agg(F.count("*").alias("df")))
-    ranked = every.join(df, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs")).withColumn("n", F.size("hs"))
-    head = F.slice("hs", F.lit(1), (F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).cast("int"))
-    first = ranked.select("node", "n", F.posexplode(head).alias("i", "x")).where("x.df > 1").select("node", "n", "i", "x.h")
-    first = cut(first.join(sets.select("node", "fp", "root"), "node"))
+    often = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, fp, root = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            for k, hashes in enumerate(batch.column(1)):
+                hs = hashes.values.to_numpy(zero_copy_only=False)
+                n = len(hs)
+                count = often.value[hs & (SLOTS - 1)]
+                order = np.lexsort((hs, count))[: n - math.ceil(similarity * n - 1e-9) + 1]
+                shared = np.flatnonzero(count[order] > 1)
+                for column, x in zip(out, (np.full(len(shared), k), np.full(len(shared), n), shared, hs[order[shared]]), strict=True):
+                    column.append(x)
+            row, n, i, h = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+            row = row.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node[row]), pa.array(fp[row]), pa.array(root[row]), pa.array(n.astype(np.int64)), pa.array(i.astype(np.int64)), pa.array(h.astype(np.int64))], names=["node", "fp", "root", "n", "i", "h"])
+
+    first = cut(sets.select("node", "hashes", "fp", "root").mapInArrow(heads, "node long, fp long, root long, n long, i long, h long"))
     most = first.groupBy("h", "root").agg(F.count("*").alias("many")).groupBy("h").agg(F.max_by("root", F.struct("many", "root")).alias("most"), F.count("*").alias("roots"))
     asks = cut(first.join(cut(most.where("roots > 1")), "h").where(F.col("root") != F.col("most")).select(*[F.col(c).alias(f"{c}_") for c in first.columns]))
     fits = F.least("n", "n_") >= similarity * F.greatest("n", "n_") - 1e-9
