@@ -40,8 +40,10 @@ class ChunkConfig:
             raise ValueError("header levels go from 1 to 6")
         object.__setattr__(self, "header_levels", tuple(sorted(set(self.header_levels))))
 
-    def warnings(self) -> list[str]:
-        return ["overlap is over half of the chunk size"] if self.chunk_overlap > 0.5 * self.chunk_size else []
+    def warnings(self, chunks: int = 0) -> list[str]:
+        """What to tell of these settings, and of the number of chunks that they made."""
+        found = ["overlap is over half of the chunk size"] if self.chunk_overlap > 0.5 * self.chunk_size else []
+        return found + ["over 200 chunks"] * (chunks > 200)
 
 
 def let(x: Column, then: Callable[[Column], Column]) -> Column:

@@ -72,6 +72,13 @@ def postings(docs: DataFrame, tokens: Column, id_col: str = "doc_id", only: set[
     return docs.select(F.col(id_col).alias("id"), tokens.alias("ts")).mapInArrow(run, f"term string, id {kind}, dl int, tf long")
 
 
+def rebuilt(points: DataFrame, id_col: str = "id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The inverted index and corpus figures of the payloads of a vector collection; blank texts are passed over."""
+    rows = points.where(F.trim(F.coalesce(text_col, F.lit(""))) != "")
+    tokens = tokenize(F.col(text_col))
+    return postings(rows, tokens, id_col), corpus(rows, tokens)
+
+
 def corpus(docs: DataFrame, tokens: Column) -> DataFrame:
     """One row: n documents and their mean length, 1 if that is 0."""
     size = F.size(tokens)

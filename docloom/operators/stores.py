@@ -92,3 +92,15 @@ def delete_conversations(store: DataFrame, messages: DataFrame, gone: DataFrame)
 def listed(store: DataFrame) -> DataFrame:
     """Conversations but the default one, last changed first."""
     return store.where("id <> 'default'").orderBy(F.desc("updated_at"), "id")
+
+
+def conversation_messages(messages: DataFrame, conversation: str) -> DataFrame:
+    """The messages (conversation_id, ts, id) of one conversation in their order."""
+    return messages.where(F.col("conversation_id") == conversation).orderBy("ts", "id")
+
+
+def history_rows(messages: DataFrame) -> DataFrame:
+    """(conversation_id, history array<struct<role, content>>): the messages of each conversation in order, as a model gets them."""
+    one = F.struct("ts", "id", F.col("role"), F.coalesce("content", F.lit("")).alias("content"))
+    turns = F.transform(F.sort_array(F.collect_list(one)), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    return messages.groupBy("conversation_id").agg(turns.alias("history"))

@@ -21,18 +21,20 @@ TEXT_TYPES = ("md", "txt", "html", "csv", "rst", "xml", "json", "yaml")
 SUPPORTED = ("pdf", "docx", "doc", *TEXT_TYPES)
 
 
-def list_files(spark: SparkSession, root: str, recursive: bool = True, types: tuple[str, ...] = SUPPORTED, excluded_dirs: tuple[str, ...] = (), exclude: tuple[str, ...] = (), max_bytes: int | None = None) -> DataFrame:
+def list_files(spark: SparkSession, root: str, recursive: bool = True, types: tuple[str, ...] | None = SUPPORTED, excluded_dirs: tuple[str, ...] = (), exclude: tuple[str, ...] = (), max_bytes: int | None = None) -> DataFrame:
     """(path, rel, name, ext, size, modified, content) of the files below ``root``, by Spark's binary reader.
 
     Office lock files (~$), folders of ``excluded_dirs`` (any letter case) and names or relative paths that fit a pattern
-    of ``exclude`` are passed over. Content is read only where it is used.
+    of ``exclude`` are passed over; ``types`` None takes files of any. Content is read only where it is used.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root)
     base = re.escape(root.rstrip("/").split(":", 1)[-1].lstrip("/"))
     rel = F.regexp_replace("path", rf"^.*?{base}/", "")
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     rows = files.select("path", rel.alias("rel"), name.alias("name"), extension(name).alias("ext"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
-    rows = rows.where(~F.col("name").startswith("~$") & F.col("ext").isin(*types))
+    rows = rows.where(~F.col("name").startswith("~$"))
+    if types is not None:
+        rows = rows.where(F.col("ext").isin(*types))
     if max_bytes:
         rows = rows.where(F.col("size") <= max_bytes)
     for folder in excluded_dirs:
@@ -59,15 +61,22 @@ def decode(raw: bytes) -> tuple[str, str]:
     raise AssertionError("latin-1 reads all bytes")
 
 
-def docx_text(raw: bytes) -> tuple[str, int]:
-    """Paragraphs of a .docx file as lines, and its pages at 500 words each."""
+def docx_text(raw: bytes, tables: bool = True) -> tuple[str, int]:
+    """Paragraphs of a .docx file as lines, without those in ``tables`` if not asked for, and its pages at 500 words each."""
     ns = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
     with zipfile.ZipFile(BytesIO(raw)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml"))
-    text = "\n".join("".join(t.text or "" for t in p.iter(f"{ns}t")) for p in body.iter(f"{ns}p"))
+    inside = set() if tables else {p for t in body.iter(f"{ns}tbl") for p in t.iter(f"{ns}p")}
+    text = "\n".join("".join(t.text or "" for t in p.iter(f"{ns}t")) for p in body.iter(f"{ns}p") if p not in inside)
     return text, max(1, round(len(text.split()) / 500))
 
 
+def docx_flags(raw: bytes) -> dict[str, bool]:
+    """Whether a .docx file has tables and images."""
+    with zipfile.ZipFile(BytesIO(raw)) as z:
+        return {"has_tables": b"<w:tbl>" in (x := z.read("word/document.xml")) or b"<w:tbl " in x, "has_images": any(n.startswith("word/media/") for n in z.namelist())}
+
+
 def doc_text(raw: bytes) -> str:
     """Printable runs of an old .doc file; "" where it is not one."""
     if not raw.startswith(bytes.fromhex("d0cf11e0a1b11ae1")):

@@ -5,11 +5,12 @@ from __future__ import annotations
 from fnmatch import translate
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin, urlparse
+from urllib.robotparser import RobotFileParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from ..functions.text import collapse
 from ..operators.cut import cut
@@ -116,12 +117,29 @@ def links(urls: pd.Series, html: pd.Series) -> pd.Series:
     return pd.Series([list(dict.fromkeys(u for u in (resolve(b, x) for x in _read(h).links) if u)) for b, h in zip(urls, html, strict=True)])
 
 
-def crawl(pages: DataFrame, start: DataFrame, depth: int = 1, same_domain: bool = True, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), max_pages: int | None = None) -> DataFrame:
+@F.pandas_udf(BooleanType())
+def allowed(rules: pd.Series, urls: pd.Series, agents: pd.Series) -> pd.Series:
+    """Whether robots rules (null: none) let an agent read a page; each text of rules is read once a batch."""
+    known: dict[str, RobotFileParser] = {}
+
+    def one(text: str | None, url: str, agent: str) -> bool:
+        if not text:
+            return True
+        if text not in known:
+            known[text] = RobotFileParser()
+            known[text].parse(text.splitlines())
+        return known[text].can_fetch(agent, url)
+
+    return pd.Series([one(t, u, a) for t, u, a in zip(rules, urls, agents, strict=True)])
+
+
+def crawl(pages: DataFrame, start: DataFrame, depth: int = 1, same_domain: bool = True, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), max_pages: int | None = None, robots: DataFrame | None = None, agent: str = "*") -> DataFrame:
     """(url, depth) of the pages that are reached from ``start`` (url) by links, breadth first, each once at its least depth.
 
     ``pages`` (url, html) stands for the network. Each depth is one join of the frontier with the pages and
     an anti join with what is known, and is written to the checkpoint folder, so that no page is read for more
-    than one depth. ``max_pages`` keeps the first by depth and address.
+    than one depth. ``max_pages`` keeps the first by depth and address. ``robots`` (host, text) are the rules of hosts: pages that they
+    close to ``agent`` are not entered; a host without rules, or with broken ones, is open.
     """
     known = start.select("url").distinct().join(pages.select("url"), "url", "left_semi").withColumn("depth", F.lit(0))
     known = frontier = cut(known)
@@ -133,6 +151,10 @@ def crawl(pages: DataFrame, start: DataFrame, depth: int = 1, same_domain: bool
             if patterns:
                 hit = F.col("url").rlike("|".join(translate(p).replace("\\Z", "$").replace("\\z", "$") for p in patterns))
                 out = out.where(hit if keep else ~hit)
+        if robots is not None:
+            host = F.lower(F.parse_url("url", F.lit("HOST")))
+            rules = robots.select(F.lower("host").alias("__host"), F.col("text").alias("__rules"))
+            out = out.join(rules, host == F.col("__host"), "left").where(allowed(F.col("__rules"), F.col("url"), F.lit(agent))).drop("__host", "__rules")
         frontier = out.select("url").distinct().join(pages.select("url"), "url", "left_semi").join(known.select("url"), "url", "left_anti").withColumn("depth", F.lit(k))
         frontier = cut(frontier)
         known = known.unionByName(frontier)

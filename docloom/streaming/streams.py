@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from ..operators import cdc
 
@@ -99,3 +99,41 @@ def incremental(read_known: Callable[[], DataFrame], apply: Callable[[DataFrame,
 def eta_seconds(done_seconds: list[float], remaining: int) -> float:
     """Remaining documents at the mean time of those done; 0 before the first."""
     return remaining * sum(done_seconds) / len(done_seconds) if done_seconds else 0.0
+
+
+def due(sources: DataFrame, now: str) -> DataFrame:
+    """The sources (source, interval, last_run) whose interval has passed at ``now``, or that never ran; an unknown interval is never due."""
+    length = F.lit(None).cast("interval day to second")
+    for name, text in INTERVALS.items():
+        length = F.when(F.col("interval") == name, F.expr(f"INTERVAL '{text.split()[0]}' {text.split()[1].rstrip('s').upper()}").cast("interval day to second")).otherwise(length)
+    at = F.lit(now).cast("timestamp_ntz")
+    return sources.where(length.isNotNull() & (F.col("last_run").isNull() | (F.col("last_run").cast("timestamp_ntz") + length <= at)))
+
+
+def scheduled(stream: DataFrame, interval: str, run: Callable[[DataFrame, int], None], checkpoint: str):
+    """Starts ``stream`` with ``run`` on each micro-batch every ``interval`` (a name of INTERVALS); a restart goes on from ``checkpoint``."""
+    return stream.writeStream.foreachBatch(run).trigger(processingTime=INTERVALS[interval]).option("checkpointLocation", checkpoint).start()
+
+
+class Progress(StreamingQueryListener):
+    """Tells ``publish`` (event, data) of queries that start, of every batch with its rows and what is left of ``total``, and of their end."""
+
+    def __init__(self, publish: Callable[[str, dict], None], total: int = 0):
+        self.publish, self.total, self.done, self.seconds = publish, total, 0, []
+
+    def onQueryStarted(self, event) -> None:
+        self.publish("started", {"id": str(event.id), "total": self.total})
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.done += p.numInputRows
+        if p.numInputRows:
+            self.seconds.append(p.batchDuration / 1000 / p.numInputRows)
+        left = max(self.total - self.done, 0)
+        self.publish("progress", {"id": str(p.id), "done": self.done, "eta_seconds": eta_seconds(self.seconds, left), "coverage_percent": round(100 * min(self.done / self.total, 1), 2) if self.total else 0.0})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.publish("failed" if event.exception else "completed", {"id": str(event.id), "error": event.exception})
