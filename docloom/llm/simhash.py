@@ -24,7 +24,7 @@ FANOUT, STARTS, FEW, PAIRS, CHUNK = 16, 32, 32, 4_000_000, 200_000
 BUCKET, SPLITS = 8_192, 3
 FULL = (1 << 64) - 1
 #: Kinds of candidates.
-LINK, HUB, DENSE = 0, 1, 2
+LINK, HUB = 0, 1
 #: For documents alike by a Jaccard similarity: words of a shingle, that similarity, and the differing bits up to which fingerprints are candidates.
 SET_WORDS, SIMILARITY, SET_BITS = 5, 0.8, 13
 #: Fingerprints that a bucket of sampled bits has on average, and the part of pairs at SET_BITS that may share no bucket.
@@ -343,8 +343,8 @@ def _bucketed_by(nodes: DataFrame, masks: list[int], *more: str) -> DataFrame:
 def _candidates(bits: int, similarity: float):
     """Candidates (u, v, kind) within each bucket of (mask, value, fp, node, n): nodes within ``bits`` and of fitting sizes.
 
-    Kind LINK has all links of GrayIndex.links outside dense groups, kind HUB each member of a dense group with the group's
-    hub, the node nearest to the majority of its bits, and kind DENSE each member alone.
+    Kind LINK has all links of GrayIndex.links outside dense groups; kind HUB has each member of a dense group with the group's
+    hub, the node nearest to the majority of its bits, or with itself where that is too far, once for the buckets of a batch.
     """
 
     def fitting(n, a, b):
@@ -363,12 +363,15 @@ def _candidates(bits: int, similarity: float):
                 yield made(np.minimum(a, b), np.maximum(a, b), LINK)
             inside = np.flatnonzero(index.dense >= 0)
             inside = inside[np.argsort(index.dense[inside], kind="stable")]
+            pairs = []
             for members in np.split(inside, np.flatnonzero(np.diff(index.dense[inside])) + 1) if len(inside) else []:
                 middle = np.uint64(majority(index.codes[members]))
                 hub = members[np.bitwise_count(index.codes[members] ^ middle).argmin()]
-                ok = fitting(n, members, hub) & (np.bitwise_count(index.codes[members] ^ index.codes[hub]) <= bits) & (members != hub)
-                yield made(node[members[ok]], np.full(ok.sum(), node[hub]), HUB)
-                yield made(node[members], node[members], DENSE)
+                ok = fitting(n, members, hub) & (np.bitwise_count(index.codes[members] ^ index.codes[hub]) <= bits)
+                pairs.append(np.stack([node[members], np.where(ok, node[hub], node[members])], 1))
+            if pairs:
+                u, v = np.unique(np.concatenate(pairs), axis=0).T
+                yield made(u.copy(), v.copy(), HUB)
 
     return run
 
@@ -465,11 +468,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     nodes = cut(rows.groupBy("node").agg(F.min("id").alias("least"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp")))
     masks = sampled_masks(nodes.count(), bits)
     met = cut(_bucketed_by(nodes, masks, "node", "n").mapInArrow(_candidates(bits, similarity), "u long, v long, kind int").distinct())
-    hubs = met.where(F.col("kind") == HUB).select("u", "v")
+    dense = met.where(F.col("kind") == HUB).select(F.col("u").alias("node")).distinct()
+    hubs = met.where((F.col("kind") == HUB) & (F.col("u") != F.col("v"))).select("u", "v")
     often = cut(hubs.groupBy("v").agg(F.count("*").alias("members")))
     star = hubs.join(often, "v").groupBy("u").agg(F.max_by("v", F.struct("members", "v")).alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     first = cut(met.where(F.col("kind") == LINK).select("u", "v").union(star).distinct())
-    dense = met.where(F.col("kind") == DENSE).select(F.col("u").alias("node")).distinct()
     ids = cut(nodes.join(first.select(F.explode(F.array("u", "v")).alias("node")).union(dense).distinct(), "node", "left_semi").select("node", "least", "fp"))
     some = named.join(ids.select(F.col("least").alias("__least")).distinct(), F.col("id").eqNullSafe(F.col("__least")), "left_semi")
     sets = cut(_sets(some, words).join(ids, "node", "left_semi").groupBy("node").agg(F.any_value("hashes").alias("hashes")))
