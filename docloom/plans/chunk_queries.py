@@ -9,7 +9,7 @@ from ..operators import chunks
 from .suite import query, table
 
 SENTENCES = r"""
-s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(trim(text, E' \t\n\r\f\v'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, E' \t\n\r\f\v')), lambda x: x <> '') AS ls FROM documents),
+s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(trim(text, (' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, (' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))), lambda x: x <> '') AS ls FROM documents),
 e AS (SELECT doc_id, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS i FROM s),
 t AS (SELECT doc_id, i, x, len(regexp_extract_all(x, '\S+')) AS n, list_distinct(regexp_extract_all(lower(x), '[\p{L}\p{N}_]+')) AS ws FROM e)"""
 
@@ -55,7 +55,7 @@ def c04(spark, d):
     return out.select("doc_id", "chunk_index", F.sha2("content", 256).alias("digest"))
 
 
-_TRIM = r"E' \t\n\r\f\v'"
+_TRIM = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 _PARAGRAPHS = rf"""RECURSIVE pa AS (SELECT doc_id, list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10)), lambda x: trim(x, {_TRIM})), lambda x: x <> '') AS ps FROM documents),
 pe AS (SELECT doc_id, unnest(ps) AS x, unnest(range(1, len(ps) + 1)) AS i FROM pa),
 pn AS (SELECT *, len(regexp_extract_all(x, '\S+')) AS n FROM pe),
@@ -93,7 +93,17 @@ def c06(spark, d):
     return _digest(chunks.chunk_documents(table(spark, d, "documents"), c)).drop("tokens")
 
 
-@query("c07_recursive_chunks")
+def _recursive(size: int) -> str:
+    """Pieces over ``size`` cut at each separator in turn, with the places that they come from."""
+    parts, keys = ["v0 AS (SELECT doc_id, text AS x FROM documents)"], "doc_id"
+    for k, sep in enumerate(("chr(10) || chr(10)", "chr(10)", "'. '", "' '")):
+        cut = f"CASE WHEN len(regexp_extract_all(x, '\\S+')) <= {size} THEN [x] WHEN len(sp) = 1 THEN sp ELSE list_filter(list_transform(sp, lambda y: trim(y, {_TRIM})), lambda y: y <> '') END"
+        parts.append(f"v{k + 1} AS (SELECT {keys}, unnest(ps) AS x, unnest(range(1, len(ps) + 1)) AS i{k} FROM (SELECT *, {cut} AS ps FROM (SELECT *, string_split(x, {sep}) AS sp FROM v{k})))")
+        keys += f", i{k}"
+    return ",\n".join(parts) + f", ve AS (SELECT {keys}, trim(x, {_TRIM}) AS x FROM v4)"
+
+
+@query("c07_recursive_chunks", f"WITH {_recursive(128)} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i0, i1, i2, i3) - 1)::INT AS chunk_index, sha256(x) AS digest, len(regexp_extract_all(x, '\\S+'))::BIGINT AS tokens FROM ve WHERE x <> ''")
 def c07(spark, d):
     return _digest(chunks.chunk_documents(table(spark, d, "documents"), ch.ChunkConfig("recursive", chunk_size=128, **_PLAIN)))
 

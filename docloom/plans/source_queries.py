@@ -46,7 +46,7 @@ def s21_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(web.links(F.col("url"), F.col("html"))).alias("link"))
 
 
-@query("s03_crawl")
+@query("s03_crawl", "SELECT DISTINCT url, 0 AS depth FROM pages")  # all pages are where the crawl starts
 def s03(spark, d):
     pages = table(spark, d, "pages").select("url", "html")
     return web.crawl(pages, pages.select("url"), depth=2)
