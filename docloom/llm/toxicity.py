@@ -15,10 +15,12 @@ from .common import cut, held_out, read, texts
 
 #: Most labelled examples of each class in the index; their texts bound the model.
 SAMPLE = 1_500
-#: Examples from which on a term is one.
-MIN_EXAMPLES = 4
+#: Examples from which on a term is one, and the chi-square that chance alone exceeds for a twentieth of terms.
+MIN_EXAMPLES, CHANCE = 4, 3.84
 #: Nearest examples that vote, examples of a block, blocks that a search opens first, examples and terms that are shown as evidence.
 NEIGHBOURS, BLOCK, FIRST, EVIDENCE, SHOWN = 10, 64, 4, 3, 8
+#: Least over greatest bound of a block from which on all are read at once.
+ALIKE = 0.3
 #: Distinct words whose terms a worker remembers; the memory starts anew when it is full.
 REMEMBERED = 300_000
 #: Bytes of the beginnings of words that are terms; a beginning has more terms from each of these counts and parts of all words on.
@@ -64,7 +66,7 @@ class BlockMaxIndex:
 
     A block is BLOCK examples next to each other. A query bounds every block by its terms' greatest weights and scores the
     FIRST blocks of the highest bounds; then all others whose bound reaches the last of its nearest so far. No other
-    block can hold a nearer example, so what it returns is exact.
+    block can hold a nearer example, so what it returns is exact. Where the bounds themselves are alike all blocks are scored at once.
     """
 
     def __init__(self, vectors: list[Vector], n_terms: int):
@@ -79,13 +81,19 @@ class BlockMaxIndex:
         self.best = np.zeros((n_terms, self.blocks))
         np.maximum.at(self.best, (term, self.example // BLOCK), self.weight)
 
-    def _scored(self, ts: np.ndarray, ws: np.ndarray, blocks: np.ndarray) -> Vector:
-        """The examples of ``blocks`` that share a term with the query, and their cosines."""
-        cell = (ts[:, None] * self.blocks + blocks).ravel()
-        a = self.start[cell]
-        n = self.start[cell + 1] - a
-        at = np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n)
-        scores = np.bincount(self.example[at], np.repeat(np.repeat(ws, len(blocks)), n) * self.weight[at], self.size)
+    def _scored(self, ts: np.ndarray, ws: np.ndarray, blocks: np.ndarray | None) -> Vector:
+        """The examples of ``blocks`` (None: all) that share a term with the query, and their cosines."""
+        if blocks is None:
+            a, b = self.start[ts * self.blocks], self.start[(ts + 1) * self.blocks]
+        else:
+            cell = (ts[:, None] * self.blocks + blocks).ravel()
+            a, b, ws = self.start[cell], self.start[cell + 1], np.repeat(ws, len(blocks))
+        n = b - a
+        at = np.repeat(a - np.cumsum(n, dtype=np.int32) + n, n)
+        at += np.arange(len(at), dtype=np.int32)
+        weight = np.repeat(ws, n)
+        weight *= self.weight[at]
+        scores = np.bincount(self.example[at], weight, self.size)
         hits = np.flatnonzero(scores > 0)
         return hits, scores[hits]
 
@@ -97,17 +105,24 @@ class BlockMaxIndex:
         bounds = ws @ self.best[ts]
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
-        at, scores = np.zeros(0, np.int64), np.zeros(0)
-        for part in range(2):
-            if part == 0:
-                blocks = order[:FIRST]
-            else:
-                last = np.sort(scores)[-k] - 1e-12 if len(scores) >= k else 0.0
-                blocks = order[FIRST:][bounds[order[FIRST:]] >= last]
-            if len(blocks):
-                hits, found = self._scored(ts, ws, np.sort(blocks))
-                stay = hits != without
-                at, scores = np.concatenate([at, hits[stay]]), np.concatenate([scores, found[stay]])
+        if not len(order):
+            return []
+        if bounds[order[-1]] > ALIKE * bounds[order[0]]:
+            at, scores = self._scored(ts, ws, None)  # bounds so alike that hardly a block would be left out
+        else:
+            at, scores = self._scored(ts, ws, np.sort(order[:FIRST]))
+            found = scores[at != without]
+            last = np.partition(found, -k)[-k] - 1e-12 if len(found) >= k else 0.0
+            rest = order[FIRST:][bounds[order[FIRST:]] >= last]
+            if len(rest):
+                more, found = self._scored(ts, ws, np.sort(rest) if 4 * len(rest) < self.blocks else None)
+                new = ~np.isin(more // BLOCK, order[:FIRST])
+                at, scores = np.concatenate([at, more[new]]), np.concatenate([scores, found[new]])
+        stay = at != without
+        at, scores = at[stay], scores[stay]
+        if len(at) > k:
+            near = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+            at, scores = at[near], scores[near]
         best = np.lexsort((at, -scores))[:k]
         return list(zip(scores[best].tolist(), at[best].tolist(), strict=True))
 
@@ -126,6 +141,10 @@ class Model:
         self.words: dict[bytes, tuple[int, tuple[int, ...]]] = {}
         self.idf = (np.log((len(examples) + 1) / (np.array([d for _, d, _ in chosen], float) + 1)) + 1) * np.array([w for _, _, w in chosen])
         vectors = [self.vector(counts) for _, _, counts in examples]
+        # examples with the same strongest term are neighbours, so that blocks differ in their greatest weights
+        strongest = [int(t[w.argmax()]) if len(t) else -1 for t, w in vectors]
+        order = sorted(range(len(examples)), key=lambda i: (strongest[i], examples[i][1], i))
+        vectors, self.ids, self.labels = [vectors[i] for i in order], [self.ids[i] for i in order], self.labels[order]
         self.index = BlockMaxIndex(vectors, len(self.number))
         self._calibrate(vectors, prior)
 
@@ -218,8 +237,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """The model of ``sample`` labelled documents of each class at most, chosen by a hash of the id.
 
     Terms are all words and beginnings of words in MIN_EXAMPLES examples or more. A term weighs its inverse document frequency times its
-    supervised weight, the chi-square of term and label over the number of examples, less the one that chance alone gives:
-    a term that says nothing of the label weighs nothing, and none is left out by a threshold or a number of terms. Counts over
+    supervised weight, what the chi-square of term and label has above CHANCE over the number of examples: it falls to nothing for a term
+    that says nothing of the label, and no number of terms leaves one out. Counts over
     the examples are gathered by Spark. Without both classes, or without labels, there are no terms and every score is the prior.
     """
     own = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null").groupBy("id").agg(F.max("label").alias("label"))
@@ -240,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     df = chosen.mapInArrow(seen, "term binary, label int, n long").groupBy("term").agg(F.sum("n").cast("double").alias("d"), F.sum(F.col("n") * F.col("label")).cast("double").alias("a"))
     df = df.where((d >= MIN_EXAMPLES) & (d < n)) if 0 < n1 < n else df.where("false")
     df = df.withColumn("chi", n * F.pow(a * (n - n1) - (d - a) * n1, 2) / (float(n1) * (n - n1) * d * (n - d)))
-    df = df.withColumn("weight", (F.col("chi") - 1) / n).where("weight > 0")
+    df = df.withColumn("weight", (F.col("chi") - CHANCE) / n).where("weight > 0")
     best = sorted((bytes(r["term"]), int(r["d"]), float(r["weight"])) for r in df.collect())
     number = {t: i for i, (t, _, _) in enumerate(best)}
     known = known_terms(number)

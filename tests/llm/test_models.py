@@ -509,8 +509,8 @@ def test_score_and_calibration_by_brute_force(spark):
         if toxicity.MIN_EXAMPLES <= d < n:
             a = int((has & (y == 1)).sum())
             chi = n * (a * (n - y.sum()) - (d - a) * y.sum()) ** 2 / (y.sum() * (n - y.sum()) * d * (n - d))
-            if chi > 1:
-                weight[t] = (math.log((n + 1) / (d + 1)) + 1) * (chi - 1) / n
+            if chi > toxicity.CHANCE:
+                weight[t] = (math.log((n + 1) / (d + 1)) + 1) * (chi - toxicity.CHANCE) / n
     assert set(weight) == set(model.number)
     for (_, text, _), c in zip(rows, counts, strict=True):
         assert model.count(text) == {model.number[t]: n for t, n in c.items() if t in weight}
@@ -522,6 +522,10 @@ def test_score_and_calibration_by_brute_force(spark):
     for i, (doc, _, _) in enumerate(rows):
         s = x @ x[i]
         best = [k for k in np.lexsort((np.arange(n), -s.round(12))) if s[k] > 1e-12][:10]
+        if not best:
+            assert got[doc].score == model.alone
+            votes.append(0.0)
+            continue
         w = np.array([s[k] / (1.05 - s[k]) for k in best])
         vote = float(w @ y[best] / w.sum())
         votes.append(vote)
