@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import cut, held_out, read, texts
 
 #: Width of the network, and bounds of the symbols that it tells apart. Between them their number grows with the corpus (see symbols_for).
-WIDTH, LEAST_SYMBOLS, MOST_SYMBOLS = 32, 256, 16_384
+WIDTH, LEAST_SYMBOLS, MOST_SYMBOLS = 32, 256, 4_096
 #: Part of the symbols that stand for the tokens without one of their own, by a hash.
 HASHED = 0.25
 #: Tokens whose counts every worker holds; counts of the rarer ones are joined.
@@ -162,20 +162,25 @@ class Network:
         size, out = k // side, np.empty(len(w))
 
         def norm(s: np.ndarray) -> np.ndarray:
+            """The log of the sum of the exponentials of each row of ``s``, which is used up."""
             top = s.max(1, keepdims=True)
-            return np.log(np.exp(s - top).sum(1)) + top[:, 0]
+            if top.max(initial=0) < 60 and top.min(initial=0) > -60:
+                return np.log(np.exp(s, out=s).sum(1))
+            s -= top
+            return np.log(np.exp(s, out=s).sum(1)) + top[:, 0]
 
-        for at in range(0, len(w), 1 << 15):
-            x = w[at : at + (1 << 15)]
+        for at in range(0, len(w), 1 << 16):
+            x = w[at : at + (1 << 16)]
             by = np.argsort(x, kind="stable")
             x, own = x[by], x[by] // size
-            guess = self.context[near[at : at + (1 << 15)][by]] @ self.near + self.context[far[at : at + (1 << 15)][by]] @ self.far
+            guess = self.context[near[at : at + (1 << 16)][by]] @ self.near + self.context[far[at : at + (1 << 16)][by]] @ self.far
             s = guess @ self.classes.T + self.class_bias
-            value = s[np.arange(len(x)), own] - norm(s) + np.einsum("ij,ij->i", guess, self.target[x]) + self.bias[x]
+            value = s[np.arange(len(x)), own] + np.einsum("ij,ij->i", guess, self.target[x]) + self.bias[x]
+            value -= norm(s)
             here, first = np.unique(own, return_index=True)
             for c, a, b in zip(here, first, np.r_[first[1:], len(x)], strict=True):
                 value[a:b] -= norm(guess[a:b] @ self.target[c * size : (c + 1) * size].T + self.bias[c * size : (c + 1) * size])
-            out[at : at + (1 << 15)][by] = value
+            out[at : at + (1 << 16)][by] = value
         return out / math.log(10)
 
 
@@ -271,7 +276,8 @@ def train_network(docs: DataFrame, network: Network, vocabulary: Vocabulary, n:
     in which sums of copies round. The driver gets one model of fixed size.
     """
     spark, k = docs.sparkSession, len(network.bias)
-    shards = cut(_encoded(docs, vocabulary, max(1, math.ceil(n / SHARD_TOKENS)), id_col, text_col))
+    number = max(1, math.ceil(n / SHARD_TOKENS))
+    shards = cut(_encoded(docs, vocabulary, number, id_col, text_col))
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast(network)
 
@@ -295,8 +301,8 @@ def train_network(docs: DataFrame, network: Network, vocabulary: Vocabulary, n:
                 yield pa.RecordBatch.from_arrays([pa.array([met]), pa.array([mean.astype(np.float32).tobytes()])], names=["met", "flat"])
 
         kind = "met double, flat binary"
-        # a task that has several shards averages them before they are shuffled
-        mean = shards.mapInArrow(run, kind).mapInArrow(average, kind).repartition(8).mapInArrow(average, kind).repartition(1).mapInArrow(average, kind).first()
+        # a task that has several shards averages them before they are shuffled, and none gets more models than the root of the shards
+        mean = shards.mapInArrow(run, kind).mapInArrow(average, kind).repartition(math.isqrt(number) + 1).mapInArrow(average, kind).repartition(1).mapInArrow(average, kind).first()
         if mean:
             network = network.copy()
             network.load(np.frombuffer(bytes(mean["flat"]), np.float32))
