@@ -6,7 +6,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -58,14 +58,15 @@ def symbols_for(n: int) -> int:
     return int(np.clip(side * side, LEAST_SYMBOLS, MOST_SYMBOLS))
 
 
-def _add(n: int, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The sums of ``x`` by its row numbers."""
-    order = np.argsort(rows, kind="stable")
-    at = rows[order]
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+def _add(n: int, rows: np.ndarray, x: np.ndarray, ordered: bool = False) -> np.ndarray:
+    """The sums of ``x`` by its row numbers, which may come in order already."""
+    if not ordered:
+        order = np.argsort(rows, kind="stable")
+        rows, x = rows[order], x[order]
+    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, np.int64)
     out = np.zeros((n, *x.shape[1:]), x.dtype)
     if len(first):
-        out[at[first]] = np.add.reduceat(x[order], first, axis=0)
+        out[rows[first]] = np.add.reduceat(x, first, axis=0)
     return out
 
 
@@ -127,14 +128,14 @@ class Network:
             weight = counts[some][by].astype(np.float32)
             weight /= weight.sum()
             own = w // (k // side)
-            r1, r2 = self.context[near], self.context[far]
-            guess = r1 @ self.near + r2 @ self.far
+            guess = (self.context @ self.near)[near]
+            guess += (self.context @ self.far)[far]
             # classes
             draws = rng.choice(side, NOISE, p=self.class_noise)
             hit = weight * tell((guess * self.classes[own]).sum(1) + self.class_bias[own] - class_log[own])
             miss = -(RATIO / NOISE) * weight[:, None] * tell(-(guess @ self.classes[draws].T + self.class_bias[draws] - class_log[draws]))
             toward = hit[:, None] * self.classes[own] + miss @ self.classes[draws]
-            classes, class_bias = _add(side, own, hit[:, None] * guess), np.bincount(own, hit, side)
+            classes, class_bias = _add(side, own, hit[:, None] * guess, True), np.bincount(own, hit, side)
             np.add.at(classes, draws, miss.T @ guess)
             np.add.at(class_bias, draws, miss.sum(0))
             # symbols of each class; events come sorted by symbol and so by class
@@ -142,7 +143,7 @@ class Network:
             picks = np.stack([np.searchsorted(inner[c], rng.random(CLASS_NOISE) * inner[c, -1]) for c in here]).clip(0, k // side - 1) + here[:, None] * (k // side)
             hit = weight * tell((guess * self.target[w]).sum(1) + self.bias[w] - log[w])
             toward += hit[:, None] * self.target[w]
-            target, bias = _add(k, w, hit[:, None] * guess), np.bincount(w, hit, k)
+            target, bias = _add(k, w, hit[:, None] * guess, True), np.bincount(w, hit, k)
             ends = np.r_[first[1:], len(w)]
             for c in range(len(here)):
                 a, b, p = first[c], ends[c], picks[c]
@@ -151,8 +152,10 @@ class Network:
                 toward[a:b] += miss @ q
                 np.add.at(target, p, miss.T @ guess[a:b])
                 np.add.at(bias, p, miss.sum(0))
-            context = _add(k + 1, np.r_[near, far], np.concatenate([toward @ self.near.T, toward @ self.far.T]))
-            for name, g in (("classes", classes), ("class_bias", class_bias), ("target", target), ("bias", bias), ("context", context), ("near", r1.T @ toward), ("far", r2.T @ toward)):
+            # what all events ask of a context symbol is added up before it is turned to that symbol's vector and to the matrices
+            at_near, at_far = _add(k + 1, near, toward), _add(k + 1, far, toward)
+            context = at_near @ self.near.T + at_far @ self.far.T
+            for name, g in (("classes", classes), ("class_bias", class_bias), ("target", target), ("bias", bias), ("context", context), ("near", self.context.T @ at_near), ("far", self.context.T @ at_far)):
                 seen[name] = seen.get(name, np.float32(CALM)) + (g * g).astype(np.float32)
                 setattr(self, name, (getattr(self, name) + rate * g / np.sqrt(seen[name])).astype(np.float32))
 
@@ -160,6 +163,7 @@ class Network:
         """The normalised log10 probability of each symbol ``w``, in batched products over the classes and over the symbols of each class."""
         k, side = len(self.bias), self.side
         size, out = k // side, np.empty(len(w))
+        before, earlier = self.context @ self.near, self.context @ self.far
 
         def norm(s: np.ndarray) -> np.ndarray:
             """The log of the sum of the exponentials of each row of ``s``, which is used up."""
@@ -173,7 +177,8 @@ class Network:
             x = w[at : at + (1 << 16)]
             by = np.argsort(x, kind="stable")
             x, own = x[by], x[by] // size
-            guess = self.context[near[at : at + (1 << 16)][by]] @ self.near + self.context[far[at : at + (1 << 16)][by]] @ self.far
+            guess = before[near[at : at + (1 << 16)][by]]
+            guess += earlier[far[at : at + (1 << 16)][by]]
             s = guess @ self.classes.T + self.class_bias
             value = s[np.arange(len(x)), own] + np.einsum("ij,ij->i", guess, self.target[x]) + self.bias[x]
             value -= norm(s)
@@ -226,7 +231,7 @@ def _numbered(batch: pa.RecordBatch, number: dict[bytes, int], name: str) -> Ite
         size += len(rows[-1])
         if size >= 500_000 or i == batch.num_rows - 1:
             get = number.get
-            flat = np.fromiter((get(t, -1) for t in chain.from_iterable(rows)), np.int64, size)
+            flat = np.fromiter(map(get, chain.from_iterable(rows), repeat(-1)), np.int64, size)
             starts = np.cumsum([0, *map(len, rows[:-1])])
             yield rows, flat, starts, first
             rows, size, first = [], 0, i + 1
@@ -375,11 +380,14 @@ def score(docs: DataFrame, scorer: Scorer, counts: DataFrame, id_col: str = "doc
                 own = [b" %d" % r for r in row.to_pylist()]
                 whole = [row, ids, pa.array(own, pa.binary()), pa.array([0] * len(rows), pa.int64()), pa.array(n, pa.int64()), pa.array(np.add.reduceat((numbers >= 0).astype(np.int64), starts)), pa.array(np.add.reduceat(logs, starts)), pa.array(model)]
                 yield pa.RecordBatch.from_arrays(whole, names=names)
+                # tokens beyond the head, each once for a text
                 keys, rare, tf = [], [], []
-                numbers = numbers.tolist()
-                for r, words, at in zip(row.to_pylist(), rows, starts.tolist(), strict=True):
-                    found = Counter([t for t, i in zip(words, numbers[at : at + len(words)], strict=True) if i < 0])
-                    keys += [r] * len(found)
+                beyond = np.flatnonzero(numbers < 0)
+                of = np.searchsorted(starts, beyond, "right") - 1
+                listed = row.to_pylist()
+                for i, places in zip(of[np.flatnonzero(np.diff(of, prepend=-1))].tolist(), np.split(beyond, np.flatnonzero(np.diff(of)) + 1), strict=False):
+                    found = Counter(map(rows[i].__getitem__, (places - starts[i]).tolist()))
+                    keys += [listed[i]] * len(found)
                     rare += found.keys()
                     tf += found.values()
                 none = [pa.nulls(len(keys), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
