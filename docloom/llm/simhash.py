@@ -340,25 +340,30 @@ def _bucketed_by(nodes: DataFrame, masks: list[int], *more: str) -> DataFrame:
     return keyed.repartition("mask", "value").sortWithinPartitions("mask", "value")
 
 
-def _candidates(bits: int, similarity: float):
+def _candidates(bits: int, similarity: float, masks: list[int]):
     """Candidates (u, v, kind) within each bucket of (mask, value, fp, node, n): nodes within ``bits`` and of fitting sizes.
 
-    Kind LINK has all links of GrayIndex.links outside dense groups; kind HUB has each member of a dense group with the group's
+    Kind LINK has all links of GrayIndex.links outside dense groups, in the bucket of the first mask that a pair shares; kind HUB has each member of a dense group with the group's
     hub, the node nearest to the majority of its bits, or with itself where that is too far, once for the buckets of a batch.
     """
 
     def fitting(n, a, b):
         return np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9
 
+    every = np.array(masks, np.int64).view(np.uint64)
+
     def made(u, v, kind):
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), kind, np.int32))], names=["u", "v", "kind"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bucket in _chunks(batches):
             index = GrayIndex(rows[:, 2].copy().view(np.uint64), bucket)
-            node, n = rows[index.order, 3], rows[index.order, 4]
+            node, n, of = rows[index.order, 3], rows[index.order, 4], rows[index.order, 0].view(np.uint64)
             for a, b in index.links(bits):
                 ok = fitting(n, a, b) & ((index.dense[a] < 0) | (index.dense[b] < 0))
+                a, b = a[ok], b[ok]
+                shared = ((index.codes[a] ^ index.codes[b])[:, None] & every) == 0
+                ok = every[shared.argmax(1)] == of[a]
                 a, b = node[a[ok]], node[b[ok]]
                 yield made(np.minimum(a, b), np.maximum(a, b), LINK)
             inside = np.flatnonzero(index.dense >= 0)
@@ -467,7 +472,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = cut(_set_rows(named, words))
     nodes = cut(rows.groupBy("node").agg(F.min("id").alias("least"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp")))
     masks = sampled_masks(nodes.count(), bits)
-    met = cut(_bucketed_by(nodes, masks, "node", "n").mapInArrow(_candidates(bits, similarity), "u long, v long, kind int").distinct())
+    met = cut(_bucketed_by(nodes, masks, "node", "n").mapInArrow(_candidates(bits, similarity, masks), "u long, v long, kind int").distinct())
     dense = met.where(F.col("kind") == HUB).select(F.col("u").alias("node")).distinct()
     hubs = met.where((F.col("kind") == HUB) & (F.col("u") != F.col("v"))).select("u", "v")
     often = cut(hubs.groupBy("v").agg(F.count("*").alias("members")))
