@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat_format, html_extract, line_dedup, lm_score, mixing, quality, simhash, toxicity
+from . import ann, bpe, chat_format, collocations, divergence, html_extract, licenses, line_dedup, lm_score, mixing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,8 +15,13 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_html_extract": html_extract.op10_html_extract,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_licenses": licenses.op12_licenses,
+    "op13_collocations": collocations.op13_collocations,
 }
 ORACLES = {
     "op7_line_dedup": line_dedup.ORACLE,
     "op9_chat_format": chat_format.ORACLE,
+    "op11_divergence": divergence.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }

@@ -192,7 +192,7 @@ def test_op10(spark, folder):
 
 
 def test_queries_of_empty_tables(spark, empty):
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len(rows_of(spark, empty, n)[1]) == (1 if n == 9 else 0)  # the added conversation
     assert corpus_pipeline.run(spark, empty).count() == 0
 
