@@ -16,23 +16,33 @@ from .common import cut, read
 
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 #: Words of a chunk, in which phrases are counted before they are shuffled, and different phrases that are named at a time.
-CHUNK, BUCKET = 1 << 20, 1 << 16
+CHUNK, BUCKET = 1 << 21, 1 << 16
 #: Languages up to which their sizes are broadcast.
 LANGUAGES = 10_000
 ENDS = ".,;:!?\n\x0b\x0c\r"
 IS_WORD = word_bytes(" \t" + ENDS)
 IS_END = ~word_bytes(ENDS)
 CHUNKS = "chunk long, lang string, n long, seq binary, words binary"
-ASKED = "chunk long, lang string, bucket long, at array<int>, n array<long>, word array<binary>, left array<long>, right array<long>"
-NAMED = "chunk long, at array<int>, ids array<long>, lang string, word array<string>, left array<long>, right array<long>, a array<long>"
+ASKED = "chunk long, lang string, bucket long, size int, n binary, word binary, left binary, right binary"
+NAMED = "chunk long, bucket long, at array<int>, ids array<long>, lang string, word array<string>, left array<long>, right array<long>, a array<long>"
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(x, np.int64), codec="zstd", asbytes=True) if len(x) else b""
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes as the largest needs, which the first byte names."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(x) or x.max() < 1 << 8 * w)
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
 
 
-def _unpack(x: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(x, decompressed_size=8 * n, codec="zstd"), np.int64) if n else np.zeros(0, np.int64)
+def _wide(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64)
+
+
+def _pack(x: bytes) -> bytes:
+    return len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True)
+
+
+def _unpack(x: bytes) -> bytes:
+    return pa.decompress(x[8:], decompressed_size=int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True)
 
 
 def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -58,16 +68,7 @@ class Chunk:
         self.n += len(codes)
 
     def row(self, chunk: int, lang: str) -> tuple:
-        seq = np.concatenate(self.parts)
-        return chunk, lang, self.n, len(seq).to_bytes(8, "little") + _pack(seq), pa.compress(b" ".join(self.words), codec="zstd", asbytes=True) + sum(map(len, self.words), len(self.words) - 1).to_bytes(8, "little")
-
-
-def _sequence(x: bytes) -> np.ndarray:
-    return _unpack(x[8:], int.from_bytes(x[:8], "little"))
-
-
-def _vocabulary(x: bytes) -> list[bytes]:
-    return pa.decompress(x[:-8], decompressed_size=int.from_bytes(x[-8:], "little"), codec="zstd", asbytes=True).split(b" ")
+        return chunk, lang, self.n, _pack(_narrow(np.concatenate(self.parts))), _pack(b" ".join(self.words))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,33 +118,44 @@ def bucket_of(left: np.ndarray, right: np.ndarray, buckets: int) -> np.ndarray:
     return ((x >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _dealt(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, buckets, bounds): what is dealt to each bucket, in its old order; the same for who asks and who gets the answer."""
+    order = np.argsort(of, kind="stable")
+    used, begin = np.unique(of[order], return_index=True)
+    return order, used, np.append(begin, len(order))
+
+
+def _word_buckets(words: list[bytes], buckets: int) -> np.ndarray:
+    return np.fromiter((xxh64_intdigest(w) % buckets for w in words), np.int64, len(words))
+
+
 def _asks(chunks: DataFrame, level: int, buckets: int) -> DataFrame:
     """What each chunk has to be named, dealt to buckets by a hash: one row for each chunk and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, lang, seq, words in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
-                s = _sequence(seq)
+                s = _wide(_unpack(seq))
                 if level == 1:
-                    word = _vocabulary(words)
+                    word = _unpack(words).split(b" ")
                     n = np.bincount(s, minlength=len(word) + 1)[1:]
-                    of = np.fromiter((xxh64_intdigest(w) % buckets for w in word), np.int64, len(word))
+                    order, used, bounds = _dealt(_word_buckets(word, buckets))
                 else:
                     left, right, n, _, _ = local_pairs(s)
-                    of = bucket_of(left, right, buckets)
-                at = np.argsort(of, kind="stable")
-                used, begin = np.unique(of[at], return_index=True)
-                bounds = np.append(begin, len(at))
-                none = np.zeros(len(used) + 1, np.int64)
+                    order, used, bounds = _dealt(bucket_of(left, right, buckets))
+                parts = [order[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                none = [b""] * len(used)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(used), chunk)),
                         pa.array([lang] * len(used), pa.string()),
                         pa.array(used),
-                        _lists(at, bounds, pa.int32()),
-                        _lists(n[at], bounds, pa.int64()),
-                        _lists([word[i] for i in at.tolist()], bounds, pa.binary()) if level == 1 else _lists([], none, pa.binary()),
-                        *(_lists(x[at], bounds, pa.int64()) if level > 1 else _lists([], none, pa.int64()) for x in ((left, right) if level > 1 else ((), ()))),
+                        pa.array(np.diff(bounds), pa.int32()),
+                        pa.array([_narrow(n[p]) for p in parts], pa.binary()),
+                        pa.array([b" ".join([word[i] for i in p.tolist()]) for p in parts] if level == 1 else none, pa.binary()),
+                        # pairs come by their left name, so that the steps between these are small
+                        pa.array([_narrow(np.diff(left[p], prepend=0)) for p in parts] if level > 1 else none, pa.binary()),
+                        pa.array([_narrow(right[p]) for p in parts] if level > 1 else none, pa.binary()),
                     ],
                     names=[x.split()[0] for x in ASKED.split(", ")],
                 )
@@ -156,14 +168,16 @@ def _name(level: int, buckets: int, least: int):
 
     def run(key: tuple[pa.Scalar, ...], asked: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
-        asked = asked.combine_chunks()
-        one = lambda name: asked[name].chunk(0) if asked[name].num_chunks else pa.array([], asked[name].type)
-        flat = lambda name: one(name).flatten().to_numpy(zero_copy_only=False)
-        rows = np.repeat(np.arange(asked.num_rows), one("at").value_lengths().to_numpy())
-        at, n, langs = flat("at"), flat("n"), one("lang").to_pylist()
+        sizes = asked["size"].to_numpy().astype(np.int64)
+        rows = np.repeat(np.arange(asked.num_rows), sizes)
+        at = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        langs = asked["lang"].to_pylist()
+        flat = lambda name: np.concatenate([_wide(x) for x in asked[name].to_pylist()])
+        n = flat("n")
         if level == 1:
             known: dict[tuple[str, bytes], int] = {}
-            code = np.fromiter((known.setdefault((langs[r], w), len(known)) for r, w in zip(rows.tolist(), flat("word"), strict=True)), np.int64, len(rows))
+            listed = [w for x in asked["word"].to_pylist() for w in x.split(b" ")]
+            code = np.fromiter((known.setdefault((langs[r], w), len(known)) for r, w in zip(rows.tolist(), listed, strict=True)), np.int64, len(rows))
             # numbered in an order that does not hang on how rows arrive
             order = sorted(known)
             place = np.empty(len(order), np.int64)
@@ -171,7 +185,7 @@ def _name(level: int, buckets: int, least: int):
             code = place[code]
             lang, word, left, right = [k[0] for k in order], [k[1] for k in order], np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         else:
-            both = np.stack([flat("left"), flat("right")])
+            both = np.stack([np.concatenate([np.cumsum(_wide(x)) for x in asked["left"].to_pylist()]), flat("right")])
             order = np.lexsort(both[::-1])
             new = np.ones(len(order), bool)
             new[1:] = (both[:, order[1:]] != both[:, order[:-1]]).any(0)
@@ -198,6 +212,7 @@ def _name(level: int, buckets: int, least: int):
         return pa.table(
             {
                 "chunk": pa.array([asked["chunk"][i].as_py() for i in used.tolist()] + [None] * names, pa.int64()),
+                "bucket": pa.array([bucket] * k, pa.int64()),
                 "at": _lists(at[got], np.concatenate([bounds, np.full(names, len(got))]), pa.int32()),
                 "ids": _lists(np.concatenate([ids[code[got]], ids[kept]]), whole(bounds, edges), pa.int64()),
                 "lang": pa.array([None] * answers + [str(x) for x in of], pa.string()),
@@ -211,26 +226,30 @@ def _name(level: int, buckets: int, least: int):
     return run
 
 
-def _replace(level: int):
+def _replace(level: int, buckets: int):
     """A chunk's sequence with the names of its phrases of ``level`` words in place of those of one word less."""
 
     def run(key: tuple[pa.Scalar, ...], answers: pa.Table, chunks: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if answers.num_rows:
-            at, ids = (np.concatenate([x for x in answers[c].to_pylist() if x]).astype(np.int64) for c in ("at", "ids"))
-            for chunk, lang, n, seq in zip(*(chunks[c].to_pylist() for c in ("chunk", "lang", "n", "seq")), strict=True):
-                s = _sequence(seq)
+            heard = list(zip(*(answers[c].to_pylist() for c in ("bucket", "at", "ids")), strict=True))
+
+            def names(of: np.ndarray) -> np.ndarray:
+                order, used, bounds = _dealt(of)
+                begin, out = dict(zip(used.tolist(), bounds.tolist(), strict=False)), np.zeros(len(of), np.int64)
+                for bucket, at, ids in heard:
+                    out[order[begin[bucket] + np.array(at)]] = ids
+                return out
+
+            for chunk, lang, n, seq, words in zip(*(chunks[c].to_pylist() for c in ("chunk", "lang", "n", "seq", "words")), strict=True):
+                s = _wide(_unpack(seq))
                 if level == 1:
-                    name = np.zeros(s.max() + 1, np.int64)
-                    name[at + 1] = ids
-                    new = name[s]
+                    new = np.concatenate([[0], names(_word_buckets(_unpack(words).split(b" "), buckets))])[s]
                 else:
-                    left, _, _, places, pair = local_pairs(s)
-                    name = np.zeros(len(left), np.int64)
-                    name[at] = ids
+                    left, right, _, places, pair = local_pairs(s)
                     new = np.zeros(len(s), np.int64)
-                    new[places] = name[pair]
-                out.append((chunk, lang, n, len(new).to_bytes(8, "little") + _pack(new), b""))
+                    new[places] = names(bucket_of(left, right, buckets))[pair]
+                out.append((chunk, lang, n, _pack(_narrow(new)), b""))
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary())
         return pa.table({c.split()[0]: pa.array([r[i] for r in out], kinds[i]) for i, c in enumerate(CHUNKS.split(", "))})
 
@@ -282,8 +301,8 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_co
             t = t.select("lang", "id", "a", F.concat_ws(" ", "head", "last").alias("phrase"), "last", F.concat("pre_head", F.array("a")).alias("pre"), F.concat("suf_tail", F.array("a")).alias("suf"), "left", "right")
         tables.append(cut(t))
         if k < max_words:
-            answers = named.where(F.col("chunk").isNotNull()).select(F.col("chunk").alias("of"), "at", "ids")
-            chunks = cut(answers.groupBy("of").cogroup(chunks.groupBy("chunk")).applyInArrow(_replace(k), CHUNKS))
+            answers = named.where(F.col("chunk").isNotNull()).select(F.col("chunk").alias("of"), "bucket", "at", "ids")
+            chunks = cut(answers.groupBy("of").cogroup(chunks.groupBy("chunk")).applyInArrow(_replace(k, buckets), CHUNKS))
     found = []
     for k, t in enumerate(tables[1:], 2):
         if k < max_words:
