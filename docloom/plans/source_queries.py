@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators.cut import shared_folder
-from ..sources import records, web
+from ..sources import pdf, pdf_export, records, web
 from ..streaming import streams
 from .monitoring_queries import query_log
 from .suite import query, table
@@ -85,3 +85,10 @@ SELECT count(*) || '-' || sum(('0x' || h[1:15])::HUGEINT) || '-' || sum(('0x' ||
 def w01(spark, d):
     rows = query_log(spark, d).where("answer = 'error'").select(F.col("answer").alias("change_type"), F.col("id").cast("string").alias("path"))
     return streams.signature(rows)
+
+
+@query("s16_pdf", """SELECT doc_id, sha256(array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10))) AS digest, ((len(string_split(text, chr(10))) + 49) // 50)::INT AS pages FROM documents""")
+def s16(spark, d):
+    """Every document is written as a PDF file of 50 lines a page and read back; empty lines show nothing in it."""
+    files = table(spark, d, "documents").select("doc_id", pdf.contents(pdf_export.pdf_of("text")).alias("c"))
+    return files.select("doc_id", F.sha2(F.array_join(F.filter(F.split("c.text", "\n"), lambda x: x != ""), "\n"), 256).alias("digest"), "c.pages")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import extension, sha256_id
+from . import pdf
 
 ENCODINGS = ("utf-8", "utf-16", "cp1252", "latin-1")
 TEXT_TYPES = ("md", "txt", "html", "csv", "rst", "xml", "json", "yaml")
@@ -91,6 +92,8 @@ def read_one(raw: bytes, ext: str) -> tuple[str, str]:
         return docx_text(raw)[0], "docx"
     if ext == "doc":
         return doc_text(raw), "doc"
+    if ext == "pdf":
+        return pdf.read(raw)["text"], "pdf"
     text, encoding = decode(raw)
     if ext == "json":
         text = json.dumps(json.loads(text), ensure_ascii=False, indent=2)
