@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,11 +13,11 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .byte_tokens import buffers, group, slices, word_bytes
-from .common import cut, read
+from .common import checkpoint_folder, cut, read
 
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 #: Words of a chunk, in which phrases are counted before they are shuffled, and different phrases that are named at a time.
-CHUNK, BUCKET = 1 << 21, 1 << 16
+CHUNK, BUCKET = 1 << 22, 1 << 16
 #: Languages up to which their sizes are broadcast.
 LANGUAGES = 10_000
 ENDS = ".,;:!?\n\x0b\x0c\r"
@@ -29,12 +30,17 @@ NAMED = "chunk long, bucket long, at array<int>, ids array<long>, lang string, w
 
 def _narrow(x: np.ndarray) -> bytes:
     """Numbers from 0 on in as few bytes as the largest needs, which the first byte names."""
-    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(x) or x.max() < 1 << 8 * w)
+    width = next(w for w in (1, 2, 3, 4, 8) if w == 8 or not len(x) or x.max() < 1 << 8 * w)
+    if width == 3:
+        return b"\3" + x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
     return bytes([width]) + x.astype(f"<u{width}").tobytes()
 
 
 def _wide(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64)
+    if x[0] != 3:
+        return np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64)
+    three = np.frombuffer(x, np.uint8, offset=1).reshape(-1, 3)
+    return np.pad(three, ((0, 0), (0, 1))).view("<u4").ravel().astype(np.int64)
 
 
 def _pack(x: bytes) -> bytes:
@@ -256,6 +262,25 @@ def _replace(level: int, buckets: int):
     return run
 
 
+class _Laid:
+    """Chunks as a table of files in the checkpoint folder, laid out by chunk: what is asked about a chunk comes to it, it never moves itself."""
+
+    def __init__(self, rows: DataFrame):
+        self.spark = rows.sparkSession
+        self.name = f"docloom_{uuid.uuid4().hex}"
+        self.path = f"{checkpoint_folder(self.spark)}/{self.name}"
+        files = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        rows.write.format("parquet").bucketBy(files, "chunk").option("path", self.path).saveAsTable(self.name)
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _score(words: int):
     """The lowest-scoring cut of a phrase, the first of equals; numbers of up to 38 digits, so that products are exact."""
     wide = lambda x: f"CAST({x} AS DECIMAL(38,0))"
@@ -282,14 +307,14 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_co
     rows, give none; other columns, whatever their names, are not looked at. A text must fit a task.
     """
     kinds = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    chunks = cut(kinds.mapInArrow(_chunks, CHUNKS))
-    size = chunks.groupBy("lang").agg(F.sum("n").alias("n"))
+    laid = _Laid(kinds.mapInArrow(_chunks, CHUNKS))
+    size = cut(laid.rows().groupBy("lang").agg(F.sum("n").alias("n")))
     beside = F.broadcast(size) if size.limit(LANGUAGES + 1).count() <= LANGUAGES else size
-    words = chunks.agg(F.sum("n")).first()[0] or 0
+    words = size.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, words // BUCKET // 4)
     tables: list[DataFrame] = []
     for k in range(1, max_words + 1):
-        named = cut(_asks(chunks, k, buckets).groupBy("bucket").applyInArrow(_name(k, buckets, min_count), NAMED))
+        named = cut(_asks(laid.rows(), k, buckets).groupBy("bucket").applyInArrow(_name(k, buckets, min_count), NAMED))
         rows = named.where(F.col("chunk").isNull()).select("lang", F.explode(F.arrays_zip("ids", "a", *(["word"] if k == 1 else ["left", "right"]))).alias("x"))
         if k == 1:
             t = rows.select("lang", F.col("x.ids").alias("id"), F.col("x.a").alias("a"), F.col("x.word").alias("phrase"), F.col("x.word").alias("last"), F.array("x.a").alias("pre"), F.array("x.a").alias("suf"))
@@ -302,7 +327,9 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_co
         tables.append(cut(t))
         if k < max_words:
             answers = named.where(F.col("chunk").isNotNull()).select(F.col("chunk").alias("of"), "bucket", "at", "ids")
-            chunks = cut(answers.groupBy("of").cogroup(chunks.groupBy("chunk")).applyInArrow(_replace(k, buckets), CHUNKS))
+            old, laid = laid, _Laid(answers.groupBy("of").cogroup(laid.rows().groupBy("chunk")).applyInArrow(_replace(k, buckets), CHUNKS))
+            old.drop()
+    laid.drop()
     found = []
     for k, t in enumerate(tables[1:], 2):
         if k < max_words:
