@@ -58,16 +58,12 @@ def symbols_for(n: int) -> int:
     return int(np.clip(side * side, LEAST_SYMBOLS, MOST_SYMBOLS))
 
 
-def _add(n: int, rows: np.ndarray, x: np.ndarray, ordered: bool = False) -> np.ndarray:
-    """The sums of ``x`` by its row numbers, which may come in order already."""
-    if not ordered:
-        order = np.argsort(rows, kind="stable")
-        rows, x = rows[order], x[order]
-    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, np.int64)
-    out = np.zeros((n, *x.shape[1:]), x.dtype)
-    if len(first):
-        out[rows[first]] = np.add.reduceat(x, first, axis=0)
-    return out
+def _add(n: int, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The sums of the rows of ``x`` by their numbers ``rows``, added place by place."""
+    width = x.shape[1]
+    out = np.zeros(n * width, x.dtype)
+    np.add.at(out, (rows[:, None] * width + np.arange(width)).ravel(), x.ravel())
+    return out.reshape(n, width)
 
 
 class Network:
@@ -132,18 +128,23 @@ class Network:
             guess += (self.context @ self.far)[far]
             # classes
             draws = rng.choice(side, NOISE, p=self.class_noise)
-            hit = weight * tell((guess * self.classes[own]).sum(1) + self.class_bias[own] - class_log[own])
+            kind = self.classes[own]
+            hit = weight * tell(np.einsum("ij,ij->i", guess, kind) + self.class_bias[own] - class_log[own])
             miss = -(RATIO / NOISE) * weight[:, None] * tell(-(guess @ self.classes[draws].T + self.class_bias[draws] - class_log[draws]))
-            toward = hit[:, None] * self.classes[own] + miss @ self.classes[draws]
-            classes, class_bias = _add(side, own, hit[:, None] * guess, True), np.bincount(own, hit, side)
+            toward = miss @ self.classes[draws]
+            kind *= hit[:, None]
+            toward += kind
+            classes, class_bias = _add(side, own, hit[:, None] * guess), np.bincount(own, hit, side)
             np.add.at(classes, draws, miss.T @ guess)
             np.add.at(class_bias, draws, miss.sum(0))
             # symbols of each class; events come sorted by symbol and so by class
             here, first = np.unique(own, return_index=True)
             picks = np.stack([np.searchsorted(inner[c], rng.random(CLASS_NOISE) * inner[c, -1]) for c in here]).clip(0, k // side - 1) + here[:, None] * (k // side)
-            hit = weight * tell((guess * self.target[w]).sum(1) + self.bias[w] - log[w])
-            toward += hit[:, None] * self.target[w]
-            target, bias = _add(k, w, hit[:, None] * guess, True), np.bincount(w, hit, k)
+            kind = self.target[w]
+            hit = weight * tell(np.einsum("ij,ij->i", guess, kind) + self.bias[w] - log[w])
+            kind *= hit[:, None]
+            toward += kind
+            target, bias = _add(k, w, hit[:, None] * guess), np.bincount(w, hit, k)
             ends = np.r_[first[1:], len(w)]
             for c in range(len(here)):
                 a, b, p = first[c], ends[c], picks[c]
@@ -164,14 +165,19 @@ class Network:
         k, side = len(self.bias), self.side
         size, out = k // side, np.empty(len(w))
         before, earlier = self.context @ self.near, self.context @ self.far
-
-        def norm(s: np.ndarray) -> np.ndarray:
-            """The log of the sum of the exponentials of each row of ``s``, which is used up."""
-            top = s.max(1, keepdims=True)
-            if top.max(initial=0) < 60 and top.min(initial=0) > -60:
-                return np.log(np.exp(s, out=s).sum(1))
-            s -= top
-            return np.log(np.exp(s, out=s).sum(1)) + top[:, 0]
+        ones, dot = np.ones(size, np.float32), "ij,ij->i"
+
+        def less_norms(value: np.ndarray, guess: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> None:
+            """Takes the log of the sum of the exponentials of each row's scores from ``value``, a few rows at a time."""
+            for i in range(0, len(value), 1 << 11):
+                s = guess[i : i + (1 << 11)] @ vectors.T
+                s += bias
+                top = 0.0
+                if s.max() > 60 or s.min() < -60:
+                    top = s.max(1, keepdims=True)
+                    s -= top
+                    top = top[:, 0]
+                value[i : i + (1 << 11)] -= np.log(np.exp(s, out=s) @ ones) + top
 
         for at in range(0, len(w), 1 << 16):
             x = w[at : at + (1 << 16)]
@@ -179,12 +185,12 @@ class Network:
             x, own = x[by], x[by] // size
             guess = before[near[at : at + (1 << 16)][by]]
             guess += earlier[far[at : at + (1 << 16)][by]]
-            s = guess @ self.classes.T + self.class_bias
-            value = s[np.arange(len(x)), own] + np.einsum("ij,ij->i", guess, self.target[x]) + self.bias[x]
-            value -= norm(s)
+            value = np.einsum(dot, guess, self.classes[own]).astype(np.float64) + self.class_bias[own]
+            value += np.einsum(dot, guess, self.target[x]) + self.bias[x]
+            less_norms(value, guess, self.classes, self.class_bias)
             here, first = np.unique(own, return_index=True)
             for c, a, b in zip(here, first, np.r_[first[1:], len(x)], strict=True):
-                value[a:b] -= norm(guess[a:b] @ self.target[c * size : (c + 1) * size].T + self.bias[c * size : (c + 1) * size])
+                less_norms(value[a:b], guess[a:b], self.target[c * size : (c + 1) * size], self.bias[c * size : (c + 1) * size])
             out[at : at + (1 << 16)][by] = value
         return out / math.log(10)
 
