@@ -435,12 +435,14 @@ def _apart(sets: DataFrame, similarity: float, bits: int) -> DataFrame:
 
     first = cut(sets.select("node", "hashes", "fp", "root").mapInArrow(heads, "node long, fp long, root long, n long, i long, h long"))
     most = first.groupBy("h", "root").agg(F.count("*").alias("many")).groupBy("h").agg(F.max_by("root", F.struct("many", "root")).alias("most"), F.count("*").alias("roots"))
-    asks = cut(first.join(cut(most.where("roots > 1")), "h").where(F.col("root") != F.col("most")).select(*[F.col(c).alias(f"{c}_") for c in first.columns]))
+    met = cut(first.join(cut(most.where("roots > 1")).select("h", "most"), "h").select(*first.columns, (F.col("root") != F.col("most")).alias("asks")))
+    asks = met.where("asks").select(*[F.col(c).alias(f"{c}_") for c in first.columns])
     fits = F.least("n", "n_") >= similarity * F.greatest("n", "n_") - 1e-9
     left = F.least(F.col("n") - F.col("i"), F.col("n_") - F.col("i_"))
     enough = left >= similarity / (1 + similarity) * (F.col("n") + F.col("n_")) - 1e-6
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_"))) <= bits
-    pairs = asks.join(first, (F.col("h_") == F.col("h")) & (F.col("root_") != F.col("root")) & fits & enough & near)
+    once = ~F.col("asks") | (F.col("node_") < F.col("node"))  # of two that ask for each other
+    pairs = asks.join(met, (F.col("h_") == F.col("h")) & (F.col("root_") != F.col("root")) & once & fits & enough & near)
     return pairs.select(F.least("node", "node_").alias("u"), F.greatest("node", "node_").alias("v")).distinct()
 
 
