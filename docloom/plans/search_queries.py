@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.chunking import jaccard
 from ..functions.text import STOPS, preprocess, words
-from ..operators import cdc, context, dedup, fusion, lexical, vector
-from ..operators.cut import cut
+from ..operators import cdc, context, dedup, fusion, impact, lexical, vector
+from ..operators.cut import cut, shared_folder
 from . import search
 from .suite import query, table
 
@@ -51,6 +51,22 @@ def l08(spark, d):
     return search.lexical_search(table(spark, d, "documents"), _queries(spark, d), search.SearchConfig(top_k=15, delta=0.5)).select("query_id", "id", "score", "rank")
 
 
+def _by_impact(spark, d, delta):
+    index = impact.build(table(spark, d, "documents"), shared_folder(spark, "impact"), order=[F.col("lang"), F.char_length("text")], delta=delta)
+    asked = _queries(spark, d).select("query_id", lexical.tokenize(F.col("text")).alias("ts"))
+    return impact.search(index, asked, 15)
+
+
+@query("l07_impact", f"WITH {bm25_sql(0)} SELECT query_id, id, score, rank::INT AS rank FROM lex WHERE rank <= 15")
+def l07_impact(spark, d):
+    return _by_impact(spark, d, 0.0)[0].select("query_id", "id", "score", "rank")
+
+
+@query("l08_impact", f"WITH {bm25_sql(0.5)} SELECT query_id, id, score, rank::INT AS rank FROM lex WHERE rank <= 15")
+def l08_impact(spark, d):
+    return _by_impact(spark, d, 0.5)[0].select("query_id", "id", "score", "rank")
+
+
 @query("l09_matched_terms", f"WITH {bm25_sql(0)} SELECT query_id, id, matched FROM lex WHERE rank <= 5")
 def l09(spark, d):
     return _show(search.lexical_search(table(spark, d, "documents"), _queries(spark, d), search.SearchConfig(top_k=5), matched=True)).select("query_id", "id", "matched")
