@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import privacy, text
+from ..operators import languages
 from .suite import query, table
 
 W = r"[\p{L}\p{N}_]+"
@@ -82,6 +83,19 @@ def f08(spark, d):
     return table(spark, d, "documents").select("doc_id", text.detect_language(F.col("text")).alias("language"))
 
 
+@query("f08_profiles", f"""WITH t AS (SELECT doc_id, lang, regexp_replace(' ' || lower(coalesce(text, '')) || ' ', '[^\\p{{L}}]+', ' ', 'g') AS x FROM documents),
+g AS (SELECT doc_id, lang, x[i : i + 2] AS gram, count(*) AS k FROM (SELECT doc_id, lang, x, unnest(range(1, length(x) - 1)) AS i FROM t) GROUP BY ALL),
+c AS (SELECT lang, gram, sum(k) AS n FROM g WHERE lang IS NOT NULL GROUP BY ALL),
+s AS (SELECT lang, sum(n) AS total FROM c GROUP BY ALL), v AS (SELECT count(DISTINCT gram) AS v FROM c),
+d AS (SELECT doc_id, gram, k FROM g),
+l AS (SELECT doc_id, s.lang, sum(k * (ln(coalesce(n, 0) + {languages.PRIOR}) - ln(total + {languages.PRIOR} * v))) AS score FROM d CROSS JOIN s CROSS JOIN v LEFT JOIN c ON c.lang = s.lang AND c.gram = d.gram GROUP BY ALL)
+SELECT t.doc_id, arg_max(l.lang, score) AS language FROM t LEFT JOIN l USING (doc_id) GROUP BY ALL""")
+def f08_profiles(spark, d):
+    """Profiles of all languages of the documents, and the language of each document by them."""
+    docs = table(spark, d, "documents")
+    return languages.identify(docs, languages.fit(docs)).select("doc_id", "language")
+
+
 @query("f09_extension", """
 SELECT page_id, CASE lower(regexp_extract(url, '\\.([^.]*)$', 1)) WHEN 'yml' THEN 'yaml' ELSE lower(regexp_extract(url, '\\.([^.]*)$', 1)) END AS ext FROM pages""")
 def f09(spark, d):
