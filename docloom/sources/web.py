@@ -74,6 +74,11 @@ def _lines(reader: _Reader) -> str:
     return "\n".join(x for x in (" ".join(line.split()) for line in "".join(reader.out).split("\n")) if x)
 
 
+def plain(html: str | None) -> str:
+    """The text of one page or part of one, a line for each block."""
+    return _lines(_read(html))
+
+
 @F.pandas_udf(StringType())
 def markdown(html: pd.Series) -> pd.Series:
     """The page as markdown: headers and list items marked, other blocks as lines."""
