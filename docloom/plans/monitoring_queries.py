@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import json_path
+from ..operators import figures
 from ..operators import monitoring as m
 from .suite import query, table
 
@@ -60,6 +61,24 @@ def g01(spark, d):
     return m.metrics(query_log(spark, d), NOW, 168)
 
 
+@query("g01_merged_hours", f"""WITH {LOG}, w AS (SELECT * FROM log WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-24 00:00:00')
+SELECT count(*) AS total_queries, coalesce(count(*) FILTER (WHERE success) / nullif(count(*), 0)::DOUBLE, 0) AS success_rate, coalesce(round_even(avg(ms) FILTER (WHERE ms > 0), 0), 0)::BIGINT AS avg_latency_ms,
+ coalesce(count(*) FILTER (WHERE feedback = 'negative') / nullif(count(feedback), 0)::DOUBLE, 0) AS negative_feedback_rate, TRUE AS p95_close, TRUE AS users_close FROM w""")
+def g01_merged(spark, d):
+    """Two weeks from hourly summaries; the sketches' figures are held against the log: the rank of the percentile within 0.02, users within 6 %."""
+    log = query_log(spark, d)
+    start, end = "2024-01-10", "2024-01-24"
+    got = figures.metrics(figures.summaries(log), start, end)
+    inside = log.where((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") < F.lit(end).cast("timestamp_ntz")))
+    lat = F.col("total_latency_ms")
+    held = inside.crossJoin(F.broadcast(got)).agg(
+        (F.count_if((lat > 0) & (lat <= F.col("p95_latency_ms"))) / F.count_if(lat > 0)).alias("below"), (F.count_if((lat > 0) & (lat < F.col("p95_latency_ms"))) / F.count_if(lat > 0)).alias("under"), F.count_distinct("user_id").alias("distinct")
+    )
+    close = (F.col("below") > 0.93) & (F.col("under") < 0.97)
+    out = got.crossJoin(F.broadcast(held)).withColumn("p95_close", close).withColumn("users_close", F.abs(F.col("users") - F.col("distinct")) <= 0.06 * F.col("distinct") + 1)
+    return out.select("total_queries", "success_rate", "avg_latency_ms", "negative_feedback_rate", "p95_close", "users_close")
+
+
 @query("g02_activity", f"""WITH {LOG}, days AS (SELECT unnest(generate_series(DATE '2024-01-18', DATE '2024-01-31', INTERVAL 1 DAY))::DATE AS day),
 c AS (SELECT ts::DATE AS day, count(*) AS total, count(*) FILTER (WHERE intent IN ('question', 'clarification') OR needs_rag) AS rag FROM log WHERE ts >= {_AT} - INTERVAL 14 DAY GROUP BY 1)
 SELECT strftime(days.day, '%Y-%m-%d') AS day, coalesce(total, 0) AS total, coalesce(rag, 0) AS rag, coalesce(total, 0) - coalesce(rag, 0) AS non_rag FROM days LEFT JOIN c ON days.day = c.day""")
