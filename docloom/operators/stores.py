@@ -22,21 +22,33 @@ def versions(spark: SparkSession, path: str) -> list[str]:
     return sorted((n for n in names if re.fullmatch(r"v\d+", n)), key=lambda n: int(n[1:]))
 
 
-def current(spark: SparkSession, path: str) -> str | None:
-    """The version that the pointer names."""
+def _pointers(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, version) of the pointers below ``path``, which are the names of empty files."""
     fs, p = _fs(spark, f"{path}/current")
-    return spark.read.text(f"{path}/current").first()[0] if fs.exists(p) else None
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted((int(m[1]), m[2]) for n in names if (m := re.fullmatch(r"(\d+)-(v\d+)", n)))
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The version that the last pointer names."""
+    found = _pointers(spark, path)
+    return found[-1][1] if found else None
 
 
 def point(spark: SparkSession, path: str, version: str) -> None:
-    """Makes ``version`` the current one: a snapshot is restored by pointing back to it."""
+    """Makes ``version`` the current one: a snapshot is restored by pointing back to it.
+
+    A pointer is a new file, so that a reader always finds one. Two writers that point at once both stay; the greater version counts.
+    """
     if version not in versions(spark, path):
         raise ValueError(f"no such version: {version}")
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
+    found = _pointers(spark, path)
+    fs, p = _fs(spark, f"{path}/current/{found[-1][0] + 1 if found else 1:012d}-{version}")
+    fs.createNewFile(p)
 
 
 def commit(rows: DataFrame, path: str) -> str:
-    """Writes ``rows`` as the next version, never over an old one, and points to it."""
+    """Writes ``rows`` as the next version, never over an old one, and points to it; a number that another writer takes meanwhile is an error."""
     spark = rows.sparkSession
     known = versions(spark, path)
     version = f"v{int(known[-1][1:]) + 1 if known else 1}"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chunking import jaccard
 from ..functions.text import STOPS, preprocess, words
-from ..operators import cdc, context, dedup, fusion, impact, lexical, vector
+from ..operators import cdc, context, dedup, fusion, impact, lexical, positions, vector
 from ..operators.cut import cut, shared_folder
 from . import search
 from .suite import query, table
@@ -133,11 +133,27 @@ def l12(spark, d):
     return hits.withColumn("has_more", F.lit(20) < total).where("rank > 10").select("query_id", "id", "score", "rank", "has_more")
 
 
-@query("f18_highlights")
+@query("f18_highlights", f"""WITH {bm25_sql(0)}, h AS (SELECT query_id, id FROM lex WHERE rank <= 3),
+x AS (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS ps FROM documents WHERE doc_id IN (SELECT id FROM h)),
+e AS (SELECT doc_id, unnest(ps) AS piece, unnest(range(len(ps))) AS i FROM x),
+w AS (SELECT doc_id, piece, (sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(piece))::INT AS start FROM e),
+m AS (SELECT DISTINCT h.query_id, h.id, q.term FROM h JOIN qs q USING (query_id) JOIN post p ON p.doc_id = h.id AND p.term = q.term)
+SELECT query_id, id, start, (start + length(piece))::INT AS "end", min(term) AS term FROM m JOIN w ON w.doc_id = m.id AND starts_with(lower(piece), term) GROUP BY query_id, id, start, piece""")
 def f18(spark, d):
-    hits = search.lexical_search(table(spark, d, "documents"), _queries(spark, d), search.SearchConfig(top_k=3), matched=True)
-    rows = hits.join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
-    return rows.select("query_id", "id", F.explode(lexical.highlights(F.col("text"), F.transform("matched", lambda m: m["term"]))).alias("h")).select("query_id", "id", "h.*")
+    docs = table(spark, d, "documents")
+    hits = search.lexical_search(docs, _queries(spark, d), search.SearchConfig(top_k=3), matched=True)
+    asked = hits.select("query_id", "id", F.transform("matched", lambda m: m["term"]).alias("terms"))
+    return positions.highlights(positions.positions(docs), asked)
+
+
+@query("f18_phrases", f"""WITH q AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '{W}')[1:3] AS ws FROM benchmark),
+w AS (SELECT doc_id, regexp_extract_all(lower(text), '{W}') AS ws FROM documents),
+g AS (SELECT doc_id, i - 1 AS word, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM (SELECT doc_id, unnest(ws) AS a, unnest(range(1, len(ws) + 1)) AS i FROM w) WINDOW o AS (PARTITION BY doc_id ORDER BY i))
+SELECT query_id, doc_id AS id, word::INT AS word FROM q JOIN g ON len(q.ws) = 3 AND g.a = q.ws[1] AND g.b = q.ws[2] AND g.c = q.ws[3]""")
+def f18_phrases(spark, d):
+    """Where the first three words of each benchmark text stand in the documents."""
+    asked = _queries(spark, d).select("query_id", F.slice(words(F.col("text")), 1, 3).alias("words")).where(F.size("words") == 3)
+    return positions.phrases(positions.positions(table(spark, d, "documents")), asked).select("query_id", "id", "word")
 
 
 # vectors: queries are the rows whose id is divisible by 100, points are all rows
@@ -181,7 +197,7 @@ def e06(spark, d):
     return p.join(first, "label").select("vec_id", F.round(vector.cosine(F.col("embedding"), F.col("c")), 6).alias("cos"))
 
 
-@query("e02_normalize", """SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) / list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS norm,
+@query("e02_normalize", """SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: (x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) ** 2))), 6) AS norm,
  round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first FROM embeddings""")
 def e02(spark, d):
     v = vector.l2_normalize(F.col("embedding"))

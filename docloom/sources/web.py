@@ -163,6 +163,6 @@ def crawl(pages: DataFrame, start: DataFrame, depth: int = 1, same_domain: bool
         frontier = out.select("url").distinct().join(pages.select("url"), "url", "left_semi").join(known.select("url"), "url", "left_anti").withColumn("depth", F.lit(k))
         frontier = cut(frontier)
         known = known.unionByName(frontier)
-        if not frontier.head(1):
+        if not frontier.head(1) or max_pages and known.count() >= max_pages:
             break
     return known.orderBy("depth", "url").limit(max_pages) if max_pages else known
