@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -186,10 +189,26 @@ def pdf_date(text: Column) -> Column:
     return F.when(digits != "", F.date_format(F.try_to_timestamp(digits, F.lit("yyyyMMdd")), "yyyy-MM-dd")).otherwise(F.nullif(F.trim(text), F.lit("")))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _most_frequent(found: pd.Series, most: pd.Series) -> pd.Series:
-    # Counter keeps words in the order of their first place, and most_common keeps that order among equals
-    return pd.Series([[w for w, _ in Counter(ws).most_common(n)] if ws is not None else None for ws, n in zip(found, most, strict=True)])
+@F.arrow_udf(ArrayType(StringType()))
+def _most_frequent(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for found, most in batches:
+        done = []
+        for at in range(0, len(found), 1000):
+            rows = found.slice(at, 1000)
+            size = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = rows.flatten().dictionary_encode()
+            width = max(1, len(words.dictionary))
+            row = np.repeat(np.arange(len(rows)), size)
+            pairs, first, n = np.unique(row * width + words.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_index=True, return_counts=True)
+            of = pairs // width
+            order = np.lexsort((first, -n, of))  # equals stay in the order of their first places
+            begin = np.searchsorted(of, np.arange(len(rows) + 1))
+            rank = np.arange(len(of)) - begin[of[order]]
+            keep = order[rank < most.slice(at, 1000).to_numpy(zero_copy_only=False)[of[order]]]
+            ends = np.searchsorted(of[keep], np.arange(len(rows) + 1))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words.dictionary.take(pa.array(pairs[keep] % width)))
+            done.append(pc.if_else(rows.is_valid(), lists, pa.nulls(len(rows), lists.type)))
+        yield pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.string()))
 
 
 def keywords(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 8) -> DataFrame:

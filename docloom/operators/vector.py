@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -39,34 +39,42 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors of different dimensions")).cast("double")).otherwise(value)
 
 
-#: Words whose places a worker remembers; the memory starts anew when it is full.
-REMEMBERED = 200_000
+#: Words whose places a worker remembers, until the memory is full; rows that are laid out at once.
+REMEMBERED, ROWS = 200_000, 1000
 
 
 def hashed_vector(tokens: Column, dimensions: int) -> Column:
-    """Each word's share of ``tokens`` at two places that its sha256 names, with signs; the second half as much. Nothing is shuffled."""
+    """Each word's share of ``tokens`` at two places that its sha256 names, with signs; the second half as much. Nothing is shuffled.
 
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def lay(rows: pd.Series) -> pd.Series:
+    A batch's words are numbered once, each different one is hashed at most once by a worker, and places are added up as numbers.
+    """
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def lay(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, tuple[int, float, int, float]] = {}
 
         def places(word: str) -> tuple[int, float, int, float]:
-            if len(known) >= REMEMBERED:
-                known.clear()
-            h = sha256(word.encode("utf-8", "surrogatepass")).hexdigest()
-            sign = lambda at: 1.0 if int(h[at : at + 2], 16) % 2 == 0 else -1.0
-            known[word] = found = (int(h[:16], 16) % dimensions, sign(16), int(h[18:34], 16) % dimensions, 0.5 * sign(34))
-            return found
-
-        def one(ws) -> np.ndarray:
-            out = np.zeros(dimensions)
-            for w, n in Counter(ws if ws is not None else ()).items():
-                i, a, j, b = known.get(w) or places(w)
-                out[i] += a * n / len(ws)
-                out[j] += b * n / len(ws)
-            return out
-
-        return rows.map(one)
+            if word not in known:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                h = sha256(word.encode("utf-8", "surrogatepass")).hexdigest()
+                sign = lambda at: 1.0 if int(h[at : at + 2], 16) % 2 == 0 else -1.0
+                known[word] = (int(h[:16], 16) % dimensions, sign(16), int(h[18:34], 16) % dimensions, 0.5 * sign(34))
+            return known[word]
+
+        for batch in batches:
+            done = []
+            for rows in (batch.slice(i, ROWS) for i in range(0, len(batch), ROWS)):
+                size = rows.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                words = rows.flatten().dictionary_encode()
+                i, a, j, b = (np.array(x) for x in zip(*map(places, words.dictionary.to_pylist()), strict=True)) if len(words) else (np.zeros(0, np.int64),) * 4
+                code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                pairs, n = np.unique(np.repeat(np.arange(len(rows)), size) * max(1, len(i)) + code, return_counts=True)
+                row, code = np.divmod(pairs, max(1, len(i)))
+                share = n / size[row]
+                out = np.bincount(row * dimensions + i[code], a[code] * share, len(rows) * dimensions) + np.bincount(row * dimensions + j[code], b[code] * share, len(rows) * dimensions)
+                done.append(pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * dimensions, pa.int32()), pa.array(out)))
+            yield pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.float64()))
 
     return lay(F.coalesce(tokens, F.array().cast("array<string>")))
 
