@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.cut import shared_folder
@@ -46,10 +47,20 @@ def s21_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(web.links(F.col("url"), F.col("html"))).alias("link"))
 
 
-@query("s03_crawl", "SELECT DISTINCT url, 0 AS depth FROM pages")  # all pages are where the crawl starts
+@query("s03_crawl", r"""WITH RECURSIVE p AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages),
+n AS (SELECT host, 'http://' || host || '/' || page_id AS url, lead('http://' || host || '/' || page_id, 1) OVER w AS one, lead('http://' || host || '/' || page_id, 3) OVER w AS three, row_number() OVER w AS i FROM p WINDOW w AS (PARTITION BY host ORDER BY page_id)),
+l AS (SELECT url AS base, one AS url FROM n WHERE one NOT LIKE '%7' UNION ALL SELECT url, three FROM n WHERE three NOT LIKE '%7'),
+c AS (SELECT url, 0 AS depth FROM n WHERE i = 1 UNION SELECT l.url, c.depth + 1 FROM c JOIN l ON l.base = c.url WHERE c.depth < 3)
+SELECT url, min(depth)::INT AS depth FROM c GROUP BY 1""")
 def s03(spark, d):
-    pages = table(spark, d, "pages").select("url", "html")
-    return web.crawl(pages, pages.select("url"), depth=2)
+    """A network over the hosts of the pages, each page linked to the next and the third after it; from the first of every host, addresses that end in 7 are not entered."""
+    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
+    own = F.concat(F.lit("http://"), F.col("host"), F.lit("/"), F.col("page_id"))
+    along = Window.partitionBy("host").orderBy("page_id")
+    pages = table(spark, d, "pages").select("page_id", host.alias("host")).withColumn("url", own)
+    tags = [F.concat(F.lit('<p><a href="'), F.lead("url", k).over(along), F.lit(f'#part{k}">next</a></p>')) for k in (1, 3)]
+    pages = pages.select("url", F.concat_ws("", *tags).alias("html"), F.row_number().over(along).alias("i"))
+    return web.crawl(pages.select("url", "html"), pages.where("i = 1").select("url"), depth=3, exclude=("*7",))
 
 
 @query("g10_source_stats", """SELECT source AS ext, count(*) AS files, round_even(sum(n_chars) / 1048576.0::DOUBLE, 2) AS size_mb, FALSE AS supported FROM documents GROUP BY 1""")
