@@ -29,6 +29,8 @@ LINK, HUB = 0, 1
 SET_WORDS, SIMILARITY, SET_BITS = 5, 0.8, 13
 #: Fingerprints that a bucket of sampled bits has on average, and the part of pairs at SET_BITS that may share no bucket.
 SAMPLED, MISSED = 256, 0.02
+#: Hashes before one in a set's order that tell whether two sets share an earlier one.
+BEFORE = 8
 #: Counters of how often shingles of dense groups come; a power of two.
 SLOTS = 1 << 16
 
@@ -420,20 +422,21 @@ def _apart(sets: DataFrame, similarity: float, bits: int) -> DataFrame:
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, fp, root = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for k, hashes in enumerate(batch.column(1)):
                 hs = hashes.values.to_numpy(zero_copy_only=False)
                 n = len(hs)
                 count = often.value[hs & (SLOTS - 1)]
                 order = np.lexsort((hs, count))[: n - math.ceil(similarity * n - 1e-9) + 1]
                 shared = np.flatnonzero(count[order] > 1)
-                for column, x in zip(out, (np.full(len(shared), k), np.full(len(shared), n), shared, hs[order[shared]]), strict=True):
+                earlier = shared[:, None] - np.arange(BEFORE, 0, -1)
+                for column, x in zip(out, (np.full(len(shared), k), np.full(len(shared), n), shared, hs[order[shared]], np.minimum(shared, BEFORE), hs[order[earlier[earlier >= 0]]]), strict=True):
                     column.append(x)
-            row, n, i, h = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+            row, n, i, h, size, before = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
             row = row.astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(node[row]), pa.array(fp[row]), pa.array(root[row]), pa.array(n.astype(np.int64)), pa.array(i.astype(np.int64)), pa.array(h.astype(np.int64))], names=["node", "fp", "root", "n", "i", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[row]), pa.array(fp[row]), pa.array(root[row]), pa.array(n.astype(np.int64)), pa.array(i.astype(np.int64)), pa.array(h.astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(before.astype(np.int64)))], names=["node", "fp", "root", "n", "i", "h", "before"])
 
-    first = cut(sets.select("node", "hashes", "fp", "root").mapInArrow(heads, "node long, fp long, root long, n long, i long, h long"))
+    first = cut(sets.select("node", "hashes", "fp", "root").mapInArrow(heads, "node long, fp long, root long, n long, i long, h long, before array<long>"))
     most = first.groupBy("h", "root").agg(F.count("*").alias("many")).groupBy("h").agg(F.max_by("root", F.struct("many", "root")).alias("most"), F.count("*").alias("roots"))
     met = cut(first.join(cut(most.where("roots > 1")).select("h", "most"), "h").select(*first.columns, (F.col("root") != F.col("most")).alias("asks")))
     asks = met.where("asks").select(*[F.col(c).alias(f"{c}_") for c in first.columns])
@@ -442,7 +445,8 @@ def _apart(sets: DataFrame, similarity: float, bits: int) -> DataFrame:
     enough = left >= similarity / (1 + similarity) * (F.col("n") + F.col("n_")) - 1e-6
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_"))) <= bits
     once = ~F.col("asks") | (F.col("node_") < F.col("node"))  # of two that ask for each other
-    pairs = asks.join(met, (F.col("h_") == F.col("h")) & (F.col("root_") != F.col("root")) & once & fits & enough & near)
+    known = F.arrays_overlap("before", "before_")  # the two have met at an earlier hash
+    pairs = asks.join(met, (F.col("h_") == F.col("h")) & (F.col("root_") != F.col("root")) & once & fits & enough & near & ~known)
     return pairs.select(F.least("node", "node_").alias("u"), F.greatest("node", "node_").alias("v")).distinct()
 
 
