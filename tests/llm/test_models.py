@@ -271,6 +271,76 @@ def test_tables_do_not_grow_with_words(monkeypatch):
     assert len(t.automaton.next) == nodes and len(t.known) <= 100 and len(t.automaton.arcs) <= 1100 and len(t.automaton.fallen) <= 1100
 
 
+def test_remembered_words_take_few_bytes():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    with open(bpe.vocabulary(), encoding="utf-8") as f:
+        t = bpe.Tokenizer(f.read())
+    rnd = random.Random(3)
+    texts = [" ".join("".join(rnd.choices("etaoinshrdlu", k=9)) for _ in range(10_000)) for _ in range(5)]
+    t.encode(texts[0])
+    tracemalloc.start()
+    try:
+        held = pa.total_allocated_bytes()
+        for text in texts[1:]:
+            t.encode(text)
+        grown = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - held
+    finally:
+        tracemalloc.stop()
+    assert len(t.known) > 45_000 and grown < 100 * 40_000  # of 40,000 words; objects of Python took over 300 bytes each
+
+
+def test_words_go_through_the_automaton_together():
+    import sys
+
+    with open(bpe.vocabulary(), encoding="utf-8") as f:
+        t = bpe.Tokenizer(f.read())
+    rnd = random.Random(4)
+    text, calls = " ".join("".join(rnd.choices("etaoinshrdlu", k=rnd.randint(1, 12))) for _ in range(20_000)), 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        ids = t.encode(text)
+    finally:
+        sys.setprofile(None)
+    assert len(ids) > 20_000 and calls < 5_000
+
+
+def test_split_equals_the_pattern():
+    with open(bpe.vocabulary(), encoding="utf-8") as f:
+        file = f.read()
+    own, plain = bpe.Tokenizer(file), bpe.Tokenizer(file)
+    plain.kinds = None  # as for a file with another pattern
+    rnd = random.Random(6)
+    pool = [*"''stmd'relv' 0a\n\t.,<é中３½", "\u0130", "\u0300", "\u3000", "\u2028", "\x85", "\x1c", "\U0001F600", "\ud800", "<|endoftext|>", "\x00", "Σ"]
+    texts = ["", "'", "'s", "''s", "'re", "'r", "'ll'", "a'sb", "'st", "x'", "'dd", "<|endoftext|>", "a<|endoftext|>'s", *("".join(rnd.choices(pool, k=rnd.randint(0, 30))) for _ in range(4000))]
+    flat, ends = own.encode_all(texts)
+    other, stops = plain.encode_all(texts)
+    assert flat.to_pylist() == other.to_pylist() and ends.tolist() == stops.tolist()
+    for ascii_only in ([x for x in texts if x.isascii()], [], [""]):
+        (flat, ends), (other, stops) = own.encode_all(ascii_only), plain.encode_all(ascii_only)
+        assert flat.to_pylist() == other.to_pylist() and ends.tolist() == stops.tolist()
+
+
+def test_long_words_equal_short_ones(monkeypatch):
+    with open(bpe.vocabulary(), encoding="utf-8") as f:
+        a = bpe.Tokenizer(f.read()).automaton
+    rnd = random.Random(7)
+    words = ["".join(rnd.choices("etaoinshrdlué中=", k=rnd.randint(1, 400))).encode() for _ in range(60)]
+    mixed = a.run_all(np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)]))
+    for long in (0, 10_000):
+        monkeypatch.setattr(bpe, "LONG", long)
+        flat, stops = a.run_all(np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)]))
+        assert flat.tolist() == mixed[0].tolist() and stops.tolist() == mixed[1].tolist()
+    assert a.run(b"").tolist() == [] and b"".join(words) and len(a.run("中".encode() * 100_000)) > 1000
+
+
 def test_added_tokens_of_any_form():
     with open(bpe.vocabulary(), encoding="utf-8") as f:
         t = bpe.Tokenizer(f.read())
