@@ -10,35 +10,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cut import cut
+
 _WORDS = re.compile(r"\w+")
 
 
-def positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", only: set[str] | None = None) -> DataFrame:
     """(term, id, words, starts, sizes): of each lower-case word of each document the numbers of its places among the words, their first
     characters, each as the step from the one before, and their lengths.
 
-    Made within each row; nothing is shuffled. A null or empty text has no words; rows that repeat an id have entries of their own.
+    Made within each row; nothing is shuffled. A null or empty text has no words; rows that repeat an id have entries of their own. Of
+    ``only``, a set of terms of checked size, no other entries are made.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(only) if only is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value if shared else None
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                rows, terms, columns, bounds = [], [], ([], [], []), [0]
-                for k, text in enumerate(part.column(1).to_pylist()):
-                    places: dict[str, list[tuple[int, int, int]]] = {}
-                    for n, m in enumerate(_WORDS.finditer(text or "")):
-                        places.setdefault(m[0].lower(), []).append((n, m.start(), m.end() - m.start()))
-                    for term, found in places.items():
-                        rows.append(k)
-                        terms.append(term)
-                        word, start, size = np.array(found, np.int32).T
-                        for column, x in zip(columns, (np.diff(word, prepend=0), np.diff(start, prepend=0), size), strict=True):
-                            column.append(x)
-                        bounds.append(bounds[-1] + len(found))
-                lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(c) if c else np.zeros(0, np.int32), pa.int32())) for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), part.column(0).take(pa.array(rows, pa.int64())), *lists], names=["term", "id", "words", "starts", "sizes"])
+                codes: dict[str, int] = {}
+                code, word, start, size, counts = [], [], [], [], []
+                for text in part.column(1).to_pylist():
+                    spans = [m.span() for m in _WORDS.finditer(text or "")]
+                    terms = [text[a:b].lower() for a, b in spans]
+                    held = range(len(terms)) if wanted is None else [n for n, t in enumerate(terms) if t in wanted]
+                    code += [codes.setdefault(terms[n], len(codes)) for n in held]
+                    word += held
+                    start += [spans[n][0] for n in held]
+                    size += [spans[n][1] - spans[n][0] for n in held]
+                    counts.append(len(held))
+                code, word, start, size = (np.array(x, np.int64) for x in (code, word, start, size))
+                row = np.repeat(np.arange(len(counts)), counts)
+                order = np.lexsort((code, row))
+                code, word, start, size, row = (x[order] for x in (code, word, start, size, row))
+                first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])]) if len(row) else np.zeros(0, np.int64)
+                bounds = pa.array(np.r_[first, len(row)], pa.int32())
+                steps = [np.diff(x, prepend=0) for x in (word, start)]
+                for step, x in zip(steps, (word, start), strict=True):
+                    step[first] = x[first]
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int32())) for x in (*steps, size)]
+                terms = pa.array(list(codes), pa.string()).take(pa.array(code[first]))
+                yield pa.RecordBatch.from_arrays([terms, part.column(0).take(pa.array(row[first])), *lists], names=["term", "id", "words", "starts", "sizes"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"term string, id {kind}, words array<int>, starts array<int>, sizes array<int>")
 
@@ -79,10 +93,29 @@ def highlights(index: DataFrame, asked: DataFrame, by: str = "query_id") -> Data
 def phrases(index: DataFrame, asked: DataFrame, by: str = "query_id") -> DataFrame:
     """(by, id, word, start, end) of every place where the words of ``asked`` (by, words array<string>) stand one after the other, any letter case.
 
-    The index is joined on words alone; places meet by document and by where the phrase would begin, so that a frequent word is dealt over
-    all tasks. An empty phrase is nowhere.
+    The index is joined on the words asked for alone. A phrase begins at the places of its rarest word; its other words are looked up only
+    in the documents of that one, and places meet by document and by where the phrase would begin, so that what is joined
+    grows with the rarest words and not with the frequent ones. An empty phrase is nowhere.
     """
     each = asked.select(by, F.posexplode(F.transform("words", lambda w: F.lower(w))).alias("_i", "term"), F.size("words").alias("_n"))
-    hits = _places(index.join(each, "term")).withColumn("_first", F.col("word") - F.col("_i"))
-    met = hits.groupBy(by, "id", "_first", "_n").agg(F.count_distinct("_i").alias("_met"), F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"))
+    held = cut(index.join(each.select("term").distinct(), "term", "left_semi"))
+    often = cut(held.groupBy("term").agg(F.sum(F.size("words")).alias("_places")))
+    each = cut(each.join(often, "term"))
+    rarest = each.groupBy(by).agg(F.min_by("_i", F.struct("_places", "_i")).alias("_rarest"))
+    each = each.join(rarest, by)
+    begun = _begins(held.join(each.where("_i = _rarest").select(by, "_i", "_n", "term"), "term"), by, "_n")
+    begun = cut(begun.where("_first >= 0"))
+    others = each.where("_i <> _rarest").select(by, "_i", F.col("term").alias("_term"))
+    sought = begun.select(by, F.col("id").alias("_id")).distinct().join(others, by)
+    looked = held.join(sought, (F.col("term") == F.col("_term")) & F.col("id").eqNullSafe(F.col("_id"))).drop("_term", "_id")
+    starts = begun.select(F.col(by).alias("_by"), F.col("id").alias("_id"), F.col("_first").alias("_at"), "_n").distinct()
+    same = (F.col(by) == F.col("_by")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("_first") == F.col("_at"))
+    met = _begins(looked, by).join(starts, same).drop("_by", "_id", "_at").unionByName(begun)
+    met = met.groupBy(by, "id", "_first", "_n").agg(F.count_distinct("_i").alias("_met"), F.min("start").alias("start"), F.max("end").alias("end"))
     return met.where(F.col("_met") == F.col("_n")).select(by, "id", F.col("_first").alias("word"), "start", "end")
+
+
+def _begins(rows: DataFrame, *more: str) -> DataFrame:
+    """A row for each place of ``rows`` with the place where the phrase would begin: ``more``, id, _i, _first, start, end."""
+    first, end = F.col("word") - F.col("_i"), F.col("start") + F.col("size")
+    return _places(rows).select(*more, "id", "_i", first.alias("_first"), "start", end.alias("end"))

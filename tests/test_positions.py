@@ -46,3 +46,15 @@ def test_a_reader_finds_a_version_at_any_moment(spark, tmp_path):
     assert stores.current(spark, path) == "v1" and stores.load(spark, path).count() == 3
     assert stores.commit(rows.limit(2), path) == "v3" and stores.load(spark, path).count() == 2
     assert len(list((tmp_path / "current").glob("0*"))) == 4  # none was written over
+
+
+def test_places_are_opened_by_the_rarest_word(spark, monkeypatch):
+    rows = [(i, "the the the the cat" if i == 7 else "the dog the dog the dog") for i in range(50)]
+    index = positions.positions(spark.createDataFrame(rows, "doc_id long, text string"), only={"the", "cat"})
+    assert {r.term for r in index.select("term").distinct().collect()} == {"the", "cat"}
+    opened, plain = [], positions._places
+    monkeypatch.setattr(positions, "_places", lambda rows: opened.append(plain(rows)) or opened[-1])
+    got = positions.phrases(index, spark.createDataFrame([(1, ["the", "cat"]), (2, ["the", "bird"])], "query_id int, words array<string>"))
+    assert [tuple(r) for r in got.collect()] == [(1, 7, 3, 12, 19)]
+    places = [x.where("query_id = 1").count() for x in opened]
+    assert sum(places) == 5  # the cat and four words before it, none of the other 147
