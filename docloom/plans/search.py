@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalized_score
 from ..operators import fusion, lexical, vector
+from ..operators.cut import cut
 
 
 @dataclass(frozen=True)
@@ -42,14 +43,19 @@ def lexical_search(docs: DataFrame, queries: DataFrame, c: SearchConfig, id_col:
     ``index`` is an inverted index with the corpus figures (see lexical.load); without one the texts are indexed for this search alone.
     """
     asked = queries.select("query_id", lexical.tokenize(F.col("text")).alias("ts"))
+    tokens, stored = lexical.tokenize(F.col(text_col)), index is not None
     if index is None:
-        tokens = lexical.tokenize(F.col(text_col))
         terms = [r[0] for r in asked.select(F.explode("ts")).distinct().limit(MOST_TERMS + 1).collect()]
         index = lexical.postings(docs, tokens, id_col, set(terms) if len(terms) <= MOST_TERMS else None), lexical.corpus(docs, tokens)
     found, stats = index
     allowed = docs.where(c.filters.predicate()).select(F.col(id_col).alias("id")) if c.filters != fusion.Filters() else None
     best = lexical.top(lexical.bm25(found, stats, asked, c.k1, c.b, c.delta, allowed), c.top_k, c.threshold)
-    return lexical.with_matched(best, found, asked) if matched else best
+    if not matched:
+        return best
+    best = cut(best)
+    if not stored:  # of the texts that were found alone
+        found = lexical.postings(docs.join(best.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi"), tokens, id_col)
+    return lexical.with_matched(best, found, asked)
 
 
 def semantic_search(points: DataFrame, queries: DataFrame, c: SearchConfig, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
