@@ -49,11 +49,17 @@ def _similar(hashed: DataFrame, threshold: float) -> DataFrame:
     heads = hashed.mapInArrow(_heads(hashed.sparkSession.sparkContext.broadcast(often), buckets, threshold), f"bucket int, id {kind}, n int, bits binary, ks array<int>, at array<int>, before array<long>")
     pairs = heads.repartition(buckets, "bucket").mapInArrow(_met(threshold), f"u {kind}, v {kind}")
     pairs = cut(pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).where("a < b").distinct())
+    return _compared(pairs, hashed, threshold).select("a", "b")
+
+
+def _compared(pairs: DataFrame, hashed: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, distance) of the ``pairs`` (a, b) whose whole sets have a Jaccard similarity of ``threshold`` or more."""
     named = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     held = cut(hashed.join(F.broadcast(named) if named.count() <= NAMED else named, "id", "left_semi"))
     a, b = (held.select(F.col("id").alias(x), F.col("hs").alias("h" + x)) for x in "ab")
-    common = F.size(F.array_intersect("ha", "hb"))
-    return pairs.join(a, "a").join(b, "b").where(common >= threshold * (F.size("ha") + F.size("hb") - common) - 1e-9).select("a", "b")
+    common, both = F.size(F.array_intersect("ha", "hb")).alias("common"), (F.size("ha") + F.size("hb")).alias("both")
+    found = pairs.join(a, "a").join(b, "b").select("a", "b", common, both).where(F.col("common") >= threshold * (F.col("both") - F.col("common")) - 1e-9)
+    return found.select("a", "b", (1 - F.col("common") / (F.col("both") - F.col("common"))).alias("distance"))
 
 
 def _heads(often: Broadcast, buckets: int, threshold: float):
@@ -193,11 +199,36 @@ def newest(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("__n", n).where("__n = 1").drop("__n")
 
 
-def minhash_pairs(sets: DataFrame, threshold: float, dimensions: int = 1 << 18, tables: int = 8) -> DataFrame:
-    """(a, b, distance): approximate pairs of word sets (id, ts) by min-wise hashing; may miss some, finds no false ones."""
-    from pyspark.ml.feature import HashingTF, MinHashLSH
+def minhash_pairs(sets: DataFrame, threshold: float, rows: int = 8) -> DataFrame:
+    """(a, b, distance): pairs of word sets (id, ts: distinct and sorted) by min-wise hashing; may miss some, finds no false ones.
+
+    Equal sets are one, that of the smallest id. A table's key is made of ``rows`` least hashes, so sets that are not alike hardly ever share one, and
+    there are so many tables that of pairs at ``threshold`` no more than (1 - threshold) ** 8 share none, as with eight tables of a
+    single least hash each. The distance is that of the whole sets.
+    """
+    hashed = _hashed(sets.where(F.size("ts") > 0))
+    tables = max(math.ceil(8 * math.log1p(-threshold) / math.log1p(-(threshold**rows))), 1) if threshold < 1 else 1
+    rng = np.random.default_rng(1)
+    mixed, odd = (rng.integers(0, 1 << 64, tables * rows, np.uint64, endpoint=False) for _ in range(2))
+    odd |= np.uint64(1)
 
-    hashed = HashingTF(inputCol="ts", outputCol="f", numFeatures=dimensions, binary=True).transform(sets)
-    model = MinHashLSH(inputCol="f", outputCol="h", numHashTables=tables, seed=1).fit(hashed)
-    pairs = model.approxSimilarityJoin(hashed, hashed, 1 - threshold + 1e-9, "distance")
-    return pairs.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), "distance").where("a < b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 100):
+                batch = whole.slice(at, 100)
+                n = batch.column(1).value_lengths().to_numpy()
+                hs = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                keys = []
+                for k in range(0, tables * rows, rows):
+                    least = [np.minimum.reduceat((hs ^ mixed[j]) * odd[j], np.cumsum(n) - n) for j in range(k, k + rows)]
+                    key = np.full(len(n), k, np.uint64)
+                    for x in least:
+                        key = (key ^ (key >> np.uint64(29)) ^ x) * np.uint64(0x9E3779B97F4A7C15)
+                    keys.append(key)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(pa.array(np.tile(np.arange(len(n)), tables)))], names=["key", "id"])
+
+    keyed = hashed.mapInArrow(run, f"key long, id {hashed.schema['id'].dataType.simpleString()}")
+    met = keyed.groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1)
+    first = met.select("ids", F.posexplode("ids").alias("i", "a"))
+    pairs = first.select("a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("b")).distinct()
+    return _compared(cut(pairs), hashed, threshold)

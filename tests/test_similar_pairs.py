@@ -27,4 +27,15 @@ def test_pairs_are_those_of_all_pairs(spark, monkeypatch, threshold, pairs):
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9}
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want) >= 10
     compared = [x.count() for x in sent if x.columns == ["a", "b"]]
-    assert len(compared) == 1 and len(want) <= compared[0] < len(want) + 200 + len(want) // 5
+    assert len(compared) == 1 and len(want) <= compared[0] < len(want) + 200 + len(want) // 2
+
+
+def test_minhash_compares_hardly_any_but_similar_sets(spark, monkeypatch):
+    sent, plain = [], dedup.cut
+    monkeypatch.setattr(dedup, "cut", lambda df: sent.append(plain(df)) or sent[-1])
+    sets = made()
+    got = dedup.minhash_pairs(spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, ts array<string>").repartition(3), 0.8).collect()
+    want = {(a, b): 1 - len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9}
+    assert {(r.a, r.b): pytest.approx(r.distance) for r in got} == want
+    compared = [x.count() for x in sent if x.columns == ["a", "b"]]
+    assert len(compared) == 1 and compared[0] < 2000  # of 70000 pairs
