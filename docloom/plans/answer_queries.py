@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import agents, lexical, stores
+from ..operators.cut import cut
 from ..streaming import streams
 from . import search
 from .search_queries import W, bm25_sql
@@ -51,7 +52,9 @@ def m13(spark, d):
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
     def retrieve(queries):
-        hits = search.lexical_search(docs, queries, search.SearchConfig(top_k=5))
+        hits = cut(search.lexical_search(docs, queries, search.SearchConfig(top_k=5)))
+        if hits.count() <= search.MOST_TERMS:  # sent to the texts, which then stay where they are
+            hits = F.broadcast(hits)
         return hits.join(docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("title")), "id")
 
     out = agents.answer(asked, retrieve, max_tokens=800)

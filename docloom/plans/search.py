@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import normalized_score
 from ..operators import fusion, lexical, vector
@@ -41,7 +42,14 @@ def lexical_search(docs: DataFrame, queries: DataFrame, c: SearchConfig, id_col:
     """(query_id, id, score, rank) for queries (query_id, text); with ``matched`` also the terms found.
 
     ``index`` is an inverted index with the corpus figures (see lexical.load); without one the texts are indexed for this search alone.
+    Ids of queries that are texts are numbered while the sums of queries and documents are made, which are many rows.
     """
+    if isinstance(queries.schema["query_id"].dataType, StringType):
+        named = cut(queries.select("query_id").distinct().withColumn("_number", F.monotonically_increasing_id()))
+        numbered = queries.withColumnRenamed("query_id", "_name").join(named, F.col("_name").eqNullSafe(F.col("query_id"))).select(F.col("_number").alias("query_id"), "text")
+        out = lexical_search(docs, numbered, c, id_col, text_col, matched, index)
+        rest = [x for x in out.columns if x != "query_id"]
+        return out.withColumnRenamed("query_id", "_number").join(named, "_number").select("query_id", *rest)
     asked = queries.select("query_id", lexical.tokenize(F.col("text")).alias("ts"))
     tokens, stored = lexical.tokenize(F.col(text_col)), index is not None
     if index is None:
